@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, substrings, suffixes
 
-QUERIES = {"op9_quality_rules": quality.op9}
+QUERIES = {
+    "op3_suffix_array_dedup": suffixes.op3,
+    "op8_substring_dedup": substrings.op8,
+    "op9_quality_rules": quality.op9,
+}
 ORACLE_SQL: dict[str, str] = {}
