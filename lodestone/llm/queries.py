@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, substrings, suffixes
+from . import quality, simhash, substrings, suffixes
 
 QUERIES = {
     "op3_suffix_array_dedup": suffixes.op3,
+    "op4_simhash_near_dedup": simhash.op4,
     "op8_substring_dedup": substrings.op8,
     "op9_quality_rules": quality.op9,
 }
