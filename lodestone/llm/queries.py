@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embeddings, quality, simhash, substrings, suffixes
+from . import embeddings, quality, simhash, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embeddings.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_suffix_array_dedup": suffixes.op3,
     "op4_simhash_near_dedup": simhash.op4,
     "op8_substring_dedup": substrings.op8,
