@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import embeddings, quality, simhash, substrings, suffixes, toxicity
+from . import embeddings, packing, quality, separators, simhash, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embeddings.op1,
     "op2_toxicity": toxicity.op2,
     "op3_suffix_array_dedup": suffixes.op3,
     "op4_simhash_near_dedup": simhash.op4,
+    "op7_packing": packing.op7,
     "op8_substring_dedup": substrings.op8,
     "op9_quality_rules": quality.op9,
+    "op10_token_counts": separators.op10,
 }
 ORACLE_SQL: dict[str, str] = {}

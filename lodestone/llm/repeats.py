@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .blocks import Block, Substrings, blocks, mix, ranges
 from .shared import documents, table
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SLICE = 1 << 16
 #: Bound of the sketch: so many slots in each row, a bit each where it is broadcast.
 MOST_SLOTS, ROWS = 1 << 29, 2
@@ -141,7 +141,7 @@ def sketch(docs: DataFrame, unit: str, size: int, k: int) -> Sketch:
             new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])  # a document counts once
             each, n = capped(key[new])
             keys.append(each), counts.append(n)
-            if (held := held + len(each)) > 1 << 21:
+            if (held := held + len(each)) > 1 << 19:
                 yield flush()
                 keys, counts, held = [], [], 0
         if keys:
