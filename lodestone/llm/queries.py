@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embeddings, packing, pieces, quality, separators, simhash, substrings, suffixes, toxicity
+from . import embeddings, packing, pieces, quality, scoring, separators, simhash, substrings, suffixes, toxicity
 
 QUERIES = {
     "op1_embedding_near_dedup": embeddings.op1,
     "op2_toxicity": toxicity.op2,
     "op3_suffix_array_dedup": suffixes.op3,
     "op4_simhash_near_dedup": simhash.op4,
+    "op5_lm_scoring": scoring.op5,
     "op6_sentencepiece": pieces.op6,
     "op7_packing": packing.op7,
     "op8_substring_dedup": substrings.op8,
