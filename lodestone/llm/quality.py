@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, Substrings, blocks, mix
-from .shared import documents
+from .shared import documents, filtered
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -225,10 +225,12 @@ def quality_cascade(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
     return docs.mapInArrow(judge, schema)
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that pass the cascade, with all their columns."""
-    kept = quality_cascade(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[str, Rule] | None = None, sample_rows: int = 400) -> DataFrame:
+    """The rows of docs that pass the cascade, with all their columns; no shuffle."""
+    rules = RULES if rules is None else rules
+    order = plan(sampled(documents(docs, key, text), sample_rows), rules)
+    order += [x for x in rules if x not in order]
+    return filtered(docs, text, lambda block: cascade(block, order, rules) < 0)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import Block, Substrings, blocks, mix, ranges
 from .shared import documents, table
@@ -248,16 +249,19 @@ def repeated_spans(docs: DataFrame, unit: str, size: int, k: int) -> DataFrame:
 OUT = "doc_id long, n_units long, n_removed long, n_spans long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "bytes", size: int = 50, k: int | None = None, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "bytes", size: int = 50, k: int | None = None, whole_characters: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans (maximal removed runs), kept (what is left).
 
     With unit 'words' what is left is the kept words joined by one space. With
-    whole_characters, a span of bytes is first narrowed to whole UTF-8 characters.
+    whole_characters, a span of bytes is first narrowed to whole UTF-8 characters. The
+    columns named in carry come along in a struct, carried.
 
     Defined results: a null, empty or short text (fewer units than size) loses nothing; of
     exact copies the one with the smallest id stays whole; rows without an id are left
     out; documents of equal id count as one document; an empty table gives an empty table.
     """
+    carries = carry is not None
+    carried = None if carry is None else docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(*carry).alias("carried")).where(F.col("doc_id").isNotNull())
     docs = documents(docs, key, text)
     spans = repeated_spans(docs, unit, size, k or max(size // 2 - 1, 1))
 
@@ -265,9 +269,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", uni
         for batch in batches:
             lists, seen = batch.column("spans"), 0
             for block in blocks(iter([batch]), "doc_id", "text"):
-                part = lists.slice(seen, len(block))
+                part, at = lists.slice(seen, len(block)), seen
                 seen += len(block)
-                yield rest(block, part)
+                made = rest(block, part)
+                yield made.append_column("carried", batch.column("carried").slice(at, len(block))) if carries else made
 
     def rest(block: Block, lists: pa.ListArray) -> pa.RecordBatch:
         words = None if unit == "bytes" else block.words()
@@ -308,4 +313,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", uni
         kept = pa.BinaryArray.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids), "n_units": pa.array(np.diff(first)), "n_removed": pa.array(removed), "n_spans": pa.array(count), "kept": kept})
 
-    return docs.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans").mapInArrow(cut, OUT)
+    if carried is None:
+        return docs.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans").mapInArrow(cut, OUT)
+    out = T._parse_datatype_string(OUT).add(carried.schema["carried"])
+    return carried.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans", "carried").mapInArrow(cut, out)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks
-from .shared import documents
+from .shared import documents, filtered
 
 _CODES = np.random.Generator(np.random.PCG64(9)).integers(0, 256, (256, 4), dtype=np.uint8)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -185,6 +185,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: st
 _WORKER: dict[Model, Windows] = {}
 
 
+def windows_of(model: Model) -> Windows:
+    """This worker's windows under model."""
+    if model not in _WORKER:
+        _WORKER.clear()
+        _WORKER[model] = Windows(model)
+    return _WORKER[model]
+
+
 def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) of every whole text.
 
@@ -194,11 +202,8 @@ def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model is not None and model not in _WORKER:
-            _WORKER.clear()
-            _WORKER[model] = Windows(model)
         for block in blocks(batches, "doc_id", "text"):
-            value = np.zeros(len(block)) if model is None else score(model, _WORKER[model].features(block))
+            value = np.zeros(len(block)) if model is None else score(model, windows_of(model).features(block))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, pa.int64()), "score": pa.array(value)})
 
     return documents(docs, key, text).mapInArrow(judge, "doc_id long, score double")
@@ -209,10 +214,14 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns."""
-    good = toxicity(docs, fit(docs, labels)).where(F.col("score") < threshold).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns; no shuffle."""
+    model = fit(docs, labels, text=text)
+
+    def good(block: Block) -> np.ndarray:
+        return np.ones(len(block), bool) if model is None else score(model, windows_of(model).features(block)) < threshold
+
+    return filtered(docs, text, good)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
