@@ -173,7 +173,8 @@ def attempt_status(finished_at: C, exit_code: C) -> Column:
 def cost_micros(rate_per_hour: C, wall_millis: C) -> Column:
     """Micro-dollars, truncated; 0 without a rate. 128-bit products fit decimal(38)."""
     product = _c(rate_per_hour).cast("decimal(19,0)") * _c(wall_millis).cast("decimal(19,0)")
-    return F.coalesce(F.floor(product / F.lit(3_600_000)).cast("bigint"), F.lit(0))
+    hour = F.lit(3_600_000)  # milliseconds; the remainder goes first, as decimal division rounds
+    return F.coalesce(((product - product % hour) / hour).cast("bigint"), F.lit(0))
 
 
 def effect_receipt(action: C, attempt: C, exit_code: C, finished_at: C, stdout: C, stderr: C) -> Column:
