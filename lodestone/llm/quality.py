@@ -79,6 +79,8 @@ class Features:
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of each line that has a word."""
         data, offsets = self.block.data, self.block.offsets
+        if not len(data):
+            return (np.zeros(0, np.int64),) * 3
         breaks = np.flatnonzero(data == 10)
         start = np.unique(np.concatenate([breaks + 1, offsets[:-1]]))
         start = start[start < len(data)]
