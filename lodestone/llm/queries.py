@@ -16,4 +16,45 @@ QUERIES = {
     "op9_quality_rules": quality.op9,
     "op10_token_counts": separators.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB's SQL for the operators that it can express on whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+ walk AS (SELECT vec_id AS root, vec_id AS node FROM v UNION SELECT w.root, l.b FROM walk w JOIN links l ON l.a = w.node),
+ low AS (SELECT root, min(node) AS component_id FROM walk GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN low ON root = vec_id LEFT JOIN n ON a = vec_id""",
+    "op3_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ u AS (SELECT doc_id, unnest(range(length(h) // 2)) AS i, h FROM d),
+ w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 2 * i + 100 <= length(h) THEN md5_number(substr(h, 2 * i + 1, 100)) END AS win FROM u),
+ f AS (SELECT *, win IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY win) AS flag FROM w),
+ c AS (SELECT *, max(flag) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+ e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM c),
+ g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY 1)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)""",
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ u AS (SELECT doc_id, unnest(ws) AS x, unnest(range(len(ws))) AS i, len(ws) AS n FROM d),
+ w AS (SELECT doc_id, i, x, CASE WHEN i + 50 <= n THEN md5_number(string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS win FROM u),
+ f AS (SELECT *, win IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY win) AS flag FROM w),
+ c AS (SELECT *, max(flag) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+ g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)""",
+    "op9_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+ u AS (SELECT doc_id, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM d),
+ g AS (SELECT doc_id, i, x = lag(x) OVER o AS same, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS win FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ r AS (SELECT doc_id, i FROM g WHERE win IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+ c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat FROM r, range(5) AS q(k) GROUP BY 1),
+ a AS (SELECT doc_id, count(*) FILTER (same) AS n_adjacent FROM g GROUP BY 1),
+ m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_adjacent, 0) AS n_adjacent,
+  length(t) - length(replace(t, '!', '')) AS n_exclaims, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN a USING (doc_id)),
+ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > n_words OR 5 * n_exclaims > n_words OR 10 * n_upper > 4 * n_letters
+ OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_adjacent > 2 * n_words) AS kept FROM b""",
+}
