@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpoint
+from .shared import arrow_map, checkpoint
 
 
 def forest(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +39,7 @@ def _local(links: DataFrame) -> DataFrame:
             src, dst = forest(batch.column("src").to_numpy(), batch.column("dst").to_numpy())
             yield pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return links.mapInArrow(shrink, "src long, dst long")
+    return arrow_map(links, shrink, "src long, dst long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

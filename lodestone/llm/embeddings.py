@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .blocks import ranges
 from .components import components, forest
-from .shared import checkpoint
+from .shared import arrow_map, checkpoint
 
 WIDTH, GRID = 8, 3
 _SIGNS = np.where(np.random.Generator(np.random.PCG64(64)).random((2, 1 << 16)) < 0.5, -1.0, 1.0)
@@ -95,7 +95,7 @@ def cells(vectors: DataFrame, distance: float) -> DataFrame:
                             pick = batch.take(pa.array(rows[go]))
                             yield pa.RecordBatch.from_pydict({"label": pick.column("label"), "dim": pick.column("dim"), "block": pa.array(np.full(len(go), block, np.int32)), "cell": names, "visitor": pa.array(np.full(len(go), bool(move.any()))), "rep": pick.column("rep"), "copies": pick.column("copies"), "vector": pick.column("vector")})
 
-    return vectors.mapInArrow(deal, CELL)
+    return arrow_map(vectors, deal, CELL)
 
 
 def compare(rows: dict[str, np.ndarray], vectors: np.ndarray, start: np.ndarray, threshold: float, small: int = 64, step: int = 512) -> tuple[np.ndarray, ...]:
@@ -182,7 +182,7 @@ def joined(made: DataFrame, threshold: float, most: int = 4096) -> DataFrame:
         if held is not None and held.num_rows:
             yield from close(held)
 
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(meet, "kind int, a long, b long")
+    return arrow_map(dealt.repartition(*group).sortWithinPartitions(*group), meet, "kind int, a long, b long")
 
 
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98) -> DataFrame:

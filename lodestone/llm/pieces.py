@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import Block, Substrings, blocks, mix, ranges
-from .shared import documents
+from .shared import arrow_map, documents, kept
 from .tokens import Flat
 
 SPACE = "▁"
@@ -146,11 +146,10 @@ class StreamingViterbi:
         return out
 
 
-_WORKER: dict[str, tuple[Pieces, Flat]] = {}
-
-
 def worker(path: str) -> tuple[Pieces, Flat]:
-    if path not in _WORKER:
+    """This worker's pieces and the ids of the parts it has met."""
+
+    def make() -> tuple[Pieces, Flat]:
         pieces = Pieces(path)
 
         def search(parts: list[bytes]) -> list[list[int]]:
@@ -160,8 +159,9 @@ def worker(path: str) -> tuple[Pieces, Flat]:
                 out.append(search_.push(part.decode().replace(" ", SPACE)) + search_.finish())
             return out
 
-        _WORKER[path] = pieces, Flat(search)
-    return _WORKER[path]
+        return pieces, Flat(search)
+
+    return kept(("pieces", path), make)
 
 
 def parts(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +222,7 @@ def sentencepiece(docs: DataFrame, key: str = "doc_id", text: str = "text", path
             same = [back[bounds[i] : bounds[i + 1]].tobytes() == block.text(i) for i in range(len(block))]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, pa.int64()), "n_ids": pa.array(np.diff(offsets)), "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "round_trip": pa.array(same, pa.bool_()), "ids": pa.array(raw if ids else [None] * len(block), pa.binary())})
 
-    return documents(docs, key, text).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, ids binary")
+    return arrow_map(documents(docs, key, text), run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, ids binary")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, Substrings, blocks, mix
-from .shared import documents, filtered
+from .shared import arrow_map, documents, filtered
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -224,7 +224,7 @@ def quality_cascade(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
                 failed = np.isin(verdict, base)
             yield pa.RecordBatch.from_pydict(columns | {"base_failed": pa.array(failed), "kept": pa.array((verdict < 0) & ~failed)})
 
-    return docs.mapInArrow(judge, schema)
+    return arrow_map(docs, judge, schema)
 
 
 def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[str, Rule] | None = None, sample_rows: int = 400) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import Block, Substrings, blocks, mix, ranges
-from .shared import documents, table
+from .shared import arrow_map, documents, table
 
 CHUNK = 1 << 18
 SLICE = 1 << 16
@@ -155,7 +155,7 @@ def sketch(docs: DataFrame, unit: str, size: int, k: int) -> Sketch:
                 count[np.frombuffer(x.as_buffer(), np.uint16)] += weight
         return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())})
 
-    merged = docs.mapInArrow(partial, "slice int, once binary, twice binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").toArrow()
+    merged = arrow_map(docs, partial, "slice int, once binary, twice binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").toArrow()
     bits = np.zeros(ROWS * slots // 8, np.uint8)
     for at, x in zip(merged.column("slice").to_pylist(), merged.column("bits"), strict=True):
         bits[at * SLICE // 8 : (at + 1) * SLICE // 8] = np.frombuffer(x.as_buffer(), np.uint8)
@@ -189,7 +189,7 @@ def run_rows(docs: DataFrame, unit: str, size: int, k: int, kept) -> DataFrame:
             more = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(lo[rest])], ["doc", "lo"]), mask=pa.array(sizes == 0))
             yield pa.RecordBatch.from_pydict({"anchor": pa.array(key[head].view(np.int64)), "content": pa.array(content[head].view(np.int64)), "doc": pa.array(doc[head]), "lo": pa.array(lo[head]), "n": pa.array(n[head].astype(np.int32)), "more": more.cast(OCCURRENCE)})
 
-    return docs.mapInArrow(scan, RUN)
+    return arrow_map(docs, scan, RUN)
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def windows(docs: DataFrame, open_runs: DataFrame, unit: str, size: int) -> Data
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor), "doc": pa.array(block.ids[row]), "lo": pa.array(lo), "hashes": pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))})
 
-    made = docs.join(by_doc, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "open").mapInArrow(hashes, "anchor long, doc long, lo long, hashes array<long>")
+    made = arrow_map(docs.join(by_doc, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "open"), hashes, "anchor long, doc long, lo long, hashes array<long>")
     each = made.repartition("anchor").select("anchor", "doc", "lo", F.posexplode("hashes").alias("i", "window"))
     first = F.min("doc").over(Window.partitionBy("anchor", "window"))
     return each.withColumn("first", first).where("doc > first").select("doc", (F.col("lo") + F.col("i")).alias("lo"))
@@ -314,6 +314,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", uni
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids), "n_units": pa.array(np.diff(first)), "n_removed": pa.array(removed), "n_spans": pa.array(count), "kept": kept})
 
     if carried is None:
-        return docs.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans").mapInArrow(cut, OUT)
+        return arrow_map(docs.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans"), cut, OUT)
     out = T._parse_datatype_string(OUT).add(carried.schema["carried"])
-    return carried.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans", "carried").mapInArrow(cut, out)
+    return arrow_map(carried.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans", "carried"), cut, out)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, mix
-from .shared import documents, table
+from .shared import arrow_map, documents, table
 
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 TOKENS = 1_500_000  # of a block
@@ -156,7 +156,7 @@ def lm_scores(docs: DataFrame, learned: Callable[[int], bool], key: str = "doc_i
         first = lambda x: [x] + [0] * (len(keys) - 1)  # noqa: E731  a slice's figures stand in its first row
         return pa.table({"block": rows.column("block"), "kind": rows.column("kind"), "slice": rows.column("slice"), "counts": pa.array([packed(found[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())} | {n: pa.array(first(x), pa.int64()) for n, x in zip(("total", "distinct", "once", "twice"), stats, strict=True)})
 
-    answers = table(docs.mapInArrow(ask, REQUEST).groupBy("slice", "kind").applyInArrow(answer, ANSWER))
+    answers = table(arrow_map(docs, ask, REQUEST).groupBy("slice", "kind").applyInArrow(answer, ANSWER))
     n, v, once, twice = answers.where("kind = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "once", "twice"))).first()
     totals = Totals(n, v, min(max(once / max(once + 2 * twice, 1), 0.1), 0.9))
 
@@ -189,7 +189,7 @@ def lm_scores(docs: DataFrame, learned: Callable[[int], bool], key: str = "doc_i
             out.append(pa.table({"doc_id": pa.array(ids), "held_out": pa.array(~corpus.learn), "train_tokens": pa.array(np.full(len(ids), n), pa.int64())} | {k: pa.array(x) for k, x in score_block(corpus, counts, [inverse, two], totals, strength).items()}))
         return pa.concat_tables(out).select(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]) if out else SCORED_EMPTY
 
-    held = docs.mapInArrow(hold, "block long, ids binary, learn binary, lengths binary, words binary, tokens binary")
+    held = arrow_map(docs, hold, "block long, ids binary, learn binary, lengths binary, words binary, tokens binary")
     return held.groupBy("block").cogroup(answers.select("block", "kind", "slice", "counts").groupBy("block")).applyInArrow(traverse, SCORED)
 
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, table
+from .shared import arrow_map, documents, table
 from .tokens import token_blocks, tokenizer_path
 
 #: The default tokenizer's end-of-text id, which no text is encoded to.
@@ -37,7 +37,7 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = "<u4", ids_per
                     first = at // width
                     yield pa.RecordBatch.from_pydict({"file": pa.array([name] * len(part)), "block": pa.array(range(first, first + len(part)), pa.int64()), "data": pa.array([bytes(x) for x in part], pa.binary())})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, BLOCK)
+    return arrow_map(spark.read.format("binaryFile").load(path).select("path", "content"), cut, BLOCK)
 
 
 def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u4", ids_per_block: int = 1 << 16) -> DataFrame:
@@ -60,7 +60,7 @@ def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"file": batch.column("file"), "block": batch.column("block"), "upto": pa.array(sizes, pa.int64()), "ends": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))})
 
-    scanned = blocks.select("file", "block", "data").mapInArrow(search, "file string, block long, upto long, ends array<long>")
+    scanned = arrow_map(blocks.select("file", "block", "data"), search, "file string, block long, upto long, ends array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = Window.partitionBy("file").orderBy(F.desc("block"))
     stitched = (
@@ -96,7 +96,7 @@ def token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         if len(held):
             yield row(held, [d for _, d in owners])
 
-    return documents(docs, key, text).mapInArrow(write, BLOCK + ", documents array<long>")
+    return arrow_map(documents(docs, key, text), write, BLOCK + ", documents array<long>")
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, separator: int = SEPARATOR, ids_per_block: int = 1 << 16) -> DataFrame:

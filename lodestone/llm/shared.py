@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,4 +69,38 @@ def filtered(docs: DataFrame, text: str, good) -> DataFrame:
                 part = batch.slice(int(block.ids[0]), len(block))
                 yield part.filter(pa.array(np.asarray(good(block), bool)))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return arrow_map(docs, scan, docs.schema)
+
+
+_STATE: dict[tuple, Any] = {}
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: one operator's state at a time, so that workers that run several in turn stay small."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def release() -> None:
+    """Hands a worker's free memory back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow(function), after which the worker's free memory is released."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)

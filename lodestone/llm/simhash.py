@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .blocks import LOWER, Block, Words, blocks, ranges
 from .components import components, forest
-from .shared import documents, partitions, table
+from .shared import arrow_map, documents, partitions, table
 
 SEED = 42
 
@@ -66,7 +66,7 @@ def fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for block in blocks(batches, "doc_id", "text"):
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids), "print": pa.array(fingerprints(block, shingle).view(np.int64))})
 
-    return docs.mapInArrow(scan, "doc_id long, print long")
+    return arrow_map(docs, scan, "doc_id long, print long")
 
 
 def thirds(radius: int) -> list[np.ndarray]:
@@ -150,8 +150,8 @@ def links(prints: DataFrame, radius: int = 3, tile: int = 1024) -> DataFrame:
         if held and len(held[0]):
             yield close(held[0])
 
-    made = prints.mapInArrow(emit, "omitted int, variant long, print long")
-    return made.repartition("omitted", "variant").sortWithinPartitions("omitted", "variant").mapInArrow(verify, "src long, dst long")
+    made = arrow_map(prints, emit, "omitted int, variant long, print long")
+    return arrow_map(made.repartition("omitted", "variant").sortWithinPartitions("omitted", "variant"), verify, "src long, dst long")
 
 
 def simhash_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 from .blocks import Block, blocks, ranges
+from .shared import kept
 
 END = 2
 
@@ -27,7 +28,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Flat:
     """Ids by a 64-bit key, in sorted flat arrays; forgotten altogether past a bound."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -58,18 +59,18 @@ class Flat:
         return self.start[at], self.count[at]
 
 
-_WORKER: dict[str, Flat] = {}
-
-
 def word_bpe(path: str) -> Flat:
-    if path not in _WORKER:
+    """This worker's tokenizer and the ids of the words it has met."""
+
+    def make() -> Flat:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _WORKER[path] = Flat(lambda words: [x.ids for x in tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)])
-    return _WORKER[path]
+        return Flat(lambda words: [x.ids for x in tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)])
+
+    return kept(("word_bpe", path), make)
 
 
 def encoded(block: Block, flat: Flat, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks
-from .shared import documents, filtered
+from .shared import arrow_map, documents, filtered, kept
 
 _CODES = np.random.Generator(np.random.PCG64(9)).integers(0, 256, (256, 4), dtype=np.uint8)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -182,15 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: st
     return train([x.encode() for x in found.column("text").to_pylist()], found.column("toxic").to_numpy() == 1, min(max(share or 0.5, 0.01), 0.99))
 
 
-_WORKER: dict[Model, Windows] = {}
-
-
 def windows_of(model: Model) -> Windows:
     """This worker's windows under model."""
-    if model not in _WORKER:
-        _WORKER.clear()
-        _WORKER[model] = Windows(model)
-    return _WORKER[model]
+    return kept(("toxicity", model), lambda: Windows(model))
 
 
 def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +200,7 @@ def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
             value = np.zeros(len(block)) if model is None else score(model, windows_of(model).features(block))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, pa.int64()), "score": pa.array(value)})
 
-    return documents(docs, key, text).mapInArrow(judge, "doc_id long, score double")
+    return arrow_map(documents(docs, key, text), judge, "doc_id long, score double")
 
 
 def fold(column: str, parts: int) -> Column:
