@@ -47,6 +47,14 @@ def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "
     ids_per_block ids. Defined results: an empty document counts its separator alone;
     an empty file or table gives no row; a file without a separator is one document, not ended.
     """
+    return stitched(arrow_map(blocks.select("file", "block", "data"), searcher(separator, dtype, ids_per_block), FOUND))
+
+
+FOUND = "file string, block long, upto long, ends array<long>"
+
+
+def searcher(separator: int, dtype: str, ids_per_block: int):
+    """Maps batches of blocks to where each block ends and where its separators are; other columns come along."""
     kind = np.dtype(dtype)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,33 +66,37 @@ def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "
                 found.append(np.flatnonzero(ids == separator) + at)
                 sizes.append(at + len(ids))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"file": batch.column("file"), "block": batch.column("block"), "upto": pa.array(sizes, pa.int64()), "ends": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))})
+            more = {c: batch.column(c) for c in batch.schema.names if c not in ("file", "block", "data")}
+            yield pa.RecordBatch.from_pydict({"file": batch.column("file"), "block": batch.column("block"), "upto": pa.array(sizes, pa.int64()), "ends": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))} | more)
 
-    scanned = arrow_map(blocks.select("file", "block", "data"), search, "file string, block long, upto long, ends array<long>")
+    return search
+
+
+def stitched(scanned: DataFrame) -> DataFrame:
+    """The documents of searched blocks, by a prefix scan over each file's blocks."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = Window.partitionBy("file").orderBy(F.desc("block"))
-    stitched = (
+    rows = (
         scanned.withColumn("n_before", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
         .withColumn("last_end", F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)))
         .withColumn("tail", F.row_number().over(last) == 1)
     )
     # what follows a file's last separator is one more entry, marked by its place past the end
-    stitched = stitched.withColumn("open", F.when(F.col("tail") & (F.col("upto") - 1 > F.greatest(F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(-1)), "last_end")), F.array("upto")))
-    each = stitched.select("file", "n_before", "last_end", "ends", "upto", F.posexplode(F.concat("ends", F.coalesce("open", F.array().cast("array<bigint>")))).alias("i", "end"))
+    rows = rows.withColumn("open", F.when(F.col("tail") & (F.col("upto") - 1 > F.greatest(F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(-1)), "last_end")), F.array("upto")))
+    each = rows.select("file", "n_before", "last_end", "ends", "upto", F.posexplode(F.concat("ends", F.coalesce("open", F.array().cast("array<bigint>")))).alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("last_end")).otherwise(F.try_element_at("ends", F.greatest(F.col("i"), F.lit(1)))) + 1
     ended = F.col("i") < F.size("ends")
     return each.select("file", (F.col("n_before") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start + ended.cast("int")).alias("n_tokens"), ended.alias("ended"))
 
 
-def token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, separator: int = SEPARATOR, ids_per_block: int = 1 << 16) -> DataFrame:
-    """Blocks of flat token files, one file a partition, and (documents) the ids of the documents that end in each block."""
-    path = path or tokenizer_path()
+def token_file(path: str, separator: int, ids_per_block: int):
+    """Maps batches of documents to the blocks of one flat file a task, with the ids of the documents that end in each."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, number, held, owners, upto = f"part-{TaskContext.get().partitionId():06d}", 0, np.zeros(0, np.uint32), [], 0
 
-        def row(ids: np.ndarray, docs_: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([number], pa.int64()), "data": pa.array([ids.astype("<u4").tobytes()], pa.binary()), "documents": pa.array([docs_], pa.list_(pa.int64()))})
+        def row(ids: np.ndarray, docs: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([number], pa.int64()), "data": pa.array([ids.astype("<u4").tobytes()], pa.binary()), "documents": pa.array([docs], pa.list_(pa.int64()))})
 
         for block, tokens, offsets in token_blocks(batches, path, separator):
             owners += list(zip((offsets[1:] + len(held) + upto).tolist(), block.ids.tolist(), strict=True))
@@ -96,16 +108,26 @@ def token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         if len(held):
             yield row(held, [d for _, d in owners])
 
-    return arrow_map(documents(docs, key, text), write, BLOCK + ", documents array<long>")
+    return write
+
+
+def token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, separator: int = SEPARATOR, ids_per_block: int = 1 << 16) -> DataFrame:
+    """Blocks of flat token files, one file a partition, and (documents) the ids of the documents that end in each block."""
+    return arrow_map(documents(docs, key, text), token_file(path or tokenizer_path(), separator, ids_per_block), BLOCK + ", documents array<long>")
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, separator: int = SEPARATOR, ids_per_block: int = 1 << 16) -> DataFrame:
-    """doc_id, file, ordinal, start, n_tokens (with its separator) of each document, found by scanning the token files of docs."""
-    made = table(token_files(docs, key, text, path, separator, ids_per_block))
+    """doc_id, file, ordinal, start, n_tokens (with its separator) of each document, found by scanning the token files of docs.
+
+    A file's blocks are searched by the task that writes them, so ids don't leave it. The
+    scan alone finds boundaries; the documents' ids only name what it found.
+    """
+    write, search = token_file(path or tokenizer_path(), separator, ids_per_block), searcher(separator, "<u4", ids_per_block)
+    made = table(arrow_map(documents(docs, key, text), lambda batches: search(write(batches)), FOUND + ", documents array<long>"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     names = made.select("file", "block", "documents").withColumn("n", F.coalesce(F.sum(F.size("documents")).over(before), F.lit(0)))
     names = names.select("file", "n", F.posexplode("documents").alias("i", "doc_id")).select("file", (F.col("n") + F.col("i")).alias("ordinal"), "doc_id")
-    return separator_scan(made, separator, ids_per_block=ids_per_block).join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    return stitched(made.drop("documents")).join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
