@@ -63,7 +63,7 @@ def _vectors(column: pa.ListArray, rows: np.ndarray, dim: int) -> np.ndarray:
     return column.take(pa.array(rows)).flatten().to_numpy().reshape(-1, dim)
 
 
-CELL = "label long, dim int, block int, cell long, visitor boolean, rep long, copies long, vector array<double>"
+CELL = "label long, dim int, block int, cell long, visitor boolean, rep long, copies long, vector "
 
 
 def cells(vectors: DataFrame, distance: float) -> DataFrame:
@@ -95,7 +95,7 @@ def cells(vectors: DataFrame, distance: float) -> DataFrame:
                             pick = batch.take(pa.array(rows[go]))
                             yield pa.RecordBatch.from_pydict({"label": pick.column("label"), "dim": pick.column("dim"), "block": pa.array(np.full(len(go), block, np.int32)), "cell": names, "visitor": pa.array(np.full(len(go), bool(move.any()))), "rep": pick.column("rep"), "copies": pick.column("copies"), "vector": pick.column("vector")})
 
-    return arrow_map(vectors, deal, CELL)
+    return arrow_map(vectors, deal, CELL + vectors.schema["vector"].dataType.simpleString())
 
 
 def compare(rows: dict[str, np.ndarray], vectors: np.ndarray, start: np.ndarray, threshold: float, small: int = 64, step: int = 512) -> tuple[np.ndarray, ...]:
@@ -195,7 +195,9 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     one vector, with another it links as several and each row gets its own result; an empty
     table gives an empty table.
     """
-    rows = table.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull())
+    kind = table.schema[vector].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # copies travel in the width they came in
+    rows = table.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(vector).cast(kind).alias("vector")).where(F.col("vec_id").isNotNull())
     bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & ~bad & F.exists("vector", lambda v: v != 0)
     fine = rows.where(F.coalesce(good, F.lit(False)))

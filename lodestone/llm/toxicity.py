@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks
-from .shared import arrow_map, documents, filtered, kept
+from .shared import arrow_map, documents, filtered, kept, release
 
 _CODES = np.random.Generator(np.random.PCG64(9)).integers(0, 256, (256, 4), dtype=np.uint8)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -133,27 +133,25 @@ def train(texts: list[bytes], toxic: np.ndarray, ordinary_share: float = 0.9, ba
     """A model from whole labelled texts; None if one of the classes is missing."""
     if toxic.all() or not toxic.any():
         return None
-    seen, pairs = set(), set()
-    docs, spread, many, plain = Counter(), Counter(), Counter(), Counter()
-    n = [0, 0]
-    for text, label in zip(texts, toxic, strict=True):
-        text = text.lower()
-        if text in seen:
-            continue
-        seen.add(text)
-        n[int(label)] += 1
+    one = list({text.lower(): label for text, label in zip(texts, toxic, strict=True)}.items())  # of equal texts one
+    n = [sum(not label for _, label in one), sum(bool(label) for _, label in one)]
+    least = max(5, 0.008 * n[1])
+    docs = Counter()
+    for text, label in one:
+        if label:
+            docs.update(set(_WORD.findall(text)))
+    likely = {w for w, k in docs.items() if k >= least}
+    plain, neighbours = Counter(), {w: set() for w in likely}
+    for text, label in one:
         words = _WORD.findall(text)
         if label:
-            docs.update(set(words))
-            for pair in zip([b"", *words], words, strict=False):
-                if pair not in pairs:
-                    pairs.add(pair)
-                    spread[pair[1]] += 1
+            for before, word in zip([b"", *words], words, strict=False):
+                if word in likely:
+                    neighbours[word].add(before)
         else:
             plain.update(set(words))
-            many.update(words)
-    least = max(5, 0.008 * n[1])
-    marks = [w for w in docs if docs[w] >= least and spread[w] >= least and plain[w] * n[1] <= 0.02 * docs[w] * max(n[0], 1)]
+    del one
+    marks = [w for w in likely if len(neighbours[w]) >= least and plain[w] * n[1] <= 0.02 * docs[w] * max(n[0], 1)]
     marks.sort(key=lambda w: (docs[w], w))
     base = b" " + b" ".join(sorted(plain, key=lambda w: (-plain[w], w))[:base_words]) + b" "
     model = Model(base, base + b" ".join(marks) + b" " * bool(marks), (0.0,) * 4, (0.0,) * 3, (1.0,) * 3)
@@ -179,7 +177,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: st
     chosen = pick(1, most_toxic).unionByName(pick(0, most_ordinary))
     found = documents(docs, key, text).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
     found = found.sort_by([("h", "ascending"), ("doc_id", "ascending")])
-    return train([x.encode() for x in found.column("text").to_pylist()], found.column("toxic").to_numpy() == 1, min(max(share or 0.5, 0.01), 0.99))
+    texts, toxic = [x.encode() for x in found.column("text").to_pylist()], found.column("toxic").to_numpy() == 1
+    del found
+    model = train(texts, toxic, min(max(share or 0.5, 0.01), 0.99))
+    del texts
+    release()
+    return model
 
 
 def windows_of(model: Model) -> Windows:
