@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import globs, scalars
 from ..operators import chunking, gates, graph, history, manifests, store
+from ..sources import acquire
 from ..sources.tables import load
 from ..streaming import incremental
 
@@ -522,6 +523,63 @@ def ref_updates(s, d):
     return store.set_ref(made(F.min, "2024-01-01"), made(F.max, "2024-01-02")).select("name", "artifact")
 
 
+# ---------------------------------------------------------------- acquisition
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    name = F.concat("lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt"))
+    return load(s, d, "documents").where("doc_id % 10 < 3").select(F.when(F.col("doc_id") % 40 == 1, F.concat(F.lit("single"), F.col("doc_id").cast("string"))).otherwise(F.col("source")).alias("source"), name.alias("path"), F.col("text").alias("content"))
+
+
+_FILES = """f AS (SELECT CASE WHEN doc_id % 40 = 1 THEN 'single' || doc_id ELSE source END AS source, lang || '/' || lpad(doc_id::VARCHAR, 9, '0') || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS path, text FROM documents WHERE doc_id % 10 < 3)"""
+
+
+@query(f"""WITH {_FILES}, r AS (SELECT source, count(*) AS resolved FROM f GROUP BY 1),
+ t AS (SELECT source, count(*) AS files, 'sha256:' || sha256('{{"version":1,"entries":[' || string_agg({_ENTRY}, ',' ORDER BY path) || ']}}') AS tree, min('sha256:' || sha256(text)) AS blob FROM f WHERE path LIKE '%.txt' AND path NOT LIKE 'fr/%' GROUP BY 1)
+ SELECT source, CASE WHEN files = 1 AND resolved = 1 THEN 'blob' ELSE 'tree' END AS kind, CASE WHEN files = 1 AND resolved = 1 THEN blob ELSE tree END AS content, files::BIGINT AS files FROM t JOIN r USING (source)""")
+def acquire_sources(s, d):
+    return acquire.acquired(_files(s, d), ["source"], ["*.txt"], ["fr/*"]).select("source", "kind", "content", F.col("files").cast("bigint").alias("files"))
+
+
+@query(f"""WITH {_FILES}, k AS (SELECT source, split_part(path, '/', 1) AS key, substr(path, instr(path, '/') + 1) AS path, text FROM f)
+ SELECT source, key, 'tree' AS kind, 'sha256:' || sha256('{{"version":1,"entries":[' || string_agg({_ENTRY}, ',' ORDER BY path) || ']}}') AS content FROM k GROUP BY 1, 2
+ UNION ALL SELECT 'flat', path, 'blob', 'sha256:' || sha256(text) FROM (SELECT doc_id::VARCHAR AS path, text FROM documents WHERE doc_id % 50 = 0)""")
+def import_collection(s, d):
+    flat = load(s, d, "documents").where("doc_id % 50 = 0").select(F.lit("flat").alias("source"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return acquire.members(_files(s, d).unionByName(flat), ["source"])
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'a') ORDER BY url, page_id LIMIT 10 OFFSET 5")
+def catalog_search(s, d):
+    return acquire.searched(load(s, d, "pages").select("page_id", "url"), "A", ["url"], ["url", "page_id"], 10, 5)
+
+
+@query("SELECT 'sha256:' || sha256(text) AS id, strlen(text)::BIGINT AS size, doc_id % 9 <> 0 AS valid FROM documents")
+def legacy_import(s, d):
+    name = F.concat(F.lit("blobs/"), F.when(F.col("doc_id") % 9 == 0, "wrong").otherwise(F.sha2("text", 256)))
+    return acquire.imported_store(load(s, d, "documents").select(name.alias("path"), F.col("text").alias("content")))
+
+
+@query("""WITH r AS (SELECT 'a/' || page_id AS path FROM pages UNION ALL SELECT '../' || page_id FROM pages WHERE page_id % 50 = 0 UNION ALL SELECT 'a/' || page_id FROM pages WHERE page_id % 40 = 0),
+ l AS (SELECT 'a/' || page_id AS path FROM pages WHERE page_id % 30 <> 0 UNION ALL SELECT 'b/' || page_id FROM pages WHERE page_id % 60 = 0)
+ SELECT path, 'duplicate' AS fault FROM r GROUP BY 1 HAVING count(*) > 1 UNION SELECT path, 'unsafe' FROM r WHERE path LIKE '../%' UNION SELECT path, 'unselected' FROM r WHERE path LIKE '%7'
+ UNION SELECT path, 'unlisted' FROM (SELECT path FROM r EXCEPT SELECT path FROM l) UNION SELECT path, 'unresolved' FROM (SELECT path FROM l EXCEPT SELECT path FROM r)""")
+def provider_conformance(s, d):
+    p = load(s, d, "pages").select(F.col("page_id").alias("n"), F.col("page_id").cast("string").alias("c"))
+    made = lambda df, prefix: df.select(F.concat(F.lit(prefix), "c").alias("path"))
+    resolved = made(p, "a/").union(made(p.where("n % 50 = 0"), "../")).union(made(p.where("n % 40 = 0"), "a/"))
+    listed = made(p.where("n % 30 <> 0"), "a/").union(made(p.where("n % 60 = 0"), "b/"))
+    return acquire.conformance(resolved, listed, exclude=["*7"])
+
+
+@query("""SELECT file, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT name, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') AS file FROM
+ (SELECT p_type || ' ' || p_size AS name FROM part UNION SELECT p_type || '/' || p_size FROM part WHERE p_size % 5 = 0)) GROUP BY 1 HAVING count(*) > 1""")
+def colliding_names(s, d):
+    p = load(s, d, "part")
+    names = p.select(F.concat("p_type", F.lit(" "), F.col("p_size").cast("string")).alias("name")).union(p.where("p_size % 5 = 0").select(F.concat("p_type", F.lit("/"), F.col("p_size").cast("string"))))
+    return acquire.colliding(names, "name").select("file", F.array_join("names", ",").alias("names"))
+
+
 # ---------------------------------------------------------------- pipeline, chunks
 
 

@@ -88,3 +88,18 @@ def test_verify_reports_missing_and_corrupt(spark):
     expected = spark.createDataFrame([("ok",), ("bad",), ("gone",)], "text string").withColumn("id", store.content_id("text"))
     content = expected.where("text <> 'gone'").select("id", F.when(F.col("text") == "bad", "x").otherwise(F.col("text")).alias("content"))
     assert {r.text: r.status for r in store.verified(expected, content).collect()} == {"ok": "ok", "bad": "corrupt", "gone": "missing"}
+
+
+def test_materialise_and_read_back(spark, tmp_path):
+    from lodestone.sources import acquire
+    from lodestone.sources.tables import files
+
+    rows = spark.createDataFrame([("a/x.txt", b"1"), ("b.txt", b"22")], "path string, content binary")
+    root = str(tmp_path / "out")
+    assert sorted(r.path for r in acquire.materialised(rows, root).collect()) == ["a/x.txt", "b.txt"]
+    back = files(spark, root)
+    assert sorted((r.path, bytes(r.content)) for r in back.collect()) == [("a/x.txt", b"1"), ("b.txt", b"22")]
+    kinds = {r.key: r.kind for r in acquire.members(back.withColumn("g", F.lit(1)), ["g"]).collect()}
+    assert kinds == {"a": "tree", "b.txt": "blob"}
+    with pytest.raises(Exception, match="unsafe"):
+        acquire.materialised(spark.createDataFrame([("../x", b"1")], rows.schema), root).collect()
