@@ -11,22 +11,32 @@ from ..checkpoints import checkpoint
 from .history import live
 
 
+def union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def closure(roots: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """node, depth of all nodes that roots reach; roots has node, edges has src and dst.
 
-    Each round joins only the newest nodes with the edges. Nodes seen are kept as one
-    checkpointed frame, so lineage and plans stay short; cycles end by the anti join.
-    Nodes without a row of their own are reached but not expanded.
+    Each round joins only the newest nodes with the edges. Every round's nodes are
+    checkpointed once; rounds are merged now and then, so plans stay short and nodes aren't
+    rewritten each round. Cycles end by the anti join. Nodes without a row of their own are
+    reached but not expanded.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    seen = checkpoint(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    frontier = checkpoint(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
+    rounds = [frontier]
     for depth in range(1, most_rounds + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = checkpoint(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = checkpoint(step.join(union(rounds).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
-        seen = checkpoint(seen.unionByName(frontier))
+            return union(rounds)
+        rounds.append(frontier)
+        if len(rounds) > 8:
+            rounds = [checkpoint(union(rounds))]
     raise RuntimeError(f"not closed after {most_rounds} rounds")
 
 

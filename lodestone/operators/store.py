@@ -36,15 +36,15 @@ def appended(table: DataFrame, new: DataFrame, identity: str = "id") -> DataFram
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Upsert: of each key the row that is last in order."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Upsert: of each key the row that is last in order. An aggregate, so a hot key shrinks before the shuffle."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*keys).agg(last.alias("_r")).select("_r.*")
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Insert-or-ignore: of each key the row that is first in order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*keys).agg(first.alias("_r")).select("_r.*")
 
 
 def set_ref(refs: DataFrame, new: DataFrame) -> DataFrame:
