@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import folder
 from ..functions import globs, scalars
 from ..operators import chunking, gates, graph, history, manifests, store
 from ..sources import acquire
@@ -600,6 +601,13 @@ def incremental_map(s, d):
     return incremental.incremental_map(old, new, lambda x: x.select("key", F.char_length("artifact").cast("bigint").alias("result"))).select("key", "status", "result")
 
 
+@query("SELECT DISTINCT user_id AS key, event_type AS artifact FROM events")
+def stream_changed_items(s, d):
+    """The changed-items stream over the events file, drained once."""
+    events = s.readStream.schema(load(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    return incremental.drained(incremental.changed_stream(events.select(F.col("user_id").alias("key"), F.col("event_type").alias("artifact"))), folder(s))
+
+
 def _joined(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
 

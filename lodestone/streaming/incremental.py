@@ -80,3 +80,13 @@ def lease_stream(events: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["id", "state", "expires_at"])
 
     return events.groupBy("id").applyInPandasWithState(step, LEASE_OUT, "expires long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """What an append stream yields from all input there is now, as Parquet below folder (shared by all executors).
+
+    The same folder goes on where it stopped, exactly once for each row.
+    """
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
