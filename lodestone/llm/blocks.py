@@ -136,7 +136,7 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int = 1 << 21) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int = 1 << 20) -> Iterator[Block]:
     """Blocks of about limit bytes at most, unless a single document is longer."""
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)

@@ -122,7 +122,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
         windows = packer.taken() + rest.taken() + [w for w in rest.windows if w]
         return rows(windows, MERGED + (int(pieces.lot.iloc[0]) << 32), ids).to_pandas()[[*NAMES, "ids"]]
 
-    made = table(arrow_map(documents(docs, key, text), place, PIECE))
+    made = table(arrow_map(documents(docs, key, text), place, PIECE, "word_bpe"))
     done = made.where("sequence_id >= 0")
     left = made.where("sequence_id < 0").withColumn("lot", F.floor((-F.col("sequence_id") - 1) / group).cast("long"))
     return done.unionByName(left.groupBy("lot").applyInPandas(merge, PIECE))

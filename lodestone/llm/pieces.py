@@ -222,7 +222,7 @@ def sentencepiece(docs: DataFrame, key: str = "doc_id", text: str = "text", path
             same = [back[bounds[i] : bounds[i + 1]].tobytes() == block.text(i) for i in range(len(block))]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, pa.int64()), "n_ids": pa.array(np.diff(offsets)), "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "round_trip": pa.array(same, pa.bool_()), "ids": pa.array(raw if ids else [None] * len(block), pa.binary())})
 
-    return arrow_map(documents(docs, key, text), run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, ids binary")
+    return arrow_map(documents(docs, key, text), run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, ids binary", "pieces")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -113,7 +113,7 @@ def token_file(path: str, separator: int, ids_per_block: int):
 
 def token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, separator: int = SEPARATOR, ids_per_block: int = 1 << 16) -> DataFrame:
     """Blocks of flat token files, one file a partition, and (documents) the ids of the documents that end in each block."""
-    return arrow_map(documents(docs, key, text), token_file(path or tokenizer_path(), separator, ids_per_block), BLOCK + ", documents array<long>")
+    return arrow_map(documents(docs, key, text), token_file(path or tokenizer_path(), separator, ids_per_block), BLOCK + ", documents array<long>", "word_bpe")
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, separator: int = SEPARATOR, ids_per_block: int = 1 << 16) -> DataFrame:
@@ -123,7 +123,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     scan alone finds boundaries; the documents' ids only name what it found.
     """
     write, search = token_file(path or tokenizer_path(), separator, ids_per_block), searcher(separator, "<u4", ids_per_block)
-    made = table(arrow_map(documents(docs, key, text), lambda batches: search(write(batches)), FOUND + ", documents array<long>"))
+    made = table(arrow_map(documents(docs, key, text), lambda batches: search(write(batches)), FOUND + ", documents array<long>", "word_bpe"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     names = made.select("file", "block", "documents").withColumn("n", F.coalesce(F.sum(F.size("documents")).over(before), F.lit(0)))
     names = names.select("file", "n", F.posexplode("documents").alias("i", "doc_id")).select("file", (F.col("n") + F.col("i")).alias("ordinal"), "doc_id")

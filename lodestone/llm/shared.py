@@ -49,7 +49,7 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def filtered(docs: DataFrame, text: str, good) -> DataFrame:
+def filtered(docs: DataFrame, text: str, good, owner: str = "") -> DataFrame:
     """The rows of docs whose block good(block) finds good, with all their columns, in one pass without a shuffle.
 
     good maps a block of texts to a boolean array; the block's ids are only places.
@@ -69,7 +69,7 @@ def filtered(docs: DataFrame, text: str, good) -> DataFrame:
                 part = batch.slice(int(block.ids[0]), len(block))
                 yield part.filter(pa.array(np.asarray(good(block), bool)))
 
-    return arrow_map(docs, scan, docs.schema)
+    return arrow_map(docs, scan, docs.schema, owner)
 
 
 _STATE: dict[tuple, Any] = {}
@@ -78,11 +78,19 @@ _STATE: dict[tuple, Any] = {}
 def kept(key: tuple, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps between tasks: one operator's state at a time, so that workers that run several in turn stay small."""
     if key not in _STATE:
+        forget(key[0])
         _STATE.clear()
         _STATE[key] = make()
     return _STATE[key]
 
 
+def forget(owner: str) -> None:
+    """Drops what other operators than owner keep in this worker."""
+    if any(k[0] != owner for k in _STATE):
+        _STATE.clear()
+        release()
+
+
 def release() -> None:
     """Hands a worker's free memory back to the system."""
     import pyarrow as pa
@@ -94,10 +102,11 @@ def release() -> None:
         pass
 
 
-def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """df.mapInArrow(function), after which the worker's free memory is released."""
+def arrow_map(df: DataFrame, function: Callable, schema, owner: str = "") -> DataFrame:
+    """df.mapInArrow(function), after which the worker's free memory is released; what other operators than owner keep in the worker goes first."""
 
     def run(batches):
+        forget(owner)
         try:
             yield from function(batches)
         finally:

@@ -58,7 +58,7 @@ class Model:
 class Windows:
     """Gains of distinct windows under one model, remembered up to a bound."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 200_000):
         params = zstandard.ZstdCompressionParameters.from_level(19, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         make = lambda text: zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(spelled(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress
         self.ordinary, self.toxic = make(model.ordinary), make(model.toxic)
@@ -203,7 +203,7 @@ def toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
             value = np.zeros(len(block)) if model is None else score(model, windows_of(model).features(block))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, pa.int64()), "score": pa.array(value)})
 
-    return arrow_map(documents(docs, key, text), judge, "doc_id long, score double")
+    return arrow_map(documents(docs, key, text), judge, "doc_id long, score double", "toxicity")
 
 
 def fold(column: str, parts: int) -> Column:
@@ -218,7 +218,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", threshold
     def good(block: Block) -> np.ndarray:
         return np.ones(len(block), bool) if model is None else score(model, windows_of(model).features(block)) < threshold
 
-    return filtered(docs, text, good)
+    return filtered(docs, text, good, "toxicity")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
