@@ -14,7 +14,7 @@ content only, so equal windows have equal anchors wherever they stand.
 2. Runs are grouped by (anchor, whole content). If the first document of a group is not
    the run's own, all its windows are repeated.
 3. Where one anchor has runs of different content, the windows of each content's first
-   runs are compared one by one, by the pair of their halves' names.
+   runs are compared one by one, by a name of the whole window.
 
 Hashes have 64 bits within a group that already shares a 64-bit anchor.
 """
@@ -201,15 +201,13 @@ def ranked(rows: DataFrame) -> DataFrame:
     return each.where("mixed or at.doc > first").select("at.doc", "at.lo", "n", F.when(F.col("at.doc") == F.col("first"), F.col("anchor")).alias("anchor"))
 
 
-def pair_names(units: Units, start: np.ndarray, size: int) -> np.ndarray:
-    """(name of the first half, name of the half at the growing offset) of each window, 32 bits each.
+def window_names(units: Units, start: np.ndarray, size: int) -> np.ndarray:
+    """The 64-bit name of each window's ``size`` units.
 
-    This is a step of prefix doubling: strings of ``size`` units are equal if both halves'
-    names are. Halves overlap where size is odd.
+    Not two names of halves in 32 bits each: windows of one anchor often share a half, and
+    then 32 bits would have to tell them apart.
     """
-    half, names = (size + 1) // 2, Substrings(units.lanes[1], 1)
-    left, right = names.at(start, start + half), names.at(start + size - half, start + size)
-    return (left & np.uint64(0xFFFFFFFF00000000)) | (right >> np.uint64(32))
+    return Substrings(units.lanes[1], 1).at(start, start + size)
 
 
 def windows(docs: DataFrame, open_runs: DataFrame, unit: str, size: int) -> DataFrame:
@@ -226,7 +224,7 @@ def windows(docs: DataFrame, open_runs: DataFrame, unit: str, size: int) -> Data
                 anchor, lo, n = (flat.field(i).to_numpy() for i in range(3))
                 row = np.repeat(np.arange(len(block)), part.value_lengths().to_numpy())
                 start = np.repeat(units.first[row], n) + ranges(lo, n)
-                value = pair_names(units, start, size).view(np.int64)
+                value = window_names(units, start, size).view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor), "doc": pa.array(block.ids[row]), "lo": pa.array(lo), "hashes": pa.ListArray.from_arrays(pa.array(offsets), pa.array(value))})
 

@@ -14,7 +14,7 @@ round for 0.5 GB of Parquet). Three things cut this without losing a match:
   as one run;
 * runs whose anchor is unique leave before the first sort.
 
-Spark then sorts (anchor, content) of the runs and (anchor, name, name at offset) of the
+Spark then sorts (anchor, content) of the runs and (anchor, name of the window) of the
 positions still open.
 """
 

@@ -65,6 +65,37 @@ def test_repeats(rows, docs, unit, size, k, monkeypatch):
     assert {r.doc_id: (r.n_units, r.n_removed, r.n_spans, r.h) for r in got} == brute_repeats(rows, unit, size)
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_windows_that_share_a_half(spark, unit):
+    """Two windows with an equal first half, and second halves whose hashes agree in 32 bits, are not equal."""
+    rnd = np.random.default_rng(7)
+    names = 200_000
+    if unit == "bytes":  # 25 bytes that both documents start with, then 25 that differ
+        k, letters = 24, rnd.integers(97, 123, (names, 25), dtype=np.uint8)
+        texts = [x.tobytes().decode() for x in letters]
+        joined = np.frombuffer("".join(texts).encode(), np.uint8)
+        starts = [rnd.integers(97, 123, 25, dtype=np.uint8).tobytes().decode() for _ in range(3000)]
+        hashes = repeats.Substrings(np.frombuffer("".join(starts).encode(), np.uint8), 0)
+    else:
+        k, letters = 24, rnd.integers(0, 1000, (names, 25))
+        texts = [" " + " ".join(map(str, x)) for x in letters.tolist()]
+        words = lambda t: repeats.Block(np.array([1]), (data := np.frombuffer("".join(t).encode(), np.uint8)), np.array([0, len(data)])).words()
+        joined = words(texts).hashes(1)
+        starts = [" " + " ".join(map(str, x)) for x in rnd.integers(0, 1000, (3000, 25)).tolist()]
+        hashes = repeats.Substrings(words(starts).hashes(0), 0)
+    at = np.arange(0, 25 * names, 25)
+    high = repeats.Substrings(joined, 1).at(at, at + 25) >> np.uint64(32)
+    order = np.argsort(high)
+    same = np.flatnonzero(high[order][1:] == high[order][:-1])
+    assert len(same)
+    one, two = texts[order[same[0]]], texts[order[same[0] + 1]]
+    at = np.arange(0, 25 * 3000, 25)
+    prefix = starts[int(hashes.at(at, at + k).argmin())]  # so low that both windows have their anchor in it
+    docs = spark.createDataFrame([(1, prefix + one), (2, prefix + two), (3, prefix + one)], "doc_id long, text string")
+    got = repeats.remove_repeats(docs, unit=unit, size=50, k=k).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0), (3, 50)]
+
+
 def test_runs_do_not_depend_on_chunks(rows, monkeypatch):
     """Windows near chunk edges fall into other runs, but every window is in one run."""
     text = rows[5][1].encode() * 2
