@@ -2,8 +2,8 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next one's docs. All but the
-last return the columns of documents. SQL can't express the compression distance, XXH64
-fingerprints or the tokenizer, so ORACLE_SQL is None; tests hold the stages against
+last return the columns of documents. SQL can't express the compression distance or
+the tokenizer, so ORACLE_SQL is None; tests hold the stages against
 brute-force versions.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import packing, quality, simhash, suffixes, toxicity
+from lodestone.llm import packing, quality, shingles, suffixes, toxicity
 from lodestone.llm.shared import table
 
 
@@ -26,8 +26,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest, of each class of near-duplicates by five-word shingles."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document, the smallest, of each class of near-duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more."""
+    return shingles.keep_one(docs, shingle=5, least=0.8)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
