@@ -11,7 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
+#: Longest substring that the polynomial hash names; words and lines above it are named by XXH3.
+#: Modulo 2^64, some long strings (Thue-Morse words from 1,024 letters on) collide for every multiplier.
+LONG = 64
 #: Bytes between words: space, and tab to carriage return.
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,6 +78,14 @@ class Substrings:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+def named(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit name of each substring's bytes and length."""
+    out = Substrings(data, lane).at(start, end) + mix((end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), lane)
+    return out
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and where each row starts; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -130,7 +142,7 @@ class Words:
 
     def hashes(self, lane: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes and length."""
-        return Substrings(self.data, lane).at(self.start, self.end) + mix((self.end - self.start).astype(np.uint64))
+        return named(self.data, self.start, self.end, lane)
 
     def bytes(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import Block, Substrings, blocks, mix, ranges
+from .blocks import Block, blocks, mix, named, ranges
 from .shared import arrow_map, documents, kept
 from .tokens import Flat
 
@@ -186,7 +186,7 @@ def encode(block: Block, pieces: Pieces, flat: Flat) -> tuple[np.ndarray, np.nda
     head = np.zeros(len(start), bool)
     head[1:] = doc[1:] != doc[:-1]
     head[0] = True
-    keys = Substrings(block.data).at(start, end) + mix((end - start).astype(np.uint64) * np.uint64(2) + head.astype(np.uint64))
+    keys = mix(named(block.data, start, end) + head.astype(np.uint64))
     distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
     content = lambda i: b" " * int(head[first[i]]) + block.data[start[first[i]] : end[first[i]]].tobytes()
     at, count = flat.places(distinct, content)

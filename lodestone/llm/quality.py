@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,8 +97,9 @@ class Features:
 
     def n_dup_lines(self) -> np.ndarray:
         start, end, doc = self["lines"]
-        key = Substrings(self.block.data).at(start, end) + mix((end - start).astype(np.uint64)) + mix(doc.astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        _, first = np.unique(key, return_index=True)
+        view = memoryview(self.block.data.tobytes())
+        key = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
+        _, first = np.unique(key ^ mix(doc.astype(np.uint64) * np.uint64(2) + np.uint64(1)), return_index=True)
         return self["n_lines"] - np.bincount(doc[first], minlength=len(self.block))
 
     def n_repeat_words(self, size: int = 5) -> np.ndarray:

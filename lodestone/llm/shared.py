@@ -17,16 +17,20 @@ def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed now and written to the cluster's shared checkpoint folder.
-
-    The folder is spark.checkpoint.dir. Only where that is unset (tests, a laptop) a
-    temporary folder is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, spark.checkpoint.dir; on a laptop where it is unset, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed now and written to the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -40,13 +44,9 @@ def table(df: DataFrame) -> DataFrame:
     For frames that are large or read twice: smaller than a checkpoint, and a lost executor
     costs a read, not the work before it.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def filtered(docs: DataFrame, text: str, good, owner: str = "") -> DataFrame:

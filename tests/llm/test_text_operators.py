@@ -23,6 +23,8 @@ def rows(spark):
     found = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 90").collect()]
     rnd = random.Random(5)
     odd = [None, "", " \n\t ", "x" * 700, "x" * 70, "é" * 80, "aé" + "é" * 60, "Foo bar", "fOO BAR", "it's ΑΣ \u0085x y\x1cz <|endoftext|> don't'll Á #", "▁a ▁ b  c", "a b c d e " * 40, "\n\na\na\n a\n", found[3][1], found[3][1]]
+    morse = ["".join("ab"[(i.bit_count() + k) & 1] for i in range(2048)) for k in (0, 1)]  # both have one polynomial hash modulo 2^64
+    odd += ["\n".join(morse), " ".join([*morse, "and", morse[0]]), "a <|endoftext|> b x<|startoftext|>y <|ENDOFTEXT|> <| |>"]
     odd += ["".join(rnd.choice("ab ") for _ in range(rnd.choice([30, 49, 50, 51, 300]))) for _ in range(25)]
     return found + [(5000 + i, t) for i, t in enumerate(odd)]
 
@@ -266,11 +268,11 @@ def test_repeated_rows_score_alike(spark):
     assert len(got) == 4 and len({(r.doc_id, round(r.score, 9)) for r in got}) == 2 and got[0].train_tokens == 12
 
 
-def tokenizer():
+def tokenizer(special=True):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return t
 
 
@@ -299,17 +301,18 @@ def test_packing(rows, docs):
 
 
 def test_token_counts(rows, docs):
-    t = tokenizer()
+    t = tokenizer(special=False)
     want = {d: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for d, x in rows}
     got = separators.token_counts(docs, ids_per_block=100).collect()
     assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(rows)
+    assert all(r.file.startswith("/") or r.file.startswith("file:") for r in got)
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 100])
 def test_flat_files(spark, tmp_path, k):
     for name, ids in {"a": [5, 6, 2, 2, 7, 2, 9, 9], "b": [2, 2], "c": [3, 3, 3], "d": []}.items():
         np.array(ids, "<u2").tofile(tmp_path / f"{name}.bin")
-    got = separators.separator_scan(separators.read_token_files(spark, str(tmp_path), "<u2", k), 2, "<u2", k).collect()
+    got = separators.separator_scan(separators.read_blocks(separators.token_file_list(spark, str(tmp_path)), "<u2", k), 2, "<u2", k).collect()
     assert sorted((r.file[-5], r.ordinal, r.start, r.n_tokens, r.ended) for r in got) == [("a", 0, 0, 3, True), ("a", 1, 3, 1, True), ("a", 2, 4, 2, True), ("a", 3, 6, 2, False), ("b", 0, 0, 1, True), ("b", 1, 1, 1, True), ("c", 0, 0, 3, False)]
 
 
