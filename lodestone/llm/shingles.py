@@ -1,17 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, through a prefix-filter join.
-
-If all shingles have one order, two sets of similarity ``least`` or more share a shingle
-among the first n - ceil(least n) + 1 of each. So every distinct set emits that prefix, sets
-that meet in a shingle are candidates if their sizes and places allow the similarity, and
-candidates are verified on whole sets. No pair is lost, whatever the order is.
-
-The order is from rare to frequent, so that a common line is in few prefixes. Frequencies
-come from some of the documents; they decide the cost only.
-
-A group of many sets first compares all with its smallest one. What that links is one
-component, and only pairs across components are compared after it, so a large cluster
-costs few pairs.
-"""
+"""Sets of word shingles and their exact Jaccard similarity, for candidates that SimHash finds."""
 
 from __future__ import annotations
 
@@ -24,14 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, Substrings, blocks, mix, ranges
-from .components import components
-from .shared import arrow_map, documents, table
-
-#: Documents whose shingles are counted for the order, and most shingles that it ranks.
-COUNTED, RANKED = 20_000, 200_000
-#: Groups up to this size compare all pairs at once.
-SMALL, TILE = 8, 1024
-NODES = pa.list_(pa.int64())
+from .shared import arrow_map, table
 
 
 def sets(block: Block, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,16 +33,6 @@ def sets(block: Block, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return value, doc, size, mix(total[end] - total[end - size] + mix(size.astype(np.uint64)))
 
 
-def named(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node: equal sets have one name."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "doc_id", "text"):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids), "node": pa.array(sets(block, shingle)[3].view(np.int64))})
-
-    return arrow_map(docs, scan, "doc_id long, node long")
-
-
 def whole(docs: DataFrame, shingle: int) -> DataFrame:
     """node, shingles of each document."""
 
@@ -75,110 +45,6 @@ def whole(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(docs, scan, "node long, shingles array<long>")
 
 
-def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and their counts in some of the documents."""
-    step = max(docs.count() // COUNTED, 1)
-    some = whole(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0), shingle)
-    found = some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(RANKED).toArrow()
-    value, count = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
-    order = np.argsort(value)
-    return value[order], count[order]
-
-
-def groups(docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """node, n, place of the sets that have one shingle in their prefixes, a row for each shingle of two sets or more."""
-    ranked = docs.sparkSession.sparkContext.broadcast(frequent(docs, shingle))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = ranked.value
-        for block in blocks(batches, "doc_id", "text"):
-            value, doc, size, name = sets(block, shingle)
-            weight = np.zeros(len(value), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-                weight = np.where(known[at] == value, count[at], 0)
-            order = np.lexsort((value, weight, doc))
-            value = value[order]
-            place = ranges(np.zeros(len(size), np.int64), size)
-            prefix = size + (-size * least.numerator) // least.denominator + 1
-            use = place < prefix[doc]
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array(value[use].view(np.int64)), "node": pa.array(name[doc[use]].view(np.int64)), "n": pa.array(size[doc[use]].astype(np.int32)), "place": pa.array(place[use].astype(np.int32))})
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of the shingle that may go on in the next batch
-
-        def close(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)  # equal sets once
-            rows = rows[new]
-            start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
-            size = np.diff(np.append(start, len(rows)))
-            rows, size = rows[np.repeat(size > 1, size)], size[size > 1]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-            return pa.RecordBatch.from_pydict({c: pa.ListArray.from_arrays(offsets, pa.array(rows[:, i + 1])) for i, c in enumerate(("node", "n", "place"))})
-
-        for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
-            if not len(rows):
-                continue
-            rows = rows if held is None else np.concatenate([held, rows])
-            cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0])
-            if len(cut):
-                yield close(rows[: cut[-1] + 1])
-                rows = rows[cut[-1] + 1 :]
-            held = rows
-        if held is not None:
-            yield close(held)
-
-    made = arrow_map(docs, emit, "shingle long, node long, n int, place int")
-    return arrow_map(made.repartition("shingle").sortWithinPartitions("shingle", "node"), gather, "node array<long>, n array<long>, place array<long>")
-
-
-def candidates(grouped: DataFrame, least: Fraction, joined=None) -> DataFrame:
-    """src, dst that may be similar: of small groups all pairs, of others those with the smallest node; with joined (nodes, components), of those others all pairs across components."""
-    up, down = least.numerator, least.numerator + least.denominator
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch.column("node").value_lengths().to_numpy()
-            node, n, place = (batch.column(c).flatten().to_numpy() for c in ("node", "n", "place"))
-            start = np.cumsum(size) - size
-
-            def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                reach = np.minimum(n[a] - place[a], n[b] - place[b])  # most shingles they can share from this one on
-                fine = down * reach >= up * (n[a] + n[b])
-                return a[fine], b[fine]
-
-            def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-                a, b = (np.concatenate([node[p[i]] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                return pa.RecordBatch.from_pydict({"src": pa.array(both[:, 0]), "dst": pa.array(both[:, 1])})
-
-            if joined is None:
-                pairs = []
-                for k in range(2, SMALL + 1):
-                    i, j = np.triu_indices(k, 1)
-                    lot = start[size == k]
-                    pairs.append(near((lot[:, None] + i).ravel(), (lot[:, None] + j).ravel()))
-                large = size > SMALL
-                pairs.append(near(np.repeat(start[large], size[large] - 1), ranges(start[large] + 1, size[large] - 1)))
-                yield out(pairs)
-                continue
-            known, component = joined.value
-            own = node
-            if len(known):
-                at = np.minimum(np.searchsorted(known, node), len(known) - 1)
-                own = np.where(known[at] == node, component[at], node)
-            for s, k in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                for p in range(s, s + k, TILE):
-                    for q in range(p, s + k, TILE):
-                        i, j = np.nonzero(own[p : min(p + TILE, s + k), None] != own[None, q : min(q + TILE, s + k)])
-                        if len(i):
-                            yield out([near(i + p, j + q)])
-
-    return arrow_map(grouped, scan, "src long, dst long").distinct()
-
-
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """The pairs whose whole sets have the similarity."""
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -188,33 +54,3 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int,
     common = F.size(F.array_intersect("a", "b"))
     fine = common * (least.numerator + least.denominator) >= (F.size("a") + F.size("b")) * least.numerator
     return pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where(fine).select("src", "dst")
-
-
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, component_id (smallest doc_id reachable by links).
-
-    Documents link if the Jaccard similarity of their sets of shingles is least or more.
-    Defined results: null, empty and wordless texts have equal, empty sets and make one
-    class; fewer words than a shingle make one shingle; rows without an id are left out; of
-    documents of equal id each has its set; an empty table gives an empty table.
-    """
-    share = Fraction(least).limit_denominator(1000)
-    docs = documents(docs, key, text)
-    made = table(named(docs, shingle))
-    firsts = made.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    grouped = table(groups(docs, shingle, share))
-    found = table(verified(table(candidates(grouped, share)), firsts, docs, shingle, share))
-    first = components(found).toArrow()
-    order = np.argsort(first.column("node").to_numpy())
-    joined = docs.sparkSession.sparkContext.broadcast(tuple(first.column(c).to_numpy()[order] for c in ("node", "component")))
-    more = verified(table(candidates(grouped, share, joined)), firsts, docs, shingle, share)
-    of_node = components(table(found.unionByName(more)))
-    rooted = firsts.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    low = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return made.join(rooted.select("node", "component").join(low, "component"), "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that are the smallest of their class, with all their columns; rows without an id go."""
-    kept = near_classes(docs, key=key, **options).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, key, "left_semi").select(docs.columns)

@@ -10,6 +10,11 @@ out once: a pair at distance 3 has a differing bit in some third, and without it
 at most 2 bits, so balls of radius 1 over the remaining bits meet. That is 131 variants of
 42 or 43 bits for each distinct fingerprint, and no pair is lost.
 
+Similar sets of shingles are found by the same balls (``similar_classes``): the fingerprint is
+longer, and cut in parts of 32 bits. Sets of Jaccard similarity 0.8 differ in 15 % of the bits, so in two
+bits or fewer of some part with probability 0.95 for 24 parts (0.99 at similarity 0.83); balls of
+radius 1 over each part meet then, and the whole sets of those that meet are compared exactly.
+
 Only distinct fingerprints emit, so exact copies cost nothing. Pairs are not emitted
 either: the members of a variant are verified in blocks, and the links that leave are a
 spanning forest.
@@ -18,6 +23,7 @@ spanning forest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, Block, Words, blocks, ranges
+from .blocks import LOWER, Block, Words, blocks, mix, ranges
 from .components import components, forest
 from .shared import arrow_map, documents, partitions, table
+from .shingles import sets, verified
 
 SEED = 42
+#: For each byte a word with one of its bits in each byte.
+LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << np.arange(0, 64, 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+#: Parts of the fingerprints of similar sets, and groups up to this size compare all pairs at once.
+PARTS, SMALL, TILE = 24, 8, 1024
 
 
 def fingerprints(block: Block, shingle: int = 3) -> np.ndarray:
@@ -47,15 +58,23 @@ def fingerprints(block: Block, shingle: int = 3) -> np.ndarray:
     last = np.minimum(first + shingle, np.repeat(words.first[1:], of_doc)) - 1
     view, digest = memoryview(joined.tobytes()), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(view[a:b], SEED) for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True)), np.uint64, len(first))
-    bounds = np.concatenate([[0], np.cumsum(of_doc)])
-    out = np.zeros(len(block), np.uint64)
-    some = of_doc > 0
-    if some.any():
-        for byte in range(8):  # a byte of the hash at a time, to keep the counts small
-            bits = np.unpackbits(((hashes >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
-            total = np.add.reduceat(bits, bounds[:-1][some], axis=0, dtype=np.int64)
-            set_ = 2 * total > of_doc[some][:, None]
-            out[some] |= np.packbits(set_, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * byte)
+    return majority(hashes, np.concatenate([[0], np.cumsum(of_doc)]))
+
+
+def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each stretch of hashes a word whose bits are set if set in over half of them; of none: 0."""
+    size = np.diff(bounds)
+    out, some = np.zeros(len(size), np.uint64), size > 0
+    if not some.any():
+        return out
+    n, first = size[some], bounds[:-1][some]
+    lots = -(-n // 255)  # so many hashes at once, that counts in a byte each don't overflow
+    cut = np.repeat(first, lots) + 255 * ranges(np.zeros(len(n), np.int64), lots)
+    heads = np.cumsum(lots) - lots
+    for byte in range(8):
+        counts = np.add.reduceat(LANES[(hashes >> np.uint64(8 * byte)).astype(np.uint8)], cut)
+        total = np.add.reduceat(counts.view(np.uint8).reshape(-1, 8), heads, axis=0, dtype=np.int64)
+        out[some] |= np.packbits(2 * total > n[:, None], axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * byte)
     return out
 
 
@@ -173,10 +192,140 @@ def simhash_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return made.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are the smallest of their class, with all their columns; rows without an id go."""
-    kept = simhash_classes(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+def signatures(value: np.ndarray, size: np.ndarray, parts: int) -> np.ndarray:
+    """The fingerprint of each set, in parts of 32 bits; value holds the sets' members one set after the other."""
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    words = [majority(mix(value + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))), bounds) for i in range(1, parts // 2 + 1)]
+    return np.stack(words, axis=1).view(np.uint32) if len(size) else np.zeros((0, parts), np.uint32)
+
+
+def signed(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
+    """doc_id, node (the name of its set), n (the set's size), prints (the fingerprint's parts)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "doc_id", "text"):
+            value, _, size, name = sets(block, shingle)
+            prints = signatures(value, size, parts).view(np.int32).ravel()
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids), "node": pa.array(name.view(np.int64)), "n": pa.array(size.astype(np.int32)), "prints": pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * parts), pa.array(prints))})
+
+    return arrow_map(docs, scan, "doc_id long, node long, n int, prints array<int>")
+
+
+def by_key(rows: DataFrame, names: list[str]) -> DataFrame:
+    """A row for each key of two rows or more: key and arrays of the columns names (long), in order of the first one."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the key that may go on in the next batch
+
+        def close(rows: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            size = np.diff(np.append(start, len(rows)))
+            rows, size, start = rows[np.repeat(size > 1, size)], size[size > 1], start[size > 1]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            first = rows[np.cumsum(size) - size, 0]
+            return pa.RecordBatch.from_pydict({"key": pa.array(first)} | {c: pa.ListArray.from_arrays(offsets, pa.array(rows[:, i + 1])) for i, c in enumerate(names)})
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
+            if not len(rows):
+                continue
+            rows = rows if held is None else np.concatenate([held, rows])
+            cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0])
+            if len(cut):
+                yield close(rows[: cut[-1] + 1])
+                rows = rows[cut[-1] + 1 :]
+            held = rows
+        if held is not None:
+            yield close(held)
+
+    sorted_ = rows.select("key", *names).repartition("key").sortWithinPartitions("key", names[0])
+    return arrow_map(sorted_, gather, "key long, " + ", ".join(f"{c} array<long>" for c in names))
+
+
+def met(nodes: DataFrame, parts: int) -> DataFrame:
+    """key, node, n: the sets whose balls meet in a variant (key) of a part."""
+    flips = np.concatenate([np.zeros(1, np.uint32), np.uint32(1) << np.arange(32, dtype=np.uint32)])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                prints = part.column("prints").flatten().to_numpy().view(np.uint32).reshape(-1, parts)
+                key = (np.arange(parts, dtype=np.int64) << 32)[None, :, None] | (prints[:, :, None] ^ flips).astype(np.int64)
+                each = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), parts * len(flips)))  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.ravel()), "node": each("node"), "n": each("n")})
+
+    return by_key(arrow_map(nodes.select("node", "n", "prints"), emit, "key long, node long, n int"), ["node", "n"])
+
+
+def pairs_of(grouped: DataFrame, least: Fraction, across: bool = False) -> DataFrame:
+    """src, dst that may be similar by their sizes.
+
+    Of groups up to SMALL all pairs, of others those with the first node; across instead gives
+    the pairs of different components (a column of grouped, an array like node).
+    """
+    up, down = least.numerator, least.denominator
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("node").value_lengths().to_numpy()
+            node, n = (batch.column(c).flatten().to_numpy() for c in ("node", "n"))
+            start = np.cumsum(size) - size
+
+            def out(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+                fine = down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j])  # noqa: B023
+                a, b = node[i[fine]], node[j[fine]]  # noqa: B023
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                return pa.RecordBatch.from_pydict({"src": pa.array(both[:, 0]), "dst": pa.array(both[:, 1])})
+
+            if not across:
+                for k in range(2, SMALL + 1):
+                    i, j = np.triu_indices(k, 1)
+                    lot = start[size == k]
+                    yield out((lot[:, None] + i).ravel(), (lot[:, None] + j).ravel())
+                large = size > SMALL
+                yield out(np.repeat(start[large], size[large] - 1), ranges(start[large] + 1, size[large] - 1))
+                continue
+            own = batch.column("component").flatten().to_numpy()
+            for s, k in zip(start.tolist(), size.tolist(), strict=True):
+                for p in range(s, s + k, TILE):
+                    for q in range(p, s + k, TILE):
+                        i, j = np.nonzero(own[p : min(p + TILE, s + k), None] != own[None, q : min(q + TILE, s + k)])
+                        if len(i):
+                            yield out(i + p, j + q)
+
+    return arrow_map(grouped, scan, "src long, dst long").distinct()
+
+
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, parts: int = PARTS) -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable by links).
+
+    Documents link if the Jaccard similarity of their sets of shingles is least or more and their
+    fingerprints differ in two bits or fewer of one of the parts. Large groups first compare
+    all with one member; only pairs across the components that this makes are compared after
+    it. Defined results: null, empty and wordless texts have equal, empty sets and make one
+    class; fewer words than a shingle make one shingle; rows without an id are left out; of
+    documents of equal id each has its set; an empty table gives an empty table.
+    """
+    share = Fraction(least).limit_denominator(1000)
+    docs = documents(docs, key, text)
+    made = table(signed(docs, shingle, parts))
+    firsts = table(made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prints").alias("prints")))
+    grouped = table(met(firsts.where("n > 0").repartition(max(partitions(docs.sparkSession), 1)), parts))
+    found = table(verified(table(pairs_of(grouped, share)), firsts, docs, shingle, share))
+    large = grouped.where(F.size("node") > SMALL).select("key", F.explode(F.arrays_zip("node", "n")).alias("x")).select("key", "x.node", "x.n")
+    joined = large.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = verified(table(pairs_of(by_key(joined, ["node", "n", "component"]), share, across=True)), firsts, docs, shingle, share)
+    of_node = components(found.unionByName(more))
+    rooted = firsts.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    low = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return made.select("doc_id", "node").join(rooted.select("node", "component").join(low, "component"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that are the smallest of their class of similar texts, with all their columns; rows without an id stay."""
+    gone = similar_classes(docs, key, text, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, key, "left_anti").select(docs.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

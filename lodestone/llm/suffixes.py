@@ -32,11 +32,11 @@ def suffix_array_dedup(docs: DataFrame, size: int = 50, **options) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 50) -> DataFrame:
-    """docs with the repeated spans cut out of the texts, to whole characters; n_chars, if there, is counted anew. All other columns stay; rows without an id go."""
+    """docs with the repeated spans cut out of the texts, to whole characters; n_chars, if there, is counted anew. All other columns stay, and rows without an id stay as they are."""
     out = suffix_array_dedup(docs, size, key=key, text=text, whole_characters=True, carry=docs.columns)
     kept = F.col("kept").cast("string")
     column = {text: kept} | ({"n_chars": F.char_length(kept).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[column.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
+    return out.select(*[column.get(c, F.col("carried")[c]).alias(c) for c in docs.columns]).unionByName(docs.where(F.col(key).isNull()))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_stages(spark):
     good = stage["quality"](spark, docs, DATA)
     assert good.schema == docs.schema and ids(good) == ids(quality.quality_cascade(docs).where("kept"))
     one = stage["simhash"](spark, docs, DATA)
-    assert one.columns == docs.columns and ids(one) == ids(simhash.simhash_classes(docs, shingle=5).where("doc_id = component_id"))
+    assert one.columns == docs.columns and ids(one) == ids(simhash.similar_classes(docs).where("doc_id = component_id"))
     cut = stage["suffixes"](spark, docs, DATA)
     assert cut.columns == docs.columns and ids(cut) == ids(docs)
     removed = {r.doc_id: r.n_removed for r in suffixes.suffix_array_dedup(docs).collect()}

@@ -1,4 +1,4 @@
-"""Near-duplicates by shingle similarity against a brute-force version."""
+"""Classes of similar shingle sets, which SimHash finds, against a brute-force version."""
 
 import random
 import re
@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import shingles
+from lodestone.llm import simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,13 +46,30 @@ def rows():
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize(("shingle", "least", "small"), [(5, 0.8, 8), (5, 0.8, 1), (3, 0.5, 2)])
-def test_near_classes(spark, rows, shingle, least, small, monkeypatch):
-    monkeypatch.setattr(shingles, "SMALL", small)
+@pytest.mark.parametrize("small", [8, 1])
+def test_similar_classes(spark, rows, small, monkeypatch):
+    """No false link, and hardly one is lost: a link at exactly 0.8 with probability 0.05, at 0.85 with 0.005."""
+    monkeypatch.setattr(simhash, "SMALL", small)
     docs = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.component_id for r in shingles.near_classes(docs, shingle=shingle, least=least).collect()}
-    want = brute(rows, shingle, *((4, 5) if least == 0.8 else (1, 2)))
-    assert got == want and len(set(want.values())) < len(want) - 20
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs).collect()}
+    want = brute(rows, 5, 4, 5)
+    assert got.keys() == want.keys() and len(set(want.values())) < len(want) - 20
+    assert all(want[d] == want[c] for d, c in got.items())
+    assert sum(got[d] == want[d] for d in want) / len(want) > 0.97
+
+
+def test_signatures_do_not_depend_on_blocks():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    size = np.array([0, 1, 3, 254, 255, 256, 1000, 0, 2])
+    value = rnd.integers(0, 1 << 63, size.sum(), dtype=np.uint64)
+    every = simhash.signatures(value, size, 4)
+    at = np.cumsum(size) - size
+    for k, (a, n) in enumerate(zip(at, size, strict=True)):
+        assert (simhash.signatures(value[a : a + n], size[k : k + 1], 4)[0] == every[k]).all()
+        bits = [sum(int(x) >> b & 1 for x in simhash.mix(value[a : a + n] + np.uint64(0x9E3779B97F4A7C15))) * 2 > n for b in range(64)]
+        assert int(every[k, 0]) | int(every[k, 1]) << 32 == sum(1 << b for b in range(64) if bits[b])
 
 
 def test_stage_drops_edited_copies(spark):
@@ -65,4 +82,4 @@ def test_stage_drops_edited_copies(spark):
 
 
 def test_empty(spark):
-    assert shingles.near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash.similar_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
