@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import packing, quality, shingles, suffixes, toxicity
+from lodestone.llm import packing, quality, simhash, suffixes, toxicity
 from lodestone.llm.shared import table
 
 
@@ -27,7 +27,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest, of each class of near-duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more."""
-    return shingles.keep_one(docs, shingle=5, least=0.8)
+    return simhash.keep_one(docs, shingle=5, least=0.8)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
