@@ -1,21 +1,25 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton of words, pairs and triples of words.
 
-The model is an automaton over words: the root has an arc for every known word, and every
-word is a state with arcs for the words seen after it and a failure arc to the root.
+The root has an arc for every known word; every known word and every known pair of words is
+a state. A state has arcs for the words seen after it and a failure arc to the state of its
+history without the oldest word (the root, at last). With c the counts, t_n the strength of order n:
 
-* An arc of state h for word w weighs (c(hw) + t P(w)) / (c(h) + t), the failure arc
-  t / (c(h) + t) (Dirichlet smoothing with strength t).
+* An arc of state h for word w weighs (c(hw) + t_n P(w | h')) / (c(h) + t_n), h' being what h's
+  failure arc leads to, and the failure arc t_n / (c(h) + t_n) (Dirichlet smoothing).
 * The root's arcs weigh P(w) = (c(w) - d) / N, and one arc for all unknown words d V / N
   (absolute discounting, d from the numbers of words seen once and twice).
 
-A document begins in the state of the end token and is traversed once from left to right,
-carrying the state and adding up log-probabilities. The state after a word is the word, so a
-block of documents is traversed by gathers.
+A document begins in the state of the end token and is traversed once from left to right: a
+word takes its arc, or failure arcs until a state has one, and log-weights add up. The state
+carried on is that of the longest known history. The documents of a block take their
+steps together.
 
 The counts grow with the corpus, so no worker holds the whole automaton. Documents form
-blocks; a block asks for the counts of its own words and pairs (hashes, sorted, dealt out in
-slices of the hash range); each slice adds up what all blocks learned and answers every
-block; a block's answers are its part of the automaton.
+blocks; a block asks for the counts of its own words, pairs and triples (hashes, sorted, dealt
+out in slices of the hash range); each slice adds up what all blocks learned and answers
+every block; a block's answers are its part of the automaton. A slice covers a fixed
+volume of text, and a block sends nothing to a slice where it has no key, so requests
+grow in proportion to the text.
 """
 
 from __future__ import annotations
@@ -38,12 +42,15 @@ TOKENS = 1_500_000  # of a block
 BYTES_PER_SLICE = 1 << 23
 
 
-def pairs(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before it; documents begin after an end token."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[first[:-1]] = END_HASH
-    return mix(before * np.uint64(0xD6E8FEB86659FD93) + tokens)
+def grams(tokens: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The hash of each token, of it with the one before it, and with the two before it; documents begin after an end token."""
+    out = [tokens]
+    for _ in range(2):
+        before = np.empty_like(tokens)
+        before[1:] = out[-1][:-1]
+        before[first[:-1]] = END_HASH
+        out.append(mix(before * np.uint64(0xD6E8FEB86659FD93) + tokens))
+    return out
 
 
 class Corpus:
@@ -78,14 +85,23 @@ def corpora(batches: Iterator[pa.RecordBatch], learned: Callable[[int], bool]) -
         yield made()
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit values by byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def packed(values: np.ndarray, width: int = 4) -> bytes:
+    """Unsigned integers of width bytes by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def unpacked(raw: bytes, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)), 8)
+
+
+def keys_of(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, 8), dtype=np.uint64)
 
 
 REQUEST = "slice int, block long, kind int, keys binary, learned binary"
@@ -99,29 +115,68 @@ class Totals:
     discount: float
 
 
-def score_block(corpus: Corpus, counts: list[np.ndarray], inverse: list[np.ndarray], totals: Totals, strength: float) -> dict[str, np.ndarray]:
+class Automaton:
+    """A block's part of the automaton: for the arcs that its words can take, their weights.
+
+    counts and inverse hold, for words, pairs and triples, the counts and which of them stands
+    at each position.
+    """
+
+    def __init__(self, corpus: Corpus, counts: list[np.ndarray], inverse: list[np.ndarray], totals: Totals, strengths: tuple[float, float]):
+        self.first = corpus.first
+        word, pair, triple = (c[i].astype(float) for c, i in zip(counts, inverse, strict=True))
+        end = word[corpus.first[1:] - 1]  # every document ends with the end token, and begins after one
+        self.first_state = (end > 0).astype(np.int8)
+        before, pair_before = (np.concatenate([[0.0], x[:-1]]) for x in (word, pair))
+        before[corpus.first[:-1]] = end
+        root = np.where(word > 0, (word - totals.discount) / totals.tokens, totals.discount * totals.words / totals.tokens)
+        fail = [strengths[0] / (before + strengths[0]), strengths[1] / (pair_before + strengths[1])]
+        low = np.where(pair > 0, (pair + strengths[0] * root) / (before + strengths[0]), fail[0] * root)
+        high = (triple + strengths[1] * low) / (pair_before + strengths[1])
+        #: Log-weights at each position: of the word's arc from the root, a word's state and a pair's state; of the failure arcs of the latter two.
+        self.arc, self.fail = [np.log10(root), np.log10(low), np.log10(high)], [np.zeros(len(word)), *map(np.log10, fail)]
+        self.has = [np.ones(len(word), bool), pair > 0, triple > 0]
+        self.known, self.known_pair = word > 0, pair > 0
+
+    def traverse(self) -> np.ndarray:
+        """The sum of each document's log-weights; states are told by the length of their history."""
+        length = np.diff(self.first)
+        order = np.argsort(-length, kind="stable")
+        start = self.first[:-1][order]
+        ascending = np.sort(length)
+        state, total = self.first_state[order].copy(), np.zeros(len(length))
+        for step in range(int(length.max(initial=0))):
+            alive = len(length) - int(np.searchsorted(ascending, step, "right"))
+            at, now = start[:alive] + step, state[:alive]
+            for n in (2, 1):  # failure arcs, from states that have no arc for the word
+                lost = (now == n) & ~self.has[n][at]
+                if lost.any():
+                    total[:alive][lost] += self.fail[n][at[lost]]
+                    now[lost] = n - 1
+            total[:alive] += np.choose(now, [x[at] for x in self.arc])
+            # the longest known history that this word ends; a document's first word has the end token before it
+            now[:] = np.where(self.known_pair[at], 2, self.known[at])
+        out = np.empty(len(length))
+        out[order] = total
+        return out
+
+
+def score_block(corpus: Corpus, counts: list[np.ndarray], inverse: list[np.ndarray], totals: Totals, strengths: tuple[float, float]) -> dict[str, np.ndarray]:
     """What the query reports of each document."""
     n, v = totals.tokens, totals.words
     own = counts[0][inverse[0]].astype(float)
     add = lambda x: np.add.reduceat(x, corpus.first[:-1])
-    base = np.log10((own + 0.5) / (n + 0.5 * (v + 1)))
-    if n:
-        root = np.where(own > 0, (own - totals.discount) / n, totals.discount * v / n)
-        pair = counts[1][inverse[1]].astype(float)
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        ends = own[corpus.first[1:] - 1]  # every document ends with the end token
-        before[corpus.first[:-1]] = ends
-        logs = np.log10((pair + strength * root) / (before + strength))
-    else:
-        logs = base
-    return {"n_tokens": np.diff(corpus.first), "n_known": add((own > 0).astype(np.int64)), "base_score": add(base), "score": add(logs)}
-
-
-def lm_scores(docs: DataFrame, learned: Callable[[int], bool], key: str = "doc_id", text: str = "text", strength: float = 30.0) -> DataFrame:
+    base = add(np.log10((own + 0.5) / (n + 0.5 * (v + 1))))
+    score = Automaton(corpus, counts, inverse, totals, strengths).traverse() if n else base
+    return {"n_tokens": np.diff(corpus.first), "n_known": add((own > 0).astype(np.int64)), "base_score": base, "score": score}
+
+
+def lm_scores(docs: DataFrame, learned: Callable[[int], bool], key: str = "doc_id", text: str = "text", strengths: tuple[float, float] = (30.0, 10.0)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
-    Counts are taken over all documents for whose id learned is true. Defined results: a null or
+    Counts are taken over all documents for whose id learned is true; strengths are those of
+    pairs and triples. The table is read twice and must give its rows in one order: else the job
+    fails, it never scores with wrong counts. Defined results: a null or
     empty text is its end token alone; without any training document nothing is known and
     score equals base_score; repeated rows count and are scored each; rows without an id are
     left out; an empty table gives an empty table.
@@ -136,25 +191,25 @@ def lm_scores(docs: DataFrame, learned: Callable[[int], bool], key: str = "doc_i
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for corpus in corpora(batches, learned):
             learn = np.repeat(corpus.learn, np.diff(corpus.first))
-            for kind, tokens in enumerate((corpus.tokens, pairs(corpus.tokens, corpus.first))):
+            for kind, tokens in enumerate(grams(corpus.tokens, corpus.first)):
                 keys, inverse = np.unique(tokens, return_inverse=True)
                 count = np.bincount(inverse[learn], minlength=len(keys)).astype("<u4")
                 cut = split(keys)
                 some = [s for s in range(1 << bits) if cut[s + 1] > cut[s]]
                 yield pa.RecordBatch.from_pydict({
                     "slice": pa.array(some, pa.int32()), "block": pa.array([corpus.name] * len(some), pa.int64()), "kind": pa.array([kind] * len(some), pa.int32()),
-                    "keys": pa.array([keys[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary()), "learned": pa.array([packed(count[cut[s] : cut[s + 1]]) for s in some], pa.binary()),
+                    "keys": pa.array([steps(keys[cut[s] : cut[s + 1]]) for s in some], pa.binary()), "learned": pa.array([packed(count[cut[s] : cut[s + 1]]) for s in some], pa.binary()),
                 })
 
     def answer(rows: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("keys")]
+        keys = [keys_of(x.as_py()) for x in rows.column("keys")]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([unpacked(x.as_py()) for x in rows.column("learned")]), len(every)).astype(np.int64)
         at = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
-        found = np.minimum(total[inverse], 0xFFFFFFFF)
+        found = total[inverse]
         stats = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
         first = lambda x: [x] + [0] * (len(keys) - 1)  # noqa: E731  a slice's figures stand in its first row
-        return pa.table({"block": rows.column("block"), "kind": rows.column("kind"), "slice": rows.column("slice"), "counts": pa.array([packed(found[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())} | {n: pa.array(first(x), pa.int64()) for n, x in zip(("total", "distinct", "once", "twice"), stats, strict=True)})
+        return pa.table({"block": rows.column("block"), "kind": rows.column("kind"), "slice": rows.column("slice"), "counts": pa.array([packed(found[a:b], 8) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())} | {n: pa.array(first(x), pa.int64()) for n, x in zip(("total", "distinct", "once", "twice"), stats, strict=True)})
 
     answers = table(arrow_map(docs, ask, REQUEST).groupBy("slice", "kind").applyInArrow(answer, ANSWER))
     n, v, once, twice = answers.where("kind = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "once", "twice"))).first()
@@ -173,8 +228,8 @@ def lm_scores(docs: DataFrame, learned: Callable[[int], bool], key: str = "doc_i
         one = np.ones(len(kinds), bool)
         one[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
         given, kinds = given.filter(pa.array(one)), kinds[one]
-        every = [unpacked(x.as_py()) for x in given.column("counts")]
-        counts = [np.concatenate([x for x, k in zip(every, kinds, strict=True) if k == kind] or [np.zeros(0, np.uint32)]) for kind in (0, 1)]
+        every = [unpacked(x.as_py(), 8) for x in given.column("counts")]
+        counts = [np.concatenate([x for x, k in zip(every, kinds, strict=True) if k == kind] or [np.zeros(0, np.uint64)]) for kind in (0, 1, 2)]
         out = []
         for row in range(block.num_rows):  # one, unless rows repeat
             get = lambda c: block.column(c)[row].as_py()  # noqa: B023, E731
@@ -183,10 +238,10 @@ def lm_scores(docs: DataFrame, learned: Callable[[int], bool], key: str = "doc_i
             inverse = unpacked(get("tokens"))
             tokens = np.frombuffer(get("words"), np.uint64)[inverse]
             corpus = Corpus(ids, np.unpackbits(np.frombuffer(get("learn"), np.uint8), count=len(ids)).astype(bool), tokens, first)
-            _, two = np.unique(pairs(tokens, first), return_inverse=True)
-            if int(inverse.max()) >= len(counts[0]) or int(two.max()) >= len(counts[1]):
+            places = [inverse, *(np.unique(x, return_inverse=True)[1] for x in grams(tokens, first)[1:])]
+            if any(int(p.max()) >= len(c) for p, c in zip(places, counts, strict=True)):
                 raise RuntimeError("a block's counts are missing: its documents were read in another order")
-            out.append(pa.table({"doc_id": pa.array(ids), "held_out": pa.array(~corpus.learn), "train_tokens": pa.array(np.full(len(ids), n), pa.int64())} | {k: pa.array(x) for k, x in score_block(corpus, counts, [inverse, two], totals, strength).items()}))
+            out.append(pa.table({"doc_id": pa.array(ids), "held_out": pa.array(~corpus.learn), "train_tokens": pa.array(np.full(len(ids), n), pa.int64())} | {k: pa.array(x) for k, x in score_block(corpus, counts, places, totals, strengths).items()}))
         return pa.concat_tables(out).select(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]) if out else SCORED_EMPTY
 
     held = arrow_map(docs, hold, "block long, ids binary, learn binary, lengths binary, words binary, tokens binary")

@@ -244,22 +244,49 @@ def test_toxicity_held_out(spark, empty):
 
 
 def test_scores(rows, docs):
-    got = {r.doc_id: r for r in scoring.lm_scores(docs, scoring.every_fifth_left_out, strength=30.0).collect()}
+    got = {r.doc_id: r for r in scoring.lm_scores(docs, scoring.every_fifth_left_out, strengths=(30.0, 4.0)).collect()}
     tokens_ = {d: re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())) + ["end"] for d, t in rows}
-    c, pairs = collections.Counter(), collections.Counter()
+    c, n_of = collections.Counter(), [collections.Counter() for _ in range(4)]
     for d, ts in tokens_.items():
         if zlib.crc32(str(d).encode()) % 5 != 1:
             c.update(ts)
-            pairs.update(zip(["end", *ts], ts))
+            line = ["end", *ts]
+            for k in (2, 3):
+                n_of[k].update(tuple(line[i : i + k]) for i in range(len(line) - k + 1))
     n, v = sum(c.values()), len(c)
     once, twice = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
     dis = min(max(once / (once + 2 * twice), 0.1), 0.9)
-    root = lambda t: (c[t] - dis) / n if c[t] else dis * v / n
+
+    # the automaton as dictionaries: states by their history, arcs and failure arcs with their weights
+    def chance(history, w):
+        if not history:
+            return (c[w] - dis) / n if c[w] else dis * v / n
+        seen = c[history[0]] if len(history) == 1 else n_of[2][history]
+        t = (30.0, 4.0)[len(history) - 1]
+        return (n_of[len(history) + 1][(*history, w)] + t * chance(history[1:], w)) / (seen + t)
+
+    def walk(ts):
+        state, total = ("end",), 0.0
+        for w in ts:
+            history = state
+            while state and not n_of[len(state) + 1][(*state, w)]:
+                t = (30.0, 4.0)[len(state) - 1]
+                total += math.log10(t / ((c[state[0]] if len(state) == 1 else n_of[2][state]) + t))
+                state = state[1:]
+            total += math.log10(chance(state, w))
+            state = (*history, w)[-2:]
+            while state and not (n_of[2][state] if len(state) == 2 else c[state[0]]):
+                state = state[1:]
+        return total
+
     for d, ts in tokens_.items():
         r = got[d]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ts), sum(c[t] > 0 for t in ts), n, zlib.crc32(str(d).encode()) % 5 == 1)
         assert math.isclose(r.base_score, sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10((pairs[h, t] + 30 * root(t)) / (c[h] + 30)) for h, t in zip(["end", *ts], ts)), rel_tol=1e-9)
+        assert math.isclose(r.score, walk(ts), rel_tol=1e-9)
+    # every state's arcs and failure arc spend exactly its probability
+    for history in [("end",), *random.Random(2).sample(sorted(k for k in n_of[2] if "end" not in k), 3)]:
+        assert math.isclose(sum(chance(history, w) for w in c) + chance(history, "unknown word"), 1, rel_tol=1e-9)
 
 
 def test_repeated_rows_score_alike(spark):
