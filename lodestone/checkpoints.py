@@ -9,13 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    """A new folder name below the shared checkpoint folder, spark.checkpoint.dir; on a laptop where it is unset, below a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="lodestone-"))
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again: its size is then known, so a small one is broadcast."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df computed now; its blocks lie in spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """df computed now; its blocks lie in the shared folder."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)

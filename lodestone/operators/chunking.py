@@ -85,7 +85,8 @@ def reassembled(listed: DataFrame, content: DataFrame, headers: DataFrame, key:
             whole = [(b"".join(bytes(p["bytes"]) for p in sorted(parts, key=lambda p: p["ordinal"]) if p["bytes"] is not None)) for parts in g["parts"]]
             yield pd.DataFrame({key: g[key], "size": [len(w) for w in whole], "sha256": [hashlib.sha256(w).hexdigest() for w in whole]})
 
-    parts = listed.join(content, "content", "left").groupBy(key).agg(F.collect_list(F.struct("ordinal", "bytes")).alias("parts"))
+    # a blob without chunks is empty, and has a header all the same
+    parts = headers.select(key).join(listed.join(content, "content", "left"), key, "left").groupBy(key).agg(F.collect_list(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "bytes"))).alias("parts"))
     made = parts.mapInPandas(join, f"{key} {dict(listed.dtypes)[key]}, size long, sha256 string")
     ok = (F.col("size") == F.col("logical_size")) & (F.col("sha256") == F.col("logical_sha256"))
     return made.join(headers, key).select(key, "size", "sha256", F.coalesce(ok, F.lit(False)).alias("valid"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cost_micros
+from .store import set_ref
 
 
 def policy(subjects: DataFrame, attestations: DataFrame, required: Iterable[str] = (), issuers: Iterable[str] = (), signed: bool = False, least: int = 0) -> DataFrame:
@@ -89,3 +90,9 @@ def routed(references: DataFrame, profiles: DataFrame, providers: DataFrame) ->
     routed_ = references.join(p, "scheme", "left").withColumn("wanted", F.coalesce("kind", "scheme"))
     routed_ = routed_.join(by_name, "kind", "left").join(by_scheme, F.col("wanted") == F.col("k2"), "left")
     return routed_.select("scheme", "locator", F.coalesce("n1", "n2").alias("provider"), F.coalesce("s1", "k2").alias("effective"))
+
+
+def promoted(refs: DataFrame, wanted: DataFrame, verdicts: DataFrame, at: str, mutable: bool = False) -> DataFrame:
+    """refs after pointing the names of wanted (name, artifact) to their artifacts, where the policy's verdicts (subject, passes) allow it."""
+    fine = wanted.join(verdicts.where("passes").select(F.col("subject").alias("artifact")), "artifact", "left_semi")
+    return set_ref(refs, fine.select("name", "artifact", F.lit(at).cast("timestamp").alias("updated_at"), F.lit(not mutable).alias("immutable")))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpoint
+from ..checkpoints import written
 from .history import live
+from .store import verified
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -21,22 +22,22 @@ def union(frames: list[DataFrame]) -> DataFrame:
 def closure(roots: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """node, depth of all nodes that roots reach; roots has node, edges has src and dst.
 
-    Each round joins only the newest nodes with the edges. Every round's nodes are
-    checkpointed once; rounds are merged now and then, so plans stay short and nodes aren't
-    rewritten each round. Cycles end by the anti join. Nodes without a row of their own are
-    reached but not expanded.
+    Edges are written once, dealt out by src. Each round joins only the newest nodes with them, and
+    every round's nodes are written once; a small frontier is broadcast, so edges are not
+    shuffled again. Rounds are merged now and then. Cycles end by the anti join. Nodes without
+    a row of their own are reached but not expanded.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    frontier = checkpoint(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
+    edges = written(edges.select("src", "dst").where("src is not null and dst is not null").repartition("src").distinct())
+    frontier = written(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     rounds = [frontier]
     for depth in range(1, most_rounds + 1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = checkpoint(step.join(union(rounds).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        step = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = written(step.join(union(rounds).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return union(rounds)
         rounds.append(frontier)
         if len(rounds) > 8:
-            rounds = [checkpoint(union(rounds))]
+            rounds = [written(union(rounds))]
     raise RuntimeError(f"not closed after {most_rounds} rounds")
 
 
@@ -105,15 +106,44 @@ def levels(dependencies: dict[str, Iterable[str]]) -> list[list[str]]:
 
 def level_table(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
     """task, level for a DAG as tables (task; task, depends_on): the longest path to a source. Raises on a cycle."""
-    rest = checkpoint(tasks.select("task").distinct())
-    edges = checkpoint(dependencies.join(rest.withColumnRenamed("task", "depends_on"), "depends_on", "left_semi").select("task", "depends_on"))
-    done, level = None, 0
-    while not rest.isEmpty():
-        ready = checkpoint(rest.join(edges, "task", "left_anti").withColumn("level", F.lit(level)))
+    nodes = tasks.select("task").distinct()
+    edges = written(dependencies.join(nodes.withColumnRenamed("task", "depends_on"), "depends_on", "left_semi").select("task", "depends_on").distinct())
+    waiting, level = edges.select("task").distinct(), 0
+    ready = written(nodes.join(waiting, "task", "left_anti").withColumn("level", F.lit(level)))
+    rounds = [ready]
+    while not edges.isEmpty():
         if ready.isEmpty():
             raise ValueError("cycle")
-        done = ready if done is None else checkpoint(done.unionByName(ready))
-        rest = checkpoint(rest.join(ready, "task", "left_anti"))
-        edges = checkpoint(edges.join(ready.select(F.col("task").alias("depends_on")), "depends_on", "left_anti"))
+        left = written(edges.join(ready.select(F.col("task").alias("depends_on")), "depends_on", "left_anti"))
         level += 1
-    return done if done is not None else tasks.select("task").withColumn("level", F.lit(0)).limit(0)
+        ready = written(edges.select("task").distinct().join(left.select("task").distinct(), "task", "left_anti").withColumn("level", F.lit(level)))
+        edges = left
+        rounds = [written(union(rounds)), ready] if len(rounds) > 8 else [*rounds, ready]
+    return union(rounds)
+
+
+def integrity(roots: DataFrame, edges: DataFrame, objects: DataFrame, identity: str = "id", data: str = "content") -> DataFrame:
+    """node, status (missing or corrupt) of what roots reach and objects (id, content) doesn't hold as it should; no rows if all is well."""
+    reached = closure(roots, edges).select(F.col("node").alias(identity))
+    return verified(reached, objects, identity, data).where("status <> 'ok'").select(F.col(identity).alias("node"), "status")
+
+
+def image_layers(roots: DataFrame, edges: DataFrame, artifacts: DataFrame, objects: DataFrame) -> DataFrame:
+    """node, role, ordinal, size: the layers of an image that holds all that roots reach, each once.
+
+    Manifests of artifacts come before contents at the same depth, in order of their identities.
+    artifacts (id, size) are manifests, objects (id, size) contents.
+    """
+    reached = closure(roots, edges)
+    both = artifacts.select("id", "size", F.lit("artifact-manifest").alias("role")).unionByName(objects.select("id", "size", F.lit("content").alias("role")))
+    layers = reached.join(both.withColumnRenamed("id", "node"), "node")
+    return numbered(layers, ["depth", "role", "node"], "ordinal").select("node", "role", "ordinal", "size")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in order, from 0; by ranges, so that no task holds them all."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    parts = written(parts)
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    return parts.join(F.broadcast(sizes.withColumn("_before", before)), "_p").withColumn(name, F.col("_before") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_n", "_first", "_before")

@@ -90,3 +90,11 @@ def field_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> D
 
     both = long(old, "old").join(long(new, "new"), [key, "field"], "full")
     return both.where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def inspected(artifacts: DataFrame, observations: DataFrame, realizations: DataFrame, outputs: DataFrame, attestations: DataFrame) -> DataFrame:
+    """All that is known of each artifact (id, manifest): sources, producers and attestations, as sorted arrays."""
+    seen = observations.groupBy(F.col("artifact").alias("id")).agg(F.array_sort(F.collect_list("canonical_ref")).alias("sources"))
+    made = outputs.join(realizations.select(F.col("id").alias("realization_id")), "realization_id", "left_semi").groupBy(F.col("artifact").alias("id")).agg(F.array_sort(F.collect_list("realization_id")).alias("producers"))
+    said = attestations.groupBy(F.col("subject").alias("id")).agg(F.array_sort(F.collect_list("predicate_type")).alias("attestations"))
+    return artifacts.join(seen, "id", "left").join(made, "id", "left").join(said, "id", "left")

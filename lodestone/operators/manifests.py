@@ -9,11 +9,15 @@ from ..functions.scalars import content_id
 
 
 def quoted(text: Column | str) -> Column:
-    """JSON text of a string without control characters other than tab and line breaks."""
+    """JSON text of a string: quotes, backslashes and all control characters below U+0020 escaped, the short way where there is one."""
     c = F.col(text) if isinstance(text, str) else text
-    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"')):
         c = F.replace(c, F.lit(plain), F.lit(escaped))
-    return F.concat(F.lit('"'), c, F.lit('"'))
+    short = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    whole = c
+    for code in range(0x20):
+        whole = F.replace(whole, F.lit(chr(code)), F.lit(short.get(chr(code), f"\\u{code:04x}")))
+    return F.concat(F.lit('"'), F.when(c.rlike("[\\x00-\\x1f]"), whole).otherwise(c), F.lit('"'))
 
 
 def digest_json(identity: Column | str) -> Column:
@@ -79,3 +83,13 @@ def same_set(a: DataFrame, b: DataFrame) -> bool:
 
 def repeated_keys(entries: DataFrame, keys: list[str]) -> DataFrame:
     return entries.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def blobs_of(entries: DataFrame) -> DataFrame:
+    """Entries that a task is mapped over: blobs, not trees or links."""
+    return entries.where(F.col("kind") == "blob")
+
+
+def decoded(rows: DataFrame, record: str, schema: str, name: str = "record") -> DataFrame:
+    """rows with a column of JSON text as a typed record; NULL where it is no such JSON."""
+    return rows.withColumn(name, F.from_json(record, schema))

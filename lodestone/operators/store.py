@@ -65,3 +65,24 @@ def stats(content: DataFrame, artifacts: DataFrame, refs: DataFrame, leases: Dat
     a = artifacts.agg(F.count("*").alias("artifacts"), F.coalesce(F.sum(size), F.lit(0)).alias("_a"))
     r, n = refs.agg(F.count("*").alias("refs")), leases.agg(F.count("*").alias("leases"))
     return c.crossJoin(a).crossJoin(r).crossJoin(n).select("content_objects", "artifacts", "refs", "leases", (F.col("_c") + F.col("_a")).alias("physical_bytes"))
+
+
+def get_refs(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """name, artifact of each name asked for; artifact is null where there is no such ref."""
+    return names.select("name").distinct().join(refs.select("name", "artifact"), "name", "left")
+
+
+def delete_refs(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """refs without those named; a name without a ref is no fault, and an immutable ref may be deleted."""
+    return refs.join(names.select("name").distinct(), "name", "left_anti")
+
+
+def attested(attestations: DataFrame, new: DataFrame) -> DataFrame:
+    """attestations after adding new ones (id, subject, predicate_type, statement, created_at, issuer), which nobody signed yet."""
+    return appended(attestations, new.withColumn("signature", F.lit(None).cast("string"))).select(attestations.columns).unionByName(attestations)
+
+
+def put_manifests(artifacts: DataFrame, new: DataFrame) -> DataFrame:
+    """artifacts (id, manifest) after putting canonical manifests: named by their hash, written once."""
+    made = new.select(content_id("manifest").alias("id"), "manifest")
+    return artifacts.select("id", "manifest").unionByName(appended(artifacts, made).select("id", "manifest"))

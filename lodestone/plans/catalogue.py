@@ -89,12 +89,12 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 _EDGES = """edges AS (SELECT 'customer:' || o_custkey AS src, 'order:' || o_orderkey AS dst FROM orders
  UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey FROM lineitem UNION ALL SELECT 'order:' || l_orderkey, 'supplier:' || l_suppkey FROM lineitem
  UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation)"""
-_REACH = f"""WITH RECURSIVE {_EDGES}, reached AS (SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_custkey <= 5
+_REACH = f"""WITH RECURSIVE {_EDGES}, reached AS (SELECT 'customer:' || c_custkey AS node FROM customer WHERE c_acctbal < -900
  UNION SELECT e.dst FROM reached r JOIN edges e ON e.src = r.node)"""
 
 
 def _reached(s: SparkSession, d: str) -> DataFrame:
-    roots = load(s, d, "customer").where("c_custkey <= 5").select(_node("customer", "c_custkey").alias("node"))
+    roots = load(s, d, "customer").where("c_acctbal < -900").select(_node("customer", "c_custkey").alias("node"))
     return graph.closure(roots, _edges(s, d))
 
 
@@ -328,9 +328,9 @@ def latest_checkpoints_ties(s, d):
     return history.latest_with_ties(_realizations(s, d).withColumnRenamed("action_key", "name"), ["name"])
 
 
-@query(f"WITH {_REAL}, {_OUT} SELECT id, action_key, created_at, name, artifact FROM realizations JOIN outputs ON id = realization_id WHERE artifact <= 20")
+@query(f"WITH {_REAL}, {_OUT} SELECT id, action_key, created_at, name, artifact FROM realizations JOIN outputs ON id = realization_id ")
 def producers_of(s, d):
-    return history.producers(_realizations(s, d), _outputs(s, d).where("artifact <= 20"))
+    return history.producers(_realizations(s, d), _outputs(s, d))
 
 
 @query(f"""WITH {_REAL}, {_OUT}, recent AS (SELECT * FROM realizations WHERE created_at >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAY)
@@ -423,20 +423,25 @@ def gc_unreachable(s, d):
     return graph.unreachable(objects, _reached(s, d))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, up AS (SELECT 'part:' || p_partkey AS node FROM part WHERE p_partkey <= 3 UNION SELECT e.src FROM up JOIN edges e ON e.dst = up.node) SELECT node FROM up""")
+@query(f"""WITH RECURSIVE {_EDGES}, up AS (SELECT 'part:' || p_partkey AS node FROM part WHERE p_size = 50 UNION SELECT e.src FROM up JOIN edges e ON e.dst = up.node) SELECT node FROM up""")
 def lineage_closure(s, d):
-    roots = load(s, d, "part").where("p_partkey <= 3").select(_node("part", "p_partkey").alias("node"))
+    roots = load(s, d, "part").where("p_size = 50").select(_node("part", "p_partkey").alias("node"))
     return graph.closure(roots, _edges(s, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("node")
 
 
-@query(f"""WITH {_REAL}, {_OUT} SELECT artifact, string_agg(realization_id::VARCHAR, ',' ORDER BY realization_id) AS producers, count(*) AS n FROM outputs JOIN realizations ON id = realization_id WHERE artifact <= 50 GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_REAL}, {_OUT}, made AS (SELECT artifact, realization_id, action_key FROM outputs JOIN realizations ON id = realization_id),
+ used AS (SELECT artifact, (c_nationkey + 1)::BIGINT AS input FROM made JOIN customer ON c_custkey = action_key),
+ up AS (SELECT DISTINCT artifact FROM outputs JOIN part ON p_partkey = artifact WHERE p_size = 50 UNION SELECT input FROM up JOIN used USING (artifact)),
+ p AS (SELECT artifact, string_agg(realization_id::VARCHAR, ',' ORDER BY realization_id) AS producers FROM made GROUP BY 1), i AS (SELECT artifact, string_agg(input::VARCHAR, ',' ORDER BY input) AS inputs FROM used GROUP BY 1)
+ SELECT artifact, producers, inputs, s_name AS sources FROM up LEFT JOIN p USING (artifact) LEFT JOIN i USING (artifact) LEFT JOIN supplier ON s_suppkey = artifact""")
 def lineage_nodes(s, d):
-    out = _outputs(s, d).where("artifact <= 50")
-    nodes = out.select(F.col("artifact").alias("node")).distinct()
-    inputs = load(s, d, "customer").select(F.col("c_custkey").alias("action_key"), (-F.col("c_nationkey") - 1).cast("bigint").alias("artifact"))
-    observed = out.select("artifact", F.lit("x").alias("canonical_ref")).limit(0)
-    made = graph.lineage(nodes, _realizations(s, d), out, inputs, observed).where("producers is not null")
-    return made.select("artifact", F.array_join(F.transform("producers", lambda x: x.cast("string")), ",").alias("producers"), F.size("producers").cast("bigint").alias("n"))
+    """All upstream of the outputs that are parts of size 50: every action uses one part, which others produced."""
+    out = _outputs(s, d)
+    nodes = out.join(load(s, d, "part").where("p_size = 50"), F.col("artifact") == F.col("p_partkey")).select(F.col("artifact").alias("node"))
+    inputs = load(s, d, "customer").select(F.col("c_custkey").alias("action_key"), (F.col("c_nationkey") + 1).cast("bigint").alias("artifact"))
+    observed = load(s, d, "supplier").select(F.col("s_suppkey").alias("artifact"), F.col("s_name").alias("canonical_ref"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return graph.lineage(nodes, _realizations(s, d), out, inputs, observed).select("artifact", *map(text, ("producers", "inputs", "sources")))
 
 
 @query(f"{_REACH} SELECT node AS id FROM reached WHERE node NOT IN (SELECT 'part:' || p_partkey FROM part WHERE p_partkey % 2 = 0)")
@@ -529,10 +534,10 @@ def ref_updates(s, d):
 
 def _files(s: SparkSession, d: str) -> DataFrame:
     name = F.concat("lang", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt"))
-    return load(s, d, "documents").where("doc_id % 10 < 3").select(F.when(F.col("doc_id") % 40 == 1, F.concat(F.lit("single"), F.col("doc_id").cast("string"))).otherwise(F.col("source")).alias("source"), name.alias("path"), F.col("text").alias("content"))
+    return load(s, d, "documents").select(F.when(F.col("doc_id") % 40 == 1, F.concat(F.lit("single"), F.col("doc_id").cast("string"))).otherwise(F.col("source")).alias("source"), name.alias("path"), F.col("text").alias("content"))
 
 
-_FILES = """f AS (SELECT CASE WHEN doc_id % 40 = 1 THEN 'single' || doc_id ELSE source END AS source, lang || '/' || lpad(doc_id::VARCHAR, 9, '0') || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS path, text FROM documents WHERE doc_id % 10 < 3)"""
+_FILES = """f AS (SELECT CASE WHEN doc_id % 40 = 1 THEN 'single' || doc_id ELSE source END AS source, lang || '/' || lpad(doc_id::VARCHAR, 9, '0') || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS path, text FROM documents)"""
 
 
 @query(f"""WITH {_FILES}, r AS (SELECT source, count(*) AS resolved FROM f GROUP BY 1),
@@ -544,9 +549,9 @@ def acquire_sources(s, d):
 
 @query(f"""WITH {_FILES}, k AS (SELECT source, split_part(path, '/', 1) AS key, substr(path, instr(path, '/') + 1) AS path, text FROM f)
  SELECT source, key, 'tree' AS kind, 'sha256:' || sha256('{{"version":1,"entries":[' || string_agg({_ENTRY}, ',' ORDER BY path) || ']}}') AS content FROM k GROUP BY 1, 2
- UNION ALL SELECT 'flat', path, 'blob', 'sha256:' || sha256(text) FROM (SELECT doc_id::VARCHAR AS path, text FROM documents WHERE doc_id % 50 = 0)""")
+ UNION ALL SELECT 'flat', path, 'blob', 'sha256:' || sha256(text) FROM (SELECT doc_id::VARCHAR AS path, text FROM documents)""")
 def import_collection(s, d):
-    flat = load(s, d, "documents").where("doc_id % 50 = 0").select(F.lit("flat").alias("source"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    flat = load(s, d, "documents").select(F.lit("flat").alias("source"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return acquire.members(_files(s, d).unionByName(flat), ["source"])
 
 
@@ -628,3 +633,6 @@ def cdc_reassemble(s, d):
 @query()
 def cdc_reuse_ratio(s, d):
     return chunking.reuse(chunking.chunks(_joined(s, d), "source", "text", 512, 2048, 8192))
+
+
+from . import catalogue_more  # noqa: E402, F401  adds its queries to the tables above

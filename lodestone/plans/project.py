@@ -9,6 +9,7 @@ the driver; data stays in DataFrames.
 
 from __future__ import annotations
 
+import json
 import time
 import tomllib
 import uuid
@@ -18,12 +19,14 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import artifact_id, canonical_json, digest_record, ordered, requirement_hash, sha256_id
 from ..operators.graph import levels
 
+REALIZATION = "id string, action_key string, name string, stored string, cache string, started_at timestamp, finished_at timestamp, outputs map<string,string>"
 CACHES = ("pure", "reproducible", "volatile", "effect")  # fixed values
 NETWORKS = ("deny", "allow", "restricted")
 SANDBOXES = ("none", "read_only_inputs", "strict", "container")
@@ -134,6 +137,7 @@ class Task:
     parameters: dict[str, Any] = field(default_factory=dict)
     cache: str = "reproducible"
     depends_on: tuple[str, ...] = ()
+    by_item: bool = False
 
     def dependencies(self) -> set[str]:
         named = [*self.inputs.values(), *([self.foreach] if self.foreach else []), *self.depends_on]
@@ -156,7 +160,7 @@ class Project:
             raise ValueError(f"unknown project version {version}")
         tasks = {} if version == 2 else raw.get("tasks", {})
         flat = {n: {"kind": p.get("kind"), "config": p.get("config", {}) | {k: v for k, v in p.items() if k not in ("kind", "config")}} for n, p in raw.get("providers", {}).items()}
-        made = {n: Task(t["run"], t.get("inputs", {}), t.get("foreach"), tuple(t.get("outputs", ("out",))), t.get("parameters", {}), t.get("cache", "reproducible"), tuple(t.get("depends_on", ()))) for n, t in tasks.items()}
+        made = {n: Task(t["run"], t.get("inputs", {}), t.get("foreach"), tuple(t.get("outputs", ("out",))), t.get("parameters", {}), t.get("cache", "reproducible"), tuple(t.get("depends_on", ())), bool(t.get("by_item", False))) for n, t in tasks.items()}
         return Project(flat, raw.get("artifacts", raw.get("sources", {})), made, raw.get("refs", {}) if version == 3 else {})
 
     def plan(self, targets: Iterable[str] | None = None) -> list[list[str]]:
@@ -177,19 +181,26 @@ class Project:
 
 
 def identity_of(df: DataFrame) -> str:
-    """A frame's content identity: its schema and an order-independent hash of its rows, as multisets."""
-    # a sum of two hashes with different seeds tells multisets apart and combines before the shuffle
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    one, two = (F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)") for seed in (1, 2))
-    n, a, b = df.agg(F.count("*"), F.coalesce(F.sum(one), F.lit(0)), F.coalesce(F.sum(two), F.lit(0))).first()
-    return artifact_id(sha256_id(canonical_json([df.schema.jsonValue(), n, str(a), str(b)])), "collection")
+    """A frame's content identity: its schema and its rows as a multiset.
+
+    Rows are named by SHA-256 of their JSON, nulls kept. The sums of the names' four quarters don't
+    depend on the order of rows and combine before the shuffle.
+    """
+    renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    name = F.sha2(F.to_json(F.struct(*renamed.columns), {"ignoreNullFields": "false"}) if renamed.columns else F.lit("{}"), 256)
+    quarters = [F.conv(F.substring(name, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    row = renamed.agg(F.count("*"), *[F.coalesce(F.sum(q), F.lit(0)) for q in quarters]).first()
+    return artifact_id(sha256_id(canonical_json([df.schema.jsonValue(), *map(str, row)])), "collection")
 
 
 @dataclass
 class Result:
+    """What a run gave: its action's key, its outputs' identities, whether they were reused, and the key their tables lie under."""
+
     key: str
     outputs: dict[str, str]
     hit: bool
+    stored: str
 
 
 class Runner:
@@ -202,7 +213,36 @@ class Runner:
     def __init__(self, spark: SparkSession, root: str, functions: dict[str, Callable], jobs: int = 8):
         self.spark, self.root, self.functions, self.jobs = spark, root.rstrip("/"), functions, max(jobs, 1)
         self.history: list[dict] = []
-        self.known: dict[str, dict[str, str]] = {}
+        self.items: dict[str, ItemCache] = {}
+        self.known: dict[str, tuple[dict[str, str], str]] = {}
+
+        self._load()
+
+    def _save(self, action: Action, attempt: dict, stored: str, outputs: dict[str, str]) -> None:
+        """Appends a realization to the durable history below root, after its contents."""
+        rows = [(attempt["id"], action.key(), action.name, stored, action.cache, attempt["started_at"], attempt["finished_at"], outputs)]
+        self.spark.createDataFrame(rows, REALIZATION).coalesce(1).write.mode("append").parquet(f"{self.root}/history")
+
+    def _load(self) -> None:
+        """What earlier sessions realized: of each action the newest outputs."""
+        try:
+            rows = self.spark.read.schema(REALIZATION).parquet(f"{self.root}/history")
+        except AnalysisException:  # nothing yet
+            return
+        newest = rows.groupBy("action_key").agg(F.max_by(F.struct("stored", "outputs"), F.struct("finished_at", "id")).alias("r"))
+        for r in newest.collect():  # a row for each action: plans are small
+            self.known[r.action_key] = (dict(r.r.outputs), r.r.stored)
+
+    def realizations(self) -> DataFrame:
+        """The durable history: id, action_key, name, stored, cache, started_at, finished_at, outputs."""
+        return self.spark.read.schema(REALIZATION).parquet(f"{self.root}/history")
+
+    def retry(self, attempt_id: str, actions: dict[str, tuple[Action, Callable[[], dict[str, DataFrame]]]]) -> Result:
+        """Runs the action of an attempt again, without reuse; actions holds what each key stands for."""
+        key = next((a["action_key"] for a in self.history if a["id"] == attempt_id), None)
+        if key not in actions:
+            raise KeyError(f"unknown attempt {attempt_id!r}")
+        return self.run(*actions[key], force=True)
 
     def _path(self, key: str, output: str) -> str:
         return f"{self.root}/{key.split(':')[1][:2]}/{key.split(':')[1]}/{output}"
@@ -214,7 +254,7 @@ class Runner:
         """Reuses the newest outputs of a pure or reproducible action, else works and records an attempt."""
         key = action.key()
         if not force and action.cache in ("pure", "reproducible") and key in self.known:
-            return Result(key, self.known[key], True)
+            return Result(key, *self.known[key][:1], True, self.known[key][1])
         attempt = {"id": str(uuid.uuid4()), "action_key": key, "name": action.name, "started_at": datetime.now(timezone.utc), "finished_at": None, "exit_code": None, "error": None}
         self.history.append(attempt)
         began = time.monotonic()
@@ -236,8 +276,14 @@ class Runner:
         except Exception as e:
             attempt |= {"finished_at": datetime.now(timezone.utc), "exit_code": 1, "error": str(e)[:500]}
             raise
-        self.known.setdefault(key, ids)
-        return Result(key, ids, False)
+        # reuse takes the newest outputs, so what is known moves on with every run
+        self.known[key] = (ids, run_key)
+        self._save(action, attempt, run_key, ids)
+        if action.cache == "pure":
+            earlier = [a["outputs"] for a in self.history if a["action_key"] == key and a.get("outputs")]
+            if any(o != ids for o in earlier):
+                raise RuntimeError(f"{action.name} is declared pure but gave different outputs")
+        return Result(key, ids, False, run_key)
 
     def why(self, action: Action) -> dict[str, Any]:
         """Whether the action would be reused, and the key its name had before."""
@@ -253,6 +299,31 @@ class Runner:
                 seen.setdefault(name, set()).add(identity)
         return {k: sorted(v) for k, v in seen.items()}
 
+    def _each(self, name: str, task: Task, items: DataFrame, function: Callable) -> dict[str, DataFrame]:
+        """A by_item task over its items (key, value): unchanged items keep their results, others are worked on.
+
+        What was done is kept under root by task, code name and parameters, for the next run and the next session.
+        """
+        if len(task.outputs) != 1:
+            raise ValueError(f"{name}: a task by item has one output")
+        cache = self.items.setdefault(name, ItemCache())
+        where = f"{self.root}/items/{sha256_id(canonical_json([name, task.run, ordered(task.parameters)])).split(':')[1]}"
+        if cache.rows is None:
+            try:
+                kept = self.spark.read.parquet(f"{where}/*")
+                last = kept.groupBy(F.input_file_name().alias("f")).count().select(F.max(F.substring_index(F.substring_index("f", "/", -2), "/", 1))).first()[0]
+                cache.rows = self.spark.read.parquet(f"{where}/{last}") if last else None
+            except AnalysisException:  # nothing yet
+                pass
+
+        def save(df: DataFrame) -> DataFrame:
+            path = f"{where}/run-{time.time_ns():020d}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        output = task.outputs[0]
+        return {output: cache.map(items, lambda missed: function(items=missed)[output], save).select("key", "result")}
+
     def run_project(self, project: Project, sources: dict[str, DataFrame], targets: Iterable[str] | None = None) -> dict[str, Result]:
         """Runs what targets need, level by level, the tasks of a level at the same time; only sources in use are read."""
         frames: dict[str, DataFrame] = dict(sources)
@@ -276,15 +347,15 @@ class Runner:
             if task.foreach:
                 given["items"] = lookup(task.foreach)
             action = Action(name, (task.run,), {k: i for k, (_, i) in given.items()}, parameters=task.parameters or None, outputs={o: Output("collection") for o in task.outputs}, cache=task.cache)
-            call = lambda: self.functions[task.run](**{k: df for k, (df, _) in given.items()}, **task.parameters)
-            return name, self.run(action, call)
+            function = lambda **items: self.functions[task.run](**{k: df for k, (df, _) in given.items()} | items, **task.parameters)
+            return name, self.run(action, (lambda: self._each(name, task, given["items"][0], function)) if task.by_item else function)
 
         for level in project.plan(targets):
             with ThreadPoolExecutor(self.jobs) as pool:
                 for name, result in pool.map(work, level):
                     done[name] = result
                     for output, identity in result.outputs.items():
-                        frames[f"{name}.{output}"], ids[f"{name}.{output}"] = self.read(result.key, output), identity
+                        frames[f"{name}.{output}"], ids[f"{name}.{output}"] = self.read(result.stored, output), identity
         return done
 
 
@@ -312,6 +383,11 @@ class ItemCache:
         return self.rows
 
 
+def toml_string(text: str) -> str:
+    """A basic string: JSON's escapes are TOML's too, but for U+007F."""
+    return json.dumps(text, ensure_ascii=False).replace("\x7f", "\\u007f")
+
+
 @dataclass
 class Lock:
     """Locked sources: name, requirement hash, artifact."""
@@ -329,7 +405,7 @@ class Lock:
         out = ["version = 3"]
         for name in sorted(self.sources):
             h, a = self.sources[name]
-            out += ["", "[[sources]]", f'name = "{name}"', f'requirement_hash = "{h}"', f'artifact = "{a}"']
+            out += ["", "[[sources]]", *(f"{k} = {toml_string(v)}" for k, v in (("name", name), ("requirement_hash", h), ("artifact", a)))]
         return "\n".join(out) + "\n"
 
     def check(self, name: str, source: dict, present: Callable[[str], bool]) -> str:

@@ -104,3 +104,10 @@ def materialised(files: DataFrame, root: str, path: str = "path", content: str =
 def colliding(names: DataFrame, column: str) -> DataFrame:
     """Names that become equal as file names."""
     return names.select(column).distinct().withColumn("file", file_name(column)).groupBy("file").agg(F.array_sort(F.collect_list(column)).alias("names")).where(F.size("names") > 1)
+
+
+def counted(files: DataFrame, depth: int = 1, path: str = "path") -> DataFrame:
+    """folder, files: how many files lie below each folder of that depth; '.' for those above it."""
+    parts = F.split(normal_path(path), "/")
+    folder = F.when(F.size(parts) > depth, F.array_join(F.slice(parts, 1, depth), "/")).otherwise(F.lit("."))
+    return files.where(normal_path(path).isNotNull()).groupBy(folder.alias("folder")).agg(F.count("*").alias("files"))

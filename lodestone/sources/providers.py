@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import layout
 from .tables import files
 
 ROW = "reference string, path string, size bigint, content binary"
@@ -208,7 +209,9 @@ def register(spark: SparkSession) -> None:
 def read(spark: SparkSession, registry: Registry, reference: str, **options: str) -> DataFrame:
     """path, size, content (and more) of what a reference names."""
     provider, locator, config = registry.route(reference)
-    if provider.kind == "files" and provider.name != "oci":
+    if provider.name == "oci":
+        return layout.read(spark, locator).select(F.col("title").alias("path"), "size", "content")
+    if provider.kind == "files":
         root = locator if provider.name == "local" else provider.detail + locator.lstrip("/")
         return files(spark, root)
     register(spark)
@@ -217,6 +220,6 @@ def read(spark: SparkSession, registry: Registry, reference: str, **options: str
     if provider.name == "http":
         return spark.read.format("http_files").option("references", json.dumps([reference])).load()
     if provider.kind == "command":
-        argv = options.get("argv") or json.dumps(config["argv"].split())
+        argv = options.get("argv") or json.dumps(config.get("argv", f"{provider.detail} {{reference}}").split())
         return spark.read.format("command_bridge").option("references", json.dumps([reference])).option("argv", argv).options(**{k: v for k, v in options.items() if k != "argv"}).load()
     raise NotImplementedError(f"{provider.name} needs its service: list files over {provider.detail}, then read their URLs with http")

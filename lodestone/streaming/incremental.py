@@ -28,9 +28,15 @@ def incremental_map(previous: DataFrame, current: DataFrame, work: Callable[[Dat
     return hits.unionByName(missed.join(work(missed.select(key, value)), key).select(key, value, result, "status"))
 
 
-def changed_stream(items: DataFrame, key: str = "key", value: str = "artifact") -> DataFrame:
-    """Of a stream of (key, value), each pair once: what has to be worked on."""
-    return items.dropDuplicates([key, value])
+def changed_stream(items: DataFrame, key: str = "key", value: str = "artifact", time: str | None = None, within: str | None = None) -> DataFrame:
+    """Of a stream of (key, value), each pair once: what has to be worked on.
+
+    Without a bound every pair is remembered for good. With time (an event-time column) and
+    within (such as '2 days'), a pair is remembered for that long only, so state stays bounded.
+    """
+    if time is None or within is None:
+        return items.dropDuplicates([key, value])
+    return items.withWatermark(time, within).dropDuplicatesWithinWatermark([key, value])
 
 
 def latest_state(events: DataFrame, key: str, time: str, fields: list[str]) -> DataFrame:
