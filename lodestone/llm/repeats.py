@@ -33,9 +33,12 @@ from .blocks import Block, Substrings, blocks, mix, ranges
 from .shared import arrow_map, documents, table
 
 CHUNK = 1 << 18
+#: Most windows of a run.
+LONGEST = 64
 SLICE = 1 << 16
-#: Bound of the sketch: so many slots in each row, a bit each where it is broadcast.
-MOST_SLOTS, ROWS = 1 << 29, 2
+ROWS = 2
+#: Default bound of the sketch: slots in each of its rows, a bit each where it is broadcast (128 MB in all).
+MOST_SLOTS = 1 << 29
 
 
 class Units:
@@ -79,8 +82,13 @@ def runs(units: Units, size: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
         if not len(lo):
             continue
         hi = np.minimum(np.append(lo[1:], n), last[np.searchsorted(start, lo, "right") - 1])
+        # no run is long: long strings can be given one polynomial hash (see ``blocks.LONG``)
+        lots = -(-(hi - lo) // LONGEST)
+        key, hi = np.repeat(anchor[lo], lots), np.repeat(hi, lots)
+        lo = np.repeat(lo, lots) + LONGEST * ranges(np.zeros(len(lots), np.int64), lots)
+        hi = np.minimum(lo + LONGEST, hi)
         doc = np.searchsorted(first, lo + at, "right") - 1
-        yield mix(anchor[lo]), two.at(lo, hi - 1 + size), doc, lo + at - first[doc], hi - lo
+        yield mix(key), two.at(lo, hi - 1 + size), doc, lo + at - first[doc], hi - lo
 
 
 def gathered(units: Units, size: int, k: int) -> list[np.ndarray]:
@@ -113,11 +121,11 @@ def capped(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
     return keys, np.minimum(np.bincount(inverse, weights), 2).astype(np.uint8)
 
 
-def sketch(docs: DataFrame, unit: str, size: int, k: int) -> Sketch:
+def sketch(docs: DataFrame, unit: str, size: int, k: int, most_slots: int = MOST_SLOTS) -> Sketch:
     """Each task's sketch, as the non-zero counters of slices, merged slice by slice."""
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = 2 * volume // ((size - k + 2) * (1 if unit == "bytes" else 5))
-    slots = min(max(1 << int(2 * anchors).bit_length(), SLICE), MOST_SLOTS)
+    slots = min(max(1 << int(2 * anchors).bit_length(), SLICE), most_slots)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -234,10 +242,10 @@ def windows(docs: DataFrame, open_runs: DataFrame, unit: str, size: int) -> Data
     return each.withColumn("first", first).where("doc > first").select("doc", (F.col("lo") + F.col("i")).alias("lo"))
 
 
-def repeated_spans(docs: DataFrame, unit: str, size: int, k: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, unit: str, size: int, k: int, most_slots: int = MOST_SLOTS) -> DataFrame:
     """doc, spans: for each document with repeated windows, their first units and numbers."""
     spark = docs.sparkSession
-    kept = spark.sparkContext.broadcast(sketch(docs, unit, size, k))
+    kept = spark.sparkContext.broadcast(sketch(docs, unit, size, k, most_slots))
     found = table(ranked(run_rows(docs, unit, size, k, kept)))
     whole = found.where("anchor is null").select("doc", "lo", "n")
     single = windows(docs, found.where("anchor is not null"), unit, size).withColumn("n", F.lit(1))
@@ -247,12 +255,15 @@ def repeated_spans(docs: DataFrame, unit: str, size: int, k: int) -> DataFrame:
 OUT = "doc_id long, n_units long, n_removed long, n_spans long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "bytes", size: int = 50, k: int | None = None, whole_characters: bool = False, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "bytes", size: int = 50, k: int | None = None, whole_characters: bool = False, carry: list[str] | None = None, most_slots: int = MOST_SLOTS) -> DataFrame:
     """doc_id, n_units, n_removed, n_spans (maximal removed runs), kept (what is left).
 
     With unit 'words' what is left is the kept words joined by one space. With
     whole_characters, a span of bytes is first narrowed to whole UTF-8 characters. The
-    columns named in carry come along in a struct, carried.
+    columns named in carry come along in a struct, carried. most_slots bounds the sketch: it has
+    2 * most_slots bits, on the driver and in every worker. It keeps out runs of one document
+    as long as there are fewer anchors than that (about 13 bytes of text, or 100 where units
+    are words, to an anchor); beyond, more runs are grouped exactly, with the same results.
 
     Defined results: a null, empty or short text (fewer units than size) loses nothing; of
     exact copies the one with the smallest id stays whole; rows without an id are left
@@ -261,7 +272,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", uni
     carries = carry is not None
     carried = None if carry is None else docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(*carry).alias("carried")).where(F.col("doc_id").isNotNull())
     docs = documents(docs, key, text)
-    spans = repeated_spans(docs, unit, size, k or max(size // 2 - 1, 1))
+    spans = repeated_spans(docs, unit, size, k or max(size // 2 - 1, 1), most_slots)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -61,12 +61,26 @@ def brute_repeats(rows, unit, size):
 
 @pytest.mark.parametrize(("unit", "size", "k"), [("bytes", 50, None), ("bytes", 10, None), ("words", 50, 8), ("words", 4, 1)])
 def test_repeats(rows, docs, unit, size, k, monkeypatch):
-    if size == 10:
-        monkeypatch.setattr(repeats, "CHUNK", 1 << 18)
+    if size == 10:  # chunk edges in the midst of documents
+        monkeypatch.setattr(repeats, "CHUNK", 1000)
     got = repeats.remove_repeats(docs, unit=unit, size=size, k=k).withColumn("h", F.sha2("kept", 256)).collect()
     assert {r.doc_id: (r.n_units, r.n_removed, r.n_spans, r.h) for r in got} == brute_repeats(rows, unit, size)
 
 
+def test_prefix_doubling(spark, rows):
+    from lodestone.llm.suffixes import repeated_by_doubling
+
+    first, want = {}, set()
+    for d, t in sorted(rows):
+        raw = (t or "").encode()
+        for p in range(len(raw) - 49):
+            if first.setdefault(raw[p : p + 50], d) < d:
+                want.add((d, p))
+    docs = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string").repartition(3)
+    got = [(r.doc, r.lo) for r in repeated_by_doubling(docs).collect()]
+    assert set(got) == want and len(got) == len(want) > 1000
+
+
 @pytest.mark.parametrize("unit", ["bytes", "words"])
 def test_windows_that_share_a_half(spark, unit):
     """Two windows with an equal first half, and second halves whose hashes agree in 32 bits, are not equal."""
@@ -108,8 +122,13 @@ def test_runs_do_not_depend_on_chunks(rows, monkeypatch):
         assert sorted(x for a, b in zip(lo, n) for x in range(a, a + b)) == list(range(len(text) - 49))
 
 
-def test_sketch_loses_none(docs):
+def test_results_do_not_depend_on_the_sketch(rows, docs):
     """With far too few slots the filter lets more through, and results stay the same."""
+    got = repeats.remove_repeats(docs, unit="words", size=50, k=8, most_slots=1 << 16).withColumn("h", F.sha2("kept", 256)).collect()
+    assert {r.doc_id: (r.n_units, r.n_removed, r.n_spans, r.h) for r in got} == brute_repeats(rows, "words", 50)
+
+
+def test_sketch_loses_none():
     keys = np.arange(1, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     bits = np.zeros(repeats.ROWS * (1 << 16) // 8, np.uint8)
     flags = np.zeros(repeats.ROWS << 16, bool)
