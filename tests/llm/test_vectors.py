@@ -44,7 +44,7 @@ def test_links(spark):
 def test_large_cells_are_tiled(spark):
     rows = [r for r in table() if r[2] and len(r[2]) == 64 and r[1] == 0]
     df = spark.createDataFrame([(r[0], 0, r[2]) for r in rows], "rep long, label long, vector array<double>").selectExpr("*", "1L as copies", "size(vector) as dim")
-    found = embeddings.joined(embeddings.cells(df, 0.04), 0.98, most=5).where("kind = 0").groupBy("a").sum("b").collect()
+    found = embeddings.joined(embeddings.cells(df, 0.04), df, 0.98, most=5).where("kind = 0").groupBy("a").sum("b").collect()
     assert {r[0]: r[1] for r in found} == {k: n for k, (n, _, _) in brute(rows).items() if n}
 
 
