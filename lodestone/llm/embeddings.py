@@ -235,7 +235,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     """vec_id, n_links, component_id, kept for each row of table.
 
     Two vectors link if their labels are equal and not null and their cosine is threshold
-    or more. Defined results: vectors that are null, empty, zero or hold a null or
+    or more (a cosine of exactly threshold, in double precision, links). Defined results: vectors that are null, empty, zero or hold a null or
     non-finite component link with nothing, nor do vectors of different length; rows
     without an id are left out; an id that is repeated with the same vector and label is
     one vector, with another it links as several and each row gets its own result; an empty

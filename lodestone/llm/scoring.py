@@ -178,7 +178,7 @@ def lm_scores(docs: DataFrame, learned: Callable[[int], bool], key: str = "doc_i
     pairs and triples. The table is read twice and must give its rows in one order: else the job
     fails, it never scores with wrong counts. Defined results: a null or
     empty text is its end token alone; without any training document nothing is known and
-    score equals base_score; repeated rows count and are scored each; rows without an id are
+    score equals base_score; very long texts are traversed whole; repeated rows count and are scored each; rows without an id are
     left out; an empty table gives an empty table.
     """
     docs = documents(docs, key, text)

@@ -16,7 +16,13 @@ from .repeats import remove_repeats
 
 
 def substring_dedup(docs: DataFrame, size: int = 50, **options) -> DataFrame:
-    """doc_id, n_units (words), n_removed, n_spans, kept: without words of windows of ``size`` words that also start in a document with a smaller id. See ``remove_repeats`` for defined results."""
+    """doc_id, n_units (words), n_removed, n_spans, kept: without words of windows of ``size`` words that also start in a document with a smaller id.
+
+    Defined results: a null, empty or short text loses nothing; of exact copies the one with the
+    smallest id stays whole, so ties between equal ids remove nothing; rows without an id are left
+    out; documents of equal id count as one document; very long texts are read whole; an
+    empty table gives an empty table; extra columns are not looked at.
+    """
     return remove_repeats(docs, unit="words", size=size, k=options.pop("k", max(size // 6, 1)), **options)
 
 
