@@ -258,52 +258,102 @@ def met(nodes: DataFrame, parts: int) -> DataFrame:
     return by_key(arrow_map(nodes.select("node", "n", "prints"), emit, "key long, node long, n int"), ["node", "n"])
 
 
-def pairs_of(grouped: DataFrame, least: Fraction, across: bool = False) -> DataFrame:
-    """src, dst that may be similar by their sizes.
-
-    Of groups up to SMALL all pairs, of others those with the first node; across instead gives
-    the pairs of different components (a column of grouped, an array like node).
-    """
-    up, down = least.numerator, least.denominator
+def star_pairs(grouped: DataFrame, least: Fraction) -> DataFrame:
+    """src, dst that may be similar by their sizes: of groups up to SMALL all pairs, of others those with the first node."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column("node").value_lengths().to_numpy()
             node, n = (batch.column(c).flatten().to_numpy() for c in ("node", "n"))
             start = np.cumsum(size) - size
+            large = size > SMALL
+            places = [(np.repeat(start[large], size[large] - 1), ranges(start[large] + 1, size[large] - 1))]
+            for k in range(2, SMALL + 1):
+                i, j = np.triu_indices(k, 1)
+                lot = start[size == k]
+                places.append(((lot[:, None] + i).ravel(), (lot[:, None] + j).ravel()))
+            for i, j in places:
+                fine = sized(n[i], n[j], least)
+                yield links_of(node[i[fine]], node[j[fine]])
+
+    return arrow_map(grouped, scan, "src long, dst long").distinct()
+
+
+def sized(a: np.ndarray, b: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether sets of these sizes can be similar."""
+    return least.denominator * np.minimum(a, b) >= least.numerator * np.maximum(a, b)
+
+
+def links_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_pydict({"src": pa.array(both[:, 0]), "dst": pa.array(both[:, 1])})
+
 
-            def out(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-                fine = down * np.minimum(n[i], n[j]) >= up * np.maximum(n[i], n[j])  # noqa: B023
-                a, b = node[i[fine]], node[j[fine]]  # noqa: B023
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                return pa.RecordBatch.from_pydict({"src": pa.array(both[:, 0]), "dst": pa.array(both[:, 1])})
-
-            if not across:
-                for k in range(2, SMALL + 1):
-                    i, j = np.triu_indices(k, 1)
-                    lot = start[size == k]
-                    yield out((lot[:, None] + i).ravel(), (lot[:, None] + j).ravel())
-                large = size > SMALL
-                yield out(np.repeat(start[large], size[large] - 1), ranges(start[large] + 1, size[large] - 1))
+def most_bits(least: float, bits: int) -> float:
+    """Bits in which fingerprints of sets of similarity least differ, hardly ever more: four deviations above the mean."""
+    share = float(np.arccos(2 * least / (1 + least)) / np.pi)
+    return bits * share + 4 * np.sqrt(bits * share * (1 - share))
+
+
+def pairs_across(joined: DataFrame, least: Fraction, parts: int) -> DataFrame:
+    """src, dst of different components in a group whose sizes and whole fingerprints allow the similarity.
+
+    joined has key, node, n, component, prints. A group is compared tile by tile in the task that
+    holds it. A pair leaves it once in all: in the first part where it meets, and there in the
+    smallest variant.
+    """
+    most = most_bits(float(least), 32 * parts)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole groups, some at a time."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            own = batch.column("component").flatten().to_numpy()
-            for s, k in zip(start.tolist(), size.tolist(), strict=True):
-                for p in range(s, s + k, TILE):
-                    for q in range(p, s + k, TILE):
-                        i, j = np.nonzero(own[p : min(p + TILE, s + k), None] != own[None, q : min(q + TILE, s + k)])
-                        if len(i):
-                            yield out(i + p, j + q)
+            part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = part.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield part.slice(0, cut)
+            held = part.slice(cut)
+        if held is not None:
+            yield held
 
-    return arrow_map(grouped, scan, "src long, dst long").distinct()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table_ in rows(batches):
+            key, node, n, own = (table_.column(c).to_numpy() for c in ("key", "node", "n", "component"))
+            prints = table_.column("prints").combine_chunks().flatten().to_numpy().view(np.uint32).reshape(-1, parts)
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            end = np.append(start[1:], len(key))
+            for s, e in zip(start.tolist(), end.tolist(), strict=True):
+                for p in range(s, e, TILE):
+                    for q in range(p, e, TILE):
+                        a, b = slice(p, min(p + TILE, e)), slice(q, min(q + TILE, e))
+                        i, j = np.nonzero((own[a, None] != own[None, b]) & (node[a, None] < node[None, b] if p == q else np.True_) & sized(n[a, None], n[None, b], least))
+                        for lot in np.array_split(np.arange(len(i)), len(i) // 20_000 + 1):
+                            x, y = i[lot] + p, j[lot] + q
+                            bits = np.bitwise_count(prints[x] ^ prints[y])
+                            near = np.flatnonzero(bits.sum(axis=1) <= most)
+                            x, y, first = x[near], y[near], (bits[near] <= 2).argmax(axis=1)
+                            u, v = prints[x, first], prints[y, first]
+                            other = u ^ v
+                            low = other & (~other + np.uint32(1))  # the lowest differing bit
+                            variant = np.where(bits[near, first] == 0, u, np.where(bits[near, first] == 1, np.minimum(u, v), np.minimum(u ^ low, v ^ low)))
+                            here = (first.astype(np.int64) << 32 | variant.astype(np.int64)) == key[s]
+                            if here.any():
+                                yield links_of(node[x[here]], node[y[here]])
+
+    columns = joined.select("key", "node", "n", "component", "prints").repartition("key").sortWithinPartitions("key", "node")
+    return arrow_map(columns, scan, "src long, dst long")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, parts: int = PARTS) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable by links).
 
     Documents link if the Jaccard similarity of their sets of shingles is least or more and their
-    fingerprints differ in two bits or fewer of one of the parts. Large groups first compare
-    all with one member; only pairs across the components that this makes are compared after
-    it. Defined results: null, empty and wordless texts have equal, empty sets and make one
+    fingerprints differ in two bits or fewer of one of the parts (and, in large groups, in no more
+    bits in all than such sets hardly ever exceed). Large groups first compare all with one
+    member; only pairs across the components that this makes are compared after it. Defined results: null, empty and wordless texts have equal, empty sets and make one
     class; fewer words than a shingle make one shingle; rows without an id are left out; of
     documents of equal id each has its set; an empty table gives an empty table.
     """
@@ -312,10 +362,12 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     made = table(signed(docs, shingle, parts))
     firsts = table(made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prints").alias("prints")))
     grouped = table(met(firsts.where("n > 0").repartition(max(partitions(docs.sparkSession), 1)), parts))
-    found = table(verified(table(pairs_of(grouped, share)), firsts, docs, shingle, share))
+    found = table(verified(table(star_pairs(grouped, share)), firsts, docs, shingle, share))
     large = grouped.where(F.size("node") > SMALL).select("key", F.explode(F.arrays_zip("node", "n")).alias("x")).select("key", "x.node", "x.n")
     joined = large.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = verified(table(pairs_of(by_key(joined, ["node", "n", "component"]), share, across=True)), firsts, docs, shingle, share)
+    several = joined.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
+    left = joined.join(several, "key", "left_semi").join(firsts.select("node", "prints"), "node")
+    more = verified(table(pairs_across(left, share, parts).distinct()), firsts, docs, shingle, share)
     of_node = components(found.unionByName(more))
     rooted = firsts.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
