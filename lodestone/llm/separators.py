@@ -23,7 +23,7 @@ from .tokens import token_blocks, tokenizer_path
 
 #: The default tokenizer's end-of-text id, which no text is encoded to where its string counts as ordinary text.
 SEPARATOR = 49407
-IDS_PER_BLOCK = 1 << 20
+IDS_PER_BLOCK, BLOCKS_PER_TASK = 1 << 20, 32
 
 
 def located(uri: str) -> tuple[fs.FileSystem, str]:
@@ -50,8 +50,13 @@ def read_blocks(files: DataFrame, dtype: str = "<u4", ids_per_block: int = IDS_P
                     data = source.read_at(min(width, n - block * width), block * width)
                 yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary())})
 
-    ranges = files.where("n_bytes > 0").select("file", "n_bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_bytes") - 1) / width))).alias("block"))
-    return arrow_map(ranges.repartition("file", "block"), read, "file string, block long, data binary")
+    files = files.where("n_bytes > 0")
+    last = F.floor((F.col("n_bytes") - 1) / width)
+    ranges = files.select("file", "n_bytes", F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    # rows are small, but what they stand for isn't: a given number of partitions keeps Spark from merging them
+    number = files.agg(F.sum(last + 1)).first()[0] or 1
+    tasks = max(-(-number // BLOCKS_PER_TASK), min(number, files.sparkSession.sparkContext.defaultParallelism))
+    return arrow_map(ranges.repartition(tasks, "file", "block"), read, "file string, block long, data binary")
 
 
 def separator_scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u4", ids_per_block: int = IDS_PER_BLOCK) -> DataFrame:
