@@ -45,11 +45,15 @@ def whole(docs: DataFrame, shingle: int) -> DataFrame:
     return arrow_map(docs, scan, "node long, shingles array<long>")
 
 
+def sets_of(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles of nodes, from one document of each (firsts: node, doc_id)."""
+    ids = firsts.join(nodes.distinct(), "node", "left_semi").select("doc_id")
+    return table(whole(docs.join(ids, "doc_id", "left_semi"), shingle).dropDuplicates(["node"]))
+
+
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """The pairs whose whole sets have the similarity."""
-    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    ids = firsts.join(nodes, "node", "left_semi").select("doc_id")
-    found = table(whole(docs.join(ids, "doc_id", "left_semi"), shingle).dropDuplicates(["node"]))
+    found = sets_of(pairs.select(F.explode(F.array("src", "dst")).alias("node")), firsts, docs, shingle)
     side = lambda name, column: found.select(F.col("node").alias(name), F.col("shingles").alias(column))
     common = F.size(F.array_intersect("a", "b"))
     fine = common * (least.numerator + least.denominator) >= (F.size("a") + F.size("b")) * least.numerator

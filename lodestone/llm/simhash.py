@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .blocks import LOWER, Block, Words, blocks, mix, ranges
 from .components import components, forest
 from .shared import arrow_map, documents, partitions, table
-from .shingles import sets, verified
+from .shingles import sets, sets_of, verified
 
 SEED = 42
 #: For each byte a word with one of its bits in each byte.
@@ -295,56 +295,84 @@ def most_bits(least: float, bits: int) -> float:
     return bits * share + 4 * np.sqrt(bits * share * (1 - share))
 
 
-def pairs_across(joined: DataFrame, least: Fraction, parts: int) -> DataFrame:
-    """src, dst of different components in a group whose sizes and whole fingerprints allow the similarity.
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of key as tables that hold whole groups."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        key = part.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield part.slice(0, cut)
+        held = part.slice(cut)
+    if held is not None:
+        yield held
 
-    joined has key, node, n, component, prints. A group is compared tile by tile in the task that
-    holds it. A pair leaves it once in all: in the first part where it meets, and there in the
-    smallest variant.
+
+def plausible(rows: pa.Table, least: Fraction, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different components in a group whose sizes and whole fingerprints allow the similarity.
+
+    A pair comes up in one group only: of the first part where it meets, with the smallest variant there.
     """
     most = most_bits(float(least), 32 * parts)
+    key, node, n, own = (rows.column(c).to_numpy() for c in ("key", "node", "n", "component"))
+    prints = rows.column("prints").combine_chunks().flatten().to_numpy().view(np.uint32).reshape(-1, parts)
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    end = np.append(start[1:], len(key))
+    for s, e in zip(start.tolist(), end.tolist(), strict=True):
+        for p in range(s, e, TILE):
+            for q in range(p, e, TILE):
+                a, b = slice(p, min(p + TILE, e)), slice(q, min(q + TILE, e))
+                i, j = np.nonzero((own[a, None] != own[None, b]) & (node[a, None] < node[None, b] if p == q else np.True_) & sized(n[a, None], n[None, b], least))
+                for lot in np.array_split(np.arange(len(i)), len(i) // 20_000 + 1):
+                    x, y = i[lot] + p, j[lot] + q
+                    bits = np.bitwise_count(prints[x] ^ prints[y])
+                    near = np.flatnonzero(bits.sum(axis=1) <= most)
+                    x, y, first = x[near], y[near], (bits[near] <= 2).argmax(axis=1)
+                    u, v = prints[x, first], prints[y, first]
+                    other = u ^ v
+                    low = other & (~other + np.uint32(1))  # the lowest differing bit
+                    variant = np.where(bits[near, first] == 0, u, np.where(bits[near, first] == 1, np.minimum(u, v), np.minimum(u ^ low, v ^ low)))
+                    here = (first.astype(np.int64) << 32 | variant.astype(np.int64)) == key[s]
+                    if here.any():
+                        yield x[here], y[here]
+
+
+def links_across(joined: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction, parts: int) -> DataFrame:
+    """src, dst: a spanning forest of each group's links between different components.
+
+    joined has key, node, n, component, prints. Groups are compared tile by tile in the task that
+    holds them, first by fingerprints; rows with a plausible partner fetch their whole sets, meet
+    again and are compared exactly. Pairs never leave the task.
+    """
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Whole groups, some at a time."""
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = part.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield part.slice(0, cut)
-            held = part.slice(cut)
-        if held is not None:
-            yield held
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches):
+            some = np.zeros(rows.num_rows, bool)
+            for x, y in plausible(rows, least, parts):
+                some[x] = some[y] = True
+            yield from rows.filter(pa.array(some)).to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches):
+            node, column = rows.column("node").to_numpy(), rows.column("shingles").combine_chunks()
+            at, value = column.offsets.to_numpy(), column.values.to_numpy()
+            src, dst = [], []
+            for x, y in plausible(rows, least, parts):
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    a, b = value[at[i] : at[i + 1]], value[at[j] : at[j + 1]]
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    if common * (least.numerator + least.denominator) >= (len(a) + len(b)) * least.numerator:
+                        src.append(node[i]), dst.append(node[j])
+            s, d = forest(np.array(src, np.int64), np.array(dst, np.int64))
+            yield pa.RecordBatch.from_pydict({"src": pa.array(s), "dst": pa.array(d)})
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table_ in rows(batches):
-            key, node, n, own = (table_.column(c).to_numpy() for c in ("key", "node", "n", "component"))
-            prints = table_.column("prints").combine_chunks().flatten().to_numpy().view(np.uint32).reshape(-1, parts)
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            end = np.append(start[1:], len(key))
-            for s, e in zip(start.tolist(), end.tolist(), strict=True):
-                for p in range(s, e, TILE):
-                    for q in range(p, e, TILE):
-                        a, b = slice(p, min(p + TILE, e)), slice(q, min(q + TILE, e))
-                        i, j = np.nonzero((own[a, None] != own[None, b]) & (node[a, None] < node[None, b] if p == q else np.True_) & sized(n[a, None], n[None, b], least))
-                        for lot in np.array_split(np.arange(len(i)), len(i) // 20_000 + 1):
-                            x, y = i[lot] + p, j[lot] + q
-                            bits = np.bitwise_count(prints[x] ^ prints[y])
-                            near = np.flatnonzero(bits.sum(axis=1) <= most)
-                            x, y, first = x[near], y[near], (bits[near] <= 2).argmax(axis=1)
-                            u, v = prints[x, first], prints[y, first]
-                            other = u ^ v
-                            low = other & (~other + np.uint32(1))  # the lowest differing bit
-                            variant = np.where(bits[near, first] == 0, u, np.where(bits[near, first] == 1, np.minimum(u, v), np.minimum(u ^ low, v ^ low)))
-                            here = (first.astype(np.int64) << 32 | variant.astype(np.int64)) == key[s]
-                            if here.any():
-                                yield links_of(node[x[here]], node[y[here]])
-
-    columns = joined.select("key", "node", "n", "component", "prints").repartition("key").sortWithinPartitions("key", "node")
-    return arrow_map(columns, scan, "src long, dst long")
+    columns = ["key", "node", "n", "component", "prints"]
+    grouped = lambda df: df.repartition("key").sortWithinPartitions("key", "node")
+    left = table(arrow_map(grouped(joined.select(*columns)), partnered, "key long, node long, n long, component long, prints array<int>"))
+    return arrow_map(grouped(left.join(sets_of(left.select("node"), firsts, docs, shingle), "node").select(*columns, "shingles")), compare, "src long, dst long")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, parts: int = PARTS) -> DataFrame:
@@ -367,7 +395,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     joined = large.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = joined.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
     left = joined.join(several, "key", "left_semi").join(firsts.select("node", "prints"), "node")
-    more = verified(table(pairs_across(left, share, parts).distinct()), firsts, docs, shingle, share)
+    more = table(links_across(left, firsts, docs, shingle, share, parts))
     of_node = components(found.unionByName(more))
     rooted = firsts.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
