@@ -119,10 +119,10 @@ class Block:
 class Words:
     """Maximal runs of bytes that are no separators, in all documents of a block."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SEPARATORS):
         self.data = data
         inside = np.zeros(len(data) + 2, bool)
-        np.logical_not(SEPARATORS[data], out=inside[1:-1])
+        np.logical_not(separators[data], out=inside[1:-1])
         cut = np.zeros(len(data) + 1, bool)  # a word also ends where its document does
         cut[offsets] = True
         edge_in = inside[1:] & (~inside[:-1] | cut)
