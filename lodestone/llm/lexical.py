@@ -116,7 +116,7 @@ def _counted(block, program: Program) -> tuple[np.ndarray, np.ndarray, np.ndarra
     words = _words(block)
     place, term = program.found(words)
     pairs, tf = np.unique(words.doc()[place] * len(program.terms) + term, return_counts=True)
-    return words.counts(), pairs // max(len(program.terms), 1), pairs % max(len(program.terms), 1), tf
+    return words.counts(), pairs // len(program.terms), pairs % len(program.terms), tf
 
 
 class Best:
@@ -151,7 +151,10 @@ def _lot(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The result for one lot of items: asked has item, term."""
     held = asked.groupBy("term").agg(F.array_sort(F.collect_set("item")).alias("items"))
     program = Program([(r["items"], sorted(r["terms"])) for r in held.groupBy("items").agg(F.collect_list("term").alias("terms")).collect()])
-    spark, terms = docs.sparkSession, len(program.terms)
+    nothing = docs.sparkSession.createDataFrame([], "item long, part long, doc_id long, score long")
+    terms = len(program.terms)
+    if not terms:
+        return nothing
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(terms + 2, np.int64)  # documents with each term, documents with any, terms
@@ -163,8 +166,8 @@ def _lot(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
     stats = {r["at"]: r["n"] for r in arrow_map(docs, count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     number, length = stats.get(terms, 0), stats.get(terms + 1, 0)
-    if not terms or not number:
-        return spark.createDataFrame([], "item long, part long, doc_id long, score long")
+    if not number:
+        return nothing
     weights = np.array([weight(number, stats[t]) for t in range(terms)], np.int64)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
