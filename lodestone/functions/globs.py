@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def regex(glob: str) -> str:
@@ -47,7 +49,17 @@ def regex(glob: str) -> str:
         i += 1
     if depth:
         raise ValueError(f"unclosed {{ in {glob!r}")
-    return "^(?s:" + "".join(out) + ")$"
+    return r"\A(?s:" + "".join(out) + r")\z"
+
+
+def regexes(glob: Column) -> Column:
+    """The regular expression of each row's glob; each distinct one is made once a batch."""
+
+    @F.pandas_udf(T.StringType())
+    def made(globs: pd.Series) -> pd.Series:
+        return globs.map({g: regex(g) for g in globs.dropna().unique()})
+
+    return made(glob)
 
 
 def any_of(column: Column, globs: Iterable[str]) -> Column:

@@ -23,7 +23,7 @@ def content_id(data: C) -> Column:
 def digest(value: C) -> Column:
     """A qualified digest in lower case; only sha256 with 64 hex digits is known."""
     low = F.lower(_c(value))
-    return F.when(_c(value).rlike("^sha256:[0-9a-fA-F]{64}$"), low)
+    return F.when(F.octet_length(_c(value)).eqNullSafe(71) & _c(value).rlike("\\Asha256:[0-9a-fA-F]{64}\\z"), low)
 
 
 def path(value: C) -> Column:
@@ -40,7 +40,7 @@ def reference(value: C) -> Column:
     at = F.instr(v, ":")
     scheme = F.substr(v, F.lit(1), at - 1)
     locator = F.substr(v, at + 1)
-    fine = (at > 1) & scheme.rlike(r"^[A-Za-z0-9+\-._]+$") & (locator != "")
+    fine = (at > 1) & scheme.rlike(r"\A[A-Za-z0-9+\-._]+\z") & (locator != "")
     return F.when(fine, F.struct(F.lower(scheme).alias("scheme"), locator.alias("locator")))
 
 
@@ -75,7 +75,7 @@ def argv(template: C, reference_: C, locator: C, revision: C, destination: C, pr
 
 def env_reference(value: C) -> Column:
     """The name in a value that is exactly ${NAME}."""
-    return F.nullif(F.regexp_extract(_c(value), r"^\$\{([^}]+)\}$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_c(value), r"\A\$\{([^}]+)\}\z", 1), F.lit(""))
 
 
 def authority_path(locator: C, authority: C | None = None) -> Column:
@@ -93,7 +93,7 @@ def lfs_pointer(text: C) -> Column:
     v = _c(text).cast("string")
     oid = F.trim(F.regexp_extract(v, r"(?m)^oid sha256:(.*)$", 1))
     size = F.regexp_extract(v, r"(?m)^size (.*)$", 1)
-    fine = (F.octet_length(v) <= 1024) & v.startswith("version https://git-lfs.github.com/spec/") & oid.rlike("^[0-9a-fA-F]{64}$") & F.trim(size).try_cast("bigint").isNotNull()
+    fine = (F.octet_length(v) <= 1024) & v.startswith("version https://git-lfs.github.com/spec/") & oid.rlike("\\A[0-9a-fA-F]{64}\\z") & F.trim(size).try_cast("bigint").isNotNull()
     return F.when(fine, F.struct(F.lower(oid).alias("oid"), F.trim(size).try_cast("bigint").alias("size")))
 
 
@@ -137,7 +137,7 @@ def hub_locator(locator: C) -> Column:
     dataset = v.startswith("dataset:")
     rest = F.regexp_replace(v, "^dataset:", "")
     revised = rest.contains("@")
-    return F.struct(F.when(dataset, "dataset").otherwise("model").alias("kind"), F.when(revised, F.regexp_extract(rest, "^(.*)@[^@]*$", 1)).otherwise(rest).alias("repo"), F.when(revised, F.substring_index(rest, "@", -1)).otherwise(F.lit("main")).alias("revision"))
+    return F.struct(F.when(dataset, "dataset").otherwise("model").alias("kind"), F.when(revised, F.regexp_extract(rest, r"(?s)\A(.*)@[^@]*\z", 1)).otherwise(rest).alias("repo"), F.when(revised, F.substring_index(rest, "@", -1)).otherwise(F.lit("main")).alias("revision"))
 
 
 def release_locator(locator: C) -> Column:
@@ -147,7 +147,7 @@ def release_locator(locator: C) -> Column:
     head = F.when(at > 0, F.substr(v, F.lit(1), at - 1)).otherwise(v)
     pattern = F.when(at > 0, F.regexp_replace(F.substr(v, at + 1), "^asset=", "")).otherwise(F.lit("*"))
     tagged = head.contains("@")
-    return F.struct(F.when(tagged, F.regexp_extract(head, "^(.*)@[^@]*$", 1)).otherwise(head).alias("repo"), F.when(tagged, F.substring_index(head, "@", -1)).otherwise(F.lit("latest")).alias("tag"), pattern.alias("pattern"))
+    return F.struct(F.when(tagged, F.regexp_extract(head, r"(?s)\A(.*)@[^@]*\z", 1)).otherwise(head).alias("repo"), F.when(tagged, F.substring_index(head, "@", -1)).otherwise(F.lit("latest")).alias("tag"), pattern.alias("pattern"))
 
 
 def dataset_version(major: C, minor: C) -> Column:
@@ -157,7 +157,7 @@ def dataset_version(major: C, minor: C) -> Column:
 
 def fallback_name(locator: C, default: str) -> Column:
     """The last segment after # or /, if it has a dot."""
-    last = F.regexp_extract(_c(locator), "([^#/]*)$", 1)
+    last = F.regexp_extract(_c(locator), r"([^#/]*)\z", 1)
     return F.when(last.contains("."), last).otherwise(F.lit(default))
 
 

@@ -87,8 +87,8 @@ def lineage(artifacts: DataFrame, realizations: DataFrame, outputs: DataFrame, i
 
 
 def missing_from(reached: DataFrame, target: DataFrame, identity: str = "id") -> DataFrame:
-    """Objects of a closure that a mirror lacks; contents before manifests, by depth from the leaves."""
-    return reached.withColumnRenamed("node", identity).join(target.select(identity).distinct(), identity, "left_anti").orderBy(F.desc("depth"), identity)
+    """Objects of a closure that a mirror lacks, with their depth: greater ones go first, so that contents come before manifests."""
+    return reached.withColumnRenamed("node", identity).join(target.select(identity).distinct(), identity, "left_anti")
 
 
 def levels(dependencies: dict[str, Iterable[str]]) -> list[list[str]]:

@@ -5,26 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import digest_json, quoted
 from ..functions.scalars import content_id
 
 
-def quoted(text: Column | str) -> Column:
-    """JSON text of a string: quotes, backslashes and all control characters below U+0020 escaped, the short way where there is one."""
-    c = F.col(text) if isinstance(text, str) else text
-    for plain, escaped in (("\\", "\\\\"), ('"', '\\"')):
-        c = F.replace(c, F.lit(plain), F.lit(escaped))
-    short = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-    whole = c
-    for code in range(0x20):
-        whole = F.replace(whole, F.lit(chr(code)), F.lit(short.get(chr(code), f"\\u{code:04x}")))
-    return F.concat(F.lit('"'), F.when(c.rlike("[\\x00-\\x1f]"), whole).otherwise(c), F.lit('"'))
-
-
-def digest_json(identity: Column | str) -> Column:
-    c = F.col(identity) if isinstance(identity, str) else identity
-    return F.concat(F.lit('{"algorithm":"sha256","value":"'), F.substring_index(c, ":", -1), F.lit('"}'))
-
-
 def _manifest(entries: DataFrame, group: list[str], order: str, entry: Column) -> DataFrame:
     listed = entries.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), entry.alias("j")))).alias("_e"))
     json = F.concat(F.lit('{"version":1,"entries":['), F.array_join(F.transform("_e", lambda e: e["j"]), ","), F.lit("]}"))

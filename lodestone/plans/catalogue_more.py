@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..checkpoints import folder
-from ..functions import canonical, scalars
+from ..functions import canonical, globs, scalars
 from ..operators import chunking, gates, graph, history, manifests, store
-from ..sources import acquire, listings, providers
+from ..sources import acquire, listings
 from ..sources.tables import load
 from .catalogue import _docs, _outputs, _realizations, query
-from .project import Action, Output, Project, Runner
+from .project import Action, Output, Project, Runner, row_name
 
 # ---------------------------------------------------------------- functions
 
@@ -23,6 +24,16 @@ def digest_parse(s, d):
     return _docs(s, d).select("doc_id", scalars.digest(raw).alias("digest"))
 
 
+@query("""SELECT page_id, n = '' AS digest, n = '' AS scheme, n = '' AS variable, n = '' AS selected, 'o/n' || n || page_id AS repo FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN chr(10) ELSE '' END AS n FROM pages)""")
+def line_ends(s, d):
+    """A line feed at the end makes a digest, a scheme, a variable and a name another one; inside a name it stays."""
+    n, c = F.when(F.col("page_id") % 2 == 0, F.lit("\n")).otherwise(""), F.col("page_id").cast("string")
+    return load(s, d, "pages").select(
+        "page_id", scalars.digest(F.concat(F.lit("sha256:"), F.sha2("url", 256), n)).isNotNull().alias("digest"), scalars.reference(F.concat(F.lit("ab"), n, F.lit(":x"))).isNotNull().alias("scheme"),
+        scalars.env_reference(F.concat(F.lit("${X}"), n)).isNotNull().alias("variable"), globs.selected(F.concat(F.lit("a.txt"), n), ["*.txt"]).alias("selected"), scalars.hub_locator(F.concat(F.lit("o/n"), n, c, F.lit("@v")))["repo"].alias("repo"),
+    )
+
+
 @query("""SELECT p_partkey, replace(replace(replace('{in.a}/{out.b} {code.x}{in.a}', '{code.x}', p_brand || '{in.a}'), '{in.a}', p_type || '{out.b}'), '{out.b}', p_size::VARCHAR) AS command FROM part""")
 def placeholder_substitution(s, d):
     values = F.create_map(F.lit("{out.b}"), F.col("p_size").cast("string"), F.lit("{in.a}"), F.concat("p_type", F.lit("{out.b}")), F.lit("{code.x}"), F.concat("p_brand", F.lit("{in.a}")))
@@ -85,24 +96,24 @@ _BODY = """'{"schema":"s/v1","producer":"' || n_name || '","activity":null,"envi
 
 @query(f"SELECT n_nationkey, 'sha256:' || sha256({_BODY}) AS id FROM nation")
 def receipt_self_hash(s, d):
-    made = [(r.n_nationkey, canonical.receipt_id({"receipt_id": "not part of it", "schema": "s/v1", "producer": r.n_name, "inputs": ["a"], "outputs": [], "started_at": "2024-01-01", "finished_at": "2024-01-02", "payload": {"n": r.n_nationkey}})) for r in load(s, d, "nation").collect()]
-    return _of_few(s, made, "n_nationkey int, id string")
+    text = lambda v: F.lit(f'"{v}"')
+    name = canonical.receipt_ids(schema=text("s/v1"), producer=canonical.quoted("n_name"), inputs=canonical.list_json(F.array(F.lit("a"))), outputs=F.lit("[]"), started_at=text("2024-01-01"), finished_at=text("2024-01-02"), payload=canonical.object_json(n=F.col("n_nationkey").cast("string")))
+    return load(s, d, "nation").select("n_nationkey", name.alias("id"))
 
 
 @query("""SELECT r_regionkey, 'sha256:' || sha256('{"reference":"region:' || r_name || '","selection":{"include":["*.txt"],"exclude":[]}}') AS requirement FROM region""")
 def requirement_hashes(s, d):
-    return _of_few(s, [(r.r_regionkey, canonical.requirement_hash(f"region:{r.r_name}", ["*.txt"], [])) for r in load(s, d, "region").collect()], "r_regionkey int, requirement string")
+    none = F.array().cast("array<string>")
+    return load(s, d, "region").select("r_regionkey", canonical.requirement_hashes(F.concat(F.lit("region:"), "r_name"), F.array(F.lit("*.txt")), none).alias("requirement"))
 
 
 @query("""SELECT n_nationkey, 'sha256:' || sha256('{"version":1,"command":["run","' || n_name || '"],"inputs":{},"code":{},"parameters":{"a":1,"b":[2]},"environment":{"variables":{}},"outputs":{"out":{"kind":"blob"}},"network":"deny","sandbox":"read_only_inputs","platform":null}') AS action_key,
  2::BIGINT AS argv, 0::BIGINT AS inputs, 1::BIGINT AS outputs FROM nation""")
 def action_keys(s, d):
-    made = []
-    for r in load(s, d, "nation").collect():
-        # name, budget and cache policy are no part of the key
-        a = Action(f"any {r.n_nationkey}", ("run", r.n_name), parameters={"b": [2], "a": 1}, outputs={"out": Output()}, cache="pure", max_usd_micros=r.n_nationkey)
-        made.append((r.n_nationkey, a.key(), *(a.summary()[k] for k in ("argv", "inputs", "outputs"))))
-    return _of_few(s, made, "n_nationkey int, action_key string, argv long, inputs long, outputs long")
+    none = F.create_map().cast("map<string,string>")
+    command, outputs = F.array(F.lit("run"), "n_name"), canonical.object_json(out=canonical.object_json(kind=F.lit('"blob"')))
+    key = canonical.action_keys(command, none, none, F.lit('{"a":1,"b":[2]}'), none, outputs, F.lit("deny"), F.lit("read_only_inputs"), F.lit(None).cast("string"))
+    return load(s, d, "nation").select("n_nationkey", key.alias("action_key"), F.size(command).cast("bigint").alias("argv"), F.size(none).cast("bigint").alias("inputs"), F.lit(1).cast("bigint").alias("outputs"))
 
 
 @query("""SELECT doc_id, json_extract_string(r, '$.lang') AS lang, (r ->> '$.size')::BIGINT AS size FROM
@@ -137,9 +148,11 @@ def cdc_empty_blob(s, d):
 @query("""WITH RECURSIVE g AS (SELECT i AS byte, (i::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM range(256) t(i)),
  a AS (SELECT byte, (xor(x::UBIGINT, x::UBIGINT >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM g),
  b AS (SELECT byte, (xor(x::UBIGINT, x::UBIGINT >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM a)
- SELECT byte, xor(x::UBIGINT, x::UBIGINT >> 31)::VARCHAR AS value FROM b""")
+ SELECT doc_id, xor(x::UBIGINT, x::UBIGINT >> 31)::VARCHAR AS value FROM b JOIN documents ON byte = ('0x' || hex(encode(text))[1:2])::BIGINT WHERE text <> ''""")
 def gear_table(s, d):
-    return _of_few(s, [(i, str(int(x))) for i, x in enumerate(chunking.GEAR)], "byte long, value string")
+    """The mix of each text's first byte, by the table that chunking uses."""
+    table = F.array(*[F.lit(str(int(x))) for x in chunking.GEAR])
+    return load(s, d, "documents").where("text <> ''").select("doc_id", F.element_at(table, F.conv(F.hex(F.substring(F.col("text").cast("binary"), 1, 1)), 16, 10).cast("int") + 1).alias("value"))
 
 
 @query("SELECT lang AS folder, count(*) AS files FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT '.', count(*) FROM documents WHERE doc_id % 3 = 0")
@@ -253,11 +266,11 @@ def attest(s, d):
     return store.attested(there, a)  # those that are there stay as they are
 
 
-@query("""WITH w AS (SELECT c_mktsegment || c_custkey % 7 AS name, c_custkey AS artifact, c_acctbal > 0 AS passes FROM customer WHERE c_custkey % 100 < 7)
+@query("""WITH w AS (SELECT c_mktsegment || c_custkey % 7 AS name, c_custkey AS artifact, c_acctbal > 0 AS passes FROM customer)
  SELECT name, min(artifact) AS artifact FROM w WHERE passes GROUP BY 1""")
 def promote(s, d):
     """Of the artifacts that pass, the first by number is promoted to each name, and later ones can't move it."""
-    c = load(s, d, "customer").where("c_custkey % 100 < 7")
+    c = load(s, d, "customer")
     verdicts = c.select(F.col("c_custkey").alias("subject"), (F.col("c_acctbal") > 0).alias("passes"))
     wanted = c.select(F.concat("c_mktsegment", (F.col("c_custkey") % 7).cast("string")).alias("name"), F.col("c_custkey").alias("artifact"))
     first = wanted.join(verdicts.where("passes"), F.col("artifact") == F.col("subject")).groupBy("name").agg(F.min("artifact").alias("artifact"))
@@ -318,6 +331,29 @@ def foreach_items(s, d):
     return out.withColumn("hits", F.lit(runner.items["measure"].hits).cast("bigint")).withColumn("misses", F.lit(runner.items["measure"].misses).cast("bigint"))
 
 
+@query("""SELECT doc_id AS key, length(text)::BIGINT * 100 AS result, 0::BIGINT AS hits, count(*) OVER () AS misses FROM documents""")
+def foreach_side_input(s, d):
+    """A task by item with a second input: when that changes, all items are worked on again."""
+    project = Project.parse('version = 3\n[sources.docs]\nref = "table:documents"\n[sources.rate]\nref = "table:region"\n[tasks.price]\nrun = "price"\nforeach = "docs"\nby_item = true\ninputs = {rate = "rate"}\n')
+    functions = {"price": lambda items, rate: {"out": items.crossJoin(F.broadcast(rate.limit(1))).select("key", (F.char_length("value") * F.col("rate")).cast("bigint").alias("result"))}}
+    docs = load(s, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("value"))
+    rate = lambda n: load(s, d, "region").where("r_regionkey = 0").select(F.lit(n).alias("rate"))
+    root = folder(s)
+    Runner(s, root, functions).run_project(project, {"docs": docs, "rate": rate(1)})
+    runner = Runner(s, root, functions)
+    out = _numbers(project, runner, {"docs": docs, "rate": rate(100)}, "price", "out")[1]
+    return out.withColumn("hits", F.lit(runner.items["price"].hits).cast("bigint")).withColumn("misses", F.lit(runner.items["price"].misses).cast("bigint"))
+
+
+@query("SELECT event_id, true AS itself, false AS micro, false AS absent FROM events")
+def identity_micros(s, d):
+    """Names of rows: the same for equal values, others for a time a microsecond later and for a null."""
+    e = load(s, d, "events")
+    ts, kind = F.col("ts").cast("timestamp"), T.TimestampType()
+    name = lambda c: row_name([(F.col("event_id"), T.LongType()), (c, kind)])
+    return e.select("event_id", *[(name(c) == name(ts)).alias(n) for n, c in (("itself", F.col("ts").cast("timestamp")), ("micro", ts + F.expr("INTERVAL 1 MICROSECOND")), ("absent", F.lit(None).cast("timestamp")))])
+
+
 @query("SELECT 'steady' AS task, 1::BIGINT AS variants UNION ALL SELECT 'drifting', 2")
 def audit_determinism(s, d):
     runs = []
@@ -345,17 +381,11 @@ def content_identities(s, d):
 # ---------------------------------------------------------------- providers
 
 
-@query("SELECT 'fixture:any' AS reference, 'fixture.txt' AS path, 21::BIGINT AS size, sha256('provider conformance' || chr(10)) AS sha256")
-def fixture_acquire(s, d):
-    got = providers.read(s, providers.Registry(), "fixture:any")
-    return got.select("reference", "path", "size", F.sha2("content", 256).alias("sha256"))
-
-
-@query("""SELECT page_id, 'assets-' || page_id || '.zip' AS path, page_id AS size, 'https://x/' || page_id AS url, 'v' || page_id AS revision, 'github:o/r' || page_id || '@v' || page_id || '#*.zip' AS canonical_ref FROM pages""")
+@query("""SELECT page_id, 'assets-' || page_id || '.zip' AS path, page_id AS size, 'https://x/' || page_id AS url, 'v' || page_id AS revision, 'github:o/r' || page_id || '@v' || page_id || '#*' || page_id || '.z?p' AS canonical_ref FROM pages""")
 def github_listing(s, d):
     c = F.col("page_id").cast("string")
     body = F.concat(F.lit('{"tag_name":"v'), c, F.lit('","assets":[{"name":"assets-'), c, F.lit('.zip","size":'), c, F.lit(',"browser_download_url":"https://x/'), c, F.lit('"},{"name":"notes.txt","size":1,"browser_download_url":"u"}]}'))
-    a = load(s, d, "pages").select("page_id", F.concat(F.lit("o/r"), c, F.lit("#*.zip")).alias("locator"), body.alias("body"))
+    a = load(s, d, "pages").select("page_id", F.concat(F.lit("o/r"), c, F.lit("#*"), c, F.lit(".z?p")).alias("locator"), body.alias("body"))
     return listings.listed(a, "github", keep=("page_id",)).select("page_id", "path", "size", "url", "revision", "canonical_ref")
 
 

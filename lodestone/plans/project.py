@@ -10,6 +10,7 @@ the driver; data stays in DataFrames.
 from __future__ import annotations
 
 import json
+import math
 import time
 import tomllib
 import uuid
@@ -20,14 +21,17 @@ from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..checkpoints import written
 from ..functions.canonical import artifact_id, canonical_json, digest_record, ordered, requirement_hash, sha256_id
 from ..operators.graph import levels
 
 REALIZATION = "id string, action_key string, name string, stored string, cache string, started_at timestamp, finished_at timestamp, outputs map<string,string>"
 CACHES = ("pure", "reproducible", "volatile", "effect")  # fixed values
+REUSED = CACHES[:2]
 NETWORKS = ("deny", "allow", "restricted")
 SANDBOXES = ("none", "read_only_inputs", "strict", "container")
 
@@ -180,17 +184,50 @@ class Project:
         return levels({t: self.tasks[t].dependencies() for t in wanted})
 
 
+def exact(value: Column, kind: T.DataType) -> Column:
+    """A value whose JSON tells all values of its type apart: times to the microsecond, maps as sorted pairs."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, (T.TimestampNTZType, T.TimeType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
+        return value.cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[exact(value.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)])) if kind.fields else value.isNull()
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: exact(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(value), lambda e: F.struct(F.to_json(F.struct(exact(e["key"], kind.keyType).alias("k")), KEEP_NULLS).alias("k"), exact(e["value"], kind.valueType).alias("v")))
+        return F.array_sort(pairs, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+    return value
+
+
+KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
+def row_name(columns: list[tuple[Column, T.DataType]]) -> Column:
+    """SHA-256, in hex, of a row's exact values, nulls kept."""
+    return F.sha2(F.to_json(F.struct(*[exact(c, k).alias(f"c{i}") for i, (c, k) in enumerate(columns)]), KEEP_NULLS) if columns else F.lit("{}"), 256)
+
+
+def _any_null(schema: Any) -> Any:
+    """A schema's JSON without what it says of nulls, which files don't keep."""
+    if isinstance(schema, dict):
+        return {k: _any_null(v) for k, v in schema.items() if k not in ("nullable", "containsNull", "valueContainsNull")}
+    return [_any_null(x) for x in schema] if isinstance(schema, list) else schema
+
+
 def identity_of(df: DataFrame) -> str:
     """A frame's content identity: its schema and its rows as a multiset.
 
-    Rows are named by SHA-256 of their JSON, nulls kept. The sums of the names' four quarters don't
+    Rows are named by SHA-256 of their exact values, nulls kept. The sums of the names' four quarters don't
     depend on the order of rows and combine before the shuffle.
     """
     renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    name = F.sha2(F.to_json(F.struct(*renamed.columns), {"ignoreNullFields": "false"}) if renamed.columns else F.lit("{}"), 256)
+    name = row_name([(F.col(f.name), f.dataType) for f in renamed.schema.fields])
     quarters = [F.conv(F.substring(name, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
     row = renamed.agg(F.count("*"), *[F.coalesce(F.sum(q), F.lit(0)) for q in quarters]).first()
-    return artifact_id(sha256_id(canonical_json([df.schema.jsonValue(), *map(str, row)])), "collection")
+    return artifact_id(sha256_id(canonical_json([_any_null(df.schema.jsonValue()), *map(str, row)])), "collection")
 
 
 @dataclass
@@ -207,31 +244,48 @@ class Runner:
     """Runs projects; keeps outputs by action key, history as rows, and items of foreach tasks one by one.
 
     root is a folder that all executors share. Outputs are Parquet tables named by key, written
-    once: contents first, the history row last, so a failed run leaves nothing that looks done.
+    once: contents first, the history row last, so a failed run leaves nothing that looks done. Items are
+    worked on in lots of about per_lot, each kept when it is done, so a run after a failed one does the rest.
     """
 
-    def __init__(self, spark: SparkSession, root: str, functions: dict[str, Callable], jobs: int = 8):
-        self.spark, self.root, self.functions, self.jobs = spark, root.rstrip("/"), functions, max(jobs, 1)
+    def __init__(self, spark: SparkSession, root: str, functions: dict[str, Callable], jobs: int = 8, per_lot: int = 1_000_000):
+        self.spark, self.root, self.functions, self.jobs, self.per_lot = spark, root.rstrip("/"), functions, max(jobs, 1), per_lot
         self.history: list[dict] = []
         self.items: dict[str, ItemCache] = {}
         self.known: dict[str, tuple[dict[str, str], str]] = {}
 
-        self._load()
-
     def _save(self, action: Action, attempt: dict, stored: str, outputs: dict[str, str]) -> None:
         """Appends a realization to the durable history below root, after its contents."""
         rows = [(attempt["id"], action.key(), action.name, stored, action.cache, attempt["started_at"], attempt["finished_at"], outputs)]
         self.spark.createDataFrame(rows, REALIZATION).coalesce(1).write.mode("append").parquet(f"{self.root}/history")
 
-    def _load(self) -> None:
-        """What earlier sessions realized: of each action the newest outputs."""
+    def _past(self, **wanted: str) -> DataFrame | None:
+        """Realizations of all sessions whose columns have these values; None where there is no history yet."""
         try:
-            rows = self.spark.read.schema(REALIZATION).parquet(f"{self.root}/history")
-        except AnalysisException:  # nothing yet
-            return
-        newest = rows.groupBy("action_key").agg(F.max_by(F.struct("stored", "outputs"), F.struct("finished_at", "id")).alias("r"))
-        for r in newest.collect():  # a row for each action: plans are small
-            self.known[r.action_key] = (dict(r.r.outputs), r.r.stored)
+            rows = self.realizations()
+        except AnalysisException:
+            return None
+        for column, value in wanted.items():
+            rows = rows.where(F.col(column) == value)
+        return rows
+
+    def _known(self, key: str) -> tuple[dict[str, str], str] | None:
+        """The newest outputs of an action and where they lie, of this session or an earlier one, if they are still there."""
+        if key not in self.known:
+            past = self._past(action_key=key)
+            newest = past and past.agg(F.max_by(F.struct("stored", "outputs"), F.struct("finished_at", "id")).alias("r")).first().r
+            if newest:
+                self.known[key] = (dict(newest.outputs), newest.stored)
+        if key in self.known and all(self._there(self.known[key][1], o) for o in self.known[key][0]):
+            return self.known[key]
+        return None
+
+    def _there(self, stored: str, output: str) -> bool:
+        try:
+            self.read(stored, output)
+        except AnalysisException:  # no such folder, or no file in it
+            return False
+        return True
 
     def realizations(self) -> DataFrame:
         """The durable history: id, action_key, name, stored, cache, started_at, finished_at, outputs."""
@@ -252,18 +306,19 @@ class Runner:
 
     def run(self, action: Action, work: Callable[[], dict[str, DataFrame]], force: bool = False) -> Result:
         """Reuses the newest outputs of a pure or reproducible action, else works and records an attempt."""
-        key = action.key()
-        if not force and action.cache in ("pure", "reproducible") and key in self.known:
-            return Result(key, *self.known[key][:1], True, self.known[key][1])
+        key, reused = action.key(), action.cache in REUSED and not force
+        if reused and (found := self._known(key)):
+            return Result(key, found[0], True, found[1])
         attempt = {"id": str(uuid.uuid4()), "action_key": key, "name": action.name, "started_at": datetime.now(timezone.utc), "finished_at": None, "exit_code": None, "error": None}
         self.history.append(attempt)
         began = time.monotonic()
         try:
-            made = work()
+            made = work(fresh=not reused) if isinstance(work, ItemWork) else work()
             missing = set(action.outputs) - set(made)
             if missing:
                 raise ValueError(f"{action.name} did not produce {sorted(missing)}")
-            run_key = key if key not in self.known else sha256_id((key + attempt["id"]).encode())
+            # a run's tables lie under its key; a further run of an action gets a key of its own
+            run_key = sha256_id((key + attempt["id"]).encode()) if any(self._there(key, o) for o in made) else key
             ids = {}
             for name, df in made.items():
                 df.write.mode("overwrite").parquet(self._path(run_key, name))
@@ -279,17 +334,15 @@ class Runner:
         # reuse takes the newest outputs, so what is known moves on with every run
         self.known[key] = (ids, run_key)
         self._save(action, attempt, run_key, ids)
-        if action.cache == "pure":
-            earlier = [a["outputs"] for a in self.history if a["action_key"] == key and a.get("outputs")]
-            if any(o != ids for o in earlier):
-                raise RuntimeError(f"{action.name} is declared pure but gave different outputs")
+        if action.cache == "pure" and self._past(action_key=key).select(F.array_sort(F.map_entries("outputs"))).distinct().limit(2).count() > 1:
+            raise RuntimeError(f"{action.name} is declared pure but gave different outputs")
         return Result(key, ids, False, run_key)
 
     def why(self, action: Action) -> dict[str, Any]:
         """Whether the action would be reused, and the key its name had before."""
-        key = action.key()
-        before = [a["action_key"] for a in self.history if a["name"] == action.name and a["action_key"] != key]
-        return {"key": key, "hit": key in self.known and action.cache in ("pure", "reproducible"), "previous": before[-1] if before else None}
+        key, past = action.key(), self._past(name=action.name)
+        before = past and past.where(F.col("action_key") != key).agg(F.max_by("action_key", F.struct("finished_at", "id"))).first()[0]
+        return {"key": key, "hit": action.cache in REUSED and self._known(key) is not None, "previous": before or None}
 
     def audit(self, action: Action, work: Callable[[], dict[str, DataFrame]], runs: int = 2) -> dict[str, list[str]]:
         """Each output's distinct identities over at least two forced runs."""
@@ -299,33 +352,20 @@ class Runner:
                 seen.setdefault(name, set()).add(identity)
         return {k: sorted(v) for k, v in seen.items()}
 
-    def _each(self, name: str, task: Task, items: DataFrame, function: Callable) -> dict[str, DataFrame]:
-        """A by_item task over its items (key, value): unchanged items keep their results, others are worked on.
+    def _each(self, name: str, task: Task, action: Action, items: DataFrame, function: Callable, fresh: bool) -> dict[str, DataFrame]:
+        """A by_item task over its items (key, value): items that an earlier run worked on keep their results.
 
-        What was done is kept under root by task, code name and parameters, for the next run and the next session.
+        Results are kept below root under the action's key without its items, so other code, parameters or
+        inputs don't meet them; fresh works on all items again.
         """
         if len(task.outputs) != 1:
             raise ValueError(f"{name}: a task by item has one output")
-        cache = self.items.setdefault(name, ItemCache())
-        where = f"{self.root}/items/{sha256_id(canonical_json([name, task.run, ordered(task.parameters)])).split(':')[1]}"
-        if cache.rows is None:
-            try:
-                kept = self.spark.read.parquet(f"{where}/*")
-                last = kept.groupBy(F.input_file_name().alias("f")).count().select(F.max(F.substring_index(F.substring_index("f", "/", -2), "/", 1))).first()[0]
-                cache.rows = self.spark.read.parquet(f"{where}/{last}") if last else None
-            except AnalysisException:  # nothing yet
-                pass
-
-        def save(df: DataFrame) -> DataFrame:
-            path = f"{where}/run-{time.time_ns():020d}"
-            df.write.parquet(path)
-            return self.spark.read.schema(df.schema).parquet(path)
-
-        output = task.outputs[0]
-        return {output: cache.map(items, lambda missed: function(items=missed)[output], save).select("key", "result")}
-
-    def run_project(self, project: Project, sources: dict[str, DataFrame], targets: Iterable[str] | None = None) -> dict[str, Result]:
-        """Runs what targets need, level by level, the tasks of a level at the same time; only sources in use are read."""
+        alone = replace(action, inputs={k: v for k, v in action.inputs.items() if k != "items"})
+        cache = self.items[name] = ItemCache(self.spark, f"{self.root}/items/{alone.key().split(':')[1]}", self.per_lot)
+        return {task.outputs[0]: cache.map(items, lambda missed: function(items=missed)[task.outputs[0]], fresh).select("key", "result")}
+
+    def run_project(self, project: Project, sources: dict[str, DataFrame], targets: Iterable[str] | None = None, force: Iterable[str] = ()) -> dict[str, Result]:
+        """Runs what targets need, level by level, the tasks of a level at the same time; only sources in use are read. Tasks named in force run without reuse."""
         frames: dict[str, DataFrame] = dict(sources)
         ids: dict[str, str] = {}
         done: dict[str, Result] = {}
@@ -348,7 +388,7 @@ class Runner:
                 given["items"] = lookup(task.foreach)
             action = Action(name, (task.run,), {k: i for k, (_, i) in given.items()}, parameters=task.parameters or None, outputs={o: Output("collection") for o in task.outputs}, cache=task.cache)
             function = lambda **items: self.functions[task.run](**{k: df for k, (df, _) in given.items()} | items, **task.parameters)
-            return name, self.run(action, (lambda: self._each(name, task, given["items"][0], function)) if task.by_item else function)
+            return name, self.run(action, ItemWork(lambda fresh: self._each(name, task, action, given["items"][0], function, fresh)) if task.by_item else function, name in force)
 
         for level in project.plan(targets):
             with ThreadPoolExecutor(self.jobs) as pool:
@@ -359,28 +399,52 @@ class Runner:
         return done
 
 
-@dataclass
+@dataclass(frozen=True)
+class ItemWork:
+    """Work that can leave out items done before; called with whether it must not."""
+
+    each: Callable[[bool], dict[str, DataFrame]]
+
+    def __call__(self, fresh: bool = False) -> dict[str, DataFrame]:
+        return self.each(fresh)
+
+
 class ItemCache:
-    """Results of a foreach task by item key and content; unchanged items are not worked on again."""
-
-    rows: DataFrame | None = None
-    hits: int = 0
-    misses: int = 0
-
-    def map(self, items: DataFrame, work: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """key, value, result of items (key, value); keys must not repeat. save writes a frame and reads it again."""
-        from ..streaming.incremental import incremental_map
-
-        if items.groupBy("key").count().where("count > 1").limit(1).count():
-            raise ValueError("item keys repeat")
-        if self.rows is None:
-            made = save(items.join(work(items), "key").select("key", "value", "result", F.lit("miss").alias("status")))
-        else:
-            made = save(incremental_map(self.rows, items, work, value="value").select("key", "value", "result", "status"))
-        count = {r["status"]: r["count"] for r in made.groupBy("status").count().collect()}
-        self.hits, self.misses = count.get("hit", 0), count.get("miss", 0)
-        self.rows = made.drop("status")
-        return self.rows
+    """Results of a task by item key and content, appended below a folder as lots of items are done."""
+
+    def __init__(self, spark: SparkSession, where: str, per_lot: int = 1_000_000):
+        self.spark, self.where, self.per_lot = spark, where, max(per_lot, 1)
+        self.hits = self.misses = 0
+
+    def _stored(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.where)
+        except AnalysisException:  # nothing yet
+            return None
+
+    def map(self, items: DataFrame, work: Callable[[DataFrame], DataFrame], fresh: bool = False) -> DataFrame:
+        """key, value, result of items (key, value); work gets key and value of those not done before, and returns key and result.
+
+        Keys must be there and not repeat. Of several results of an item the newest counts; fresh
+        takes this run's only. Items that work gives no result for have no row.
+        """
+        if not items.groupBy("key").count().where("count > 1 or key is null").isEmpty():
+            raise ValueError("item keys repeat or are null")
+        run, kind = f"{time.time_ns():020d}", items.schema["value"].dataType
+        items = written(items.select("key", "value", row_name([(F.col("value"), kind)]).alias("item")))
+        stored = None if fresh else self._stored()
+        missed = items if stored is None else written(items.join(stored.select("key", "item").distinct(), ["key", "item"], "left_anti"))
+        self.misses = missed.count()
+        self.hits = items.count() - self.misses
+        lots = max(1, math.ceil(self.misses / self.per_lot))
+        for lot in range(lots) if self.misses else ():
+            part = missed.where(F.pmod(F.xxhash64("item"), F.lit(lots)) == lot)
+            part.select("key", "item").join(work(part.select("key", "value")), "key").select("key", "item", "result", F.lit(run).alias("run")).write.mode("append").parquet(self.where)
+        stored = self._stored()
+        if stored is None:  # no item at all: as many rows, of the type that work gives
+            return items.select("key", "value").join(work(items.select("key", "value")), "key").select("key", "value", "result")
+        own = (stored.where(F.col("run") == run) if fresh else stored).groupBy("key", "item").agg(F.max_by(F.struct("result"), "run").alias("r"))
+        return items.join(own, ["key", "item"]).select("key", "value", "r.result")
 
 
 def toml_string(text: str) -> str:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.globs import selected
+from ..functions.globs import regexes
 from ..functions.scalars import dataset_version, hub_locator, path, release_locator
 
 FILES = "array<struct<path:string,size:bigint,sha256:string,media_type:string,url:string,md5:string>>"
@@ -34,9 +34,9 @@ def _github(locator: Column, body: Column) -> Column:
     return _listing(files, v["tag_name"], F.concat(F.lit("github:"), at["repo"], F.lit("@"), v["tag_name"], F.lit("#"), at["pattern"]))
 
 
-def _huggingface(locator: Column, body: Column) -> Column:
+def _huggingface(locator: Column, body: Column, revision: Column | None = None) -> Column:
     at, v = hub_locator(locator), F.from_json(body, "sha string, siblings array<struct<rfilename:string,size:bigint>>")
-    sha, dataset = F.coalesce(v["sha"], at["revision"]), at["kind"] == "dataset"
+    sha, dataset = F.coalesce(v["sha"], *([] if revision is None else [revision]), at["revision"]), at["kind"] == "dataset"
     root = F.concat(F.lit("https://huggingface.co/"), F.when(dataset, "datasets/").otherwise(""), at["repo"], F.lit("/resolve/"), sha, F.lit("/"))
     files = F.transform(v["siblings"], lambda s: _file(s["rfilename"], s["size"], F.concat(root, s["rfilename"])))
     return _listing(files, sha, F.concat(F.lit("hf:"), F.when(dataset, "dataset:").otherwise(""), at["repo"], F.lit("@"), sha))
@@ -86,15 +86,15 @@ def _gitlab(locator: Column, revision: Column, base: str = "https://gitlab.com")
 PARSERS: dict[str, Callable[..., Column]] = {"github": _github, "huggingface": _huggingface, "zenodo": _zenodo, "figshare": _figshare, "osf": _osf, "dataverse": _dataverse, "gitlab": _gitlab}
 
 
-def endpoint(provider: str, locator: str = "locator", base: str | None = None) -> Column:
-    """The address of the JSON that describes a reference."""
+def endpoint(provider: str, locator: str = "locator", base: str | None = None, revision: str | None = None) -> Column:
+    """The address of the JSON that describes a reference; a column revision, where not null, goes before the reference's own."""
     v = F.col(locator)
     if provider == "github":
         at = release_locator(v)
         return F.concat(F.lit("https://api.github.com/repos/"), at["repo"], F.lit("/releases/"), F.when(at["tag"] == "latest", "latest").otherwise(F.concat(F.lit("tags/"), at["tag"])))
     if provider == "huggingface":
         at = hub_locator(v)
-        return F.concat(F.lit("https://huggingface.co/api/"), at["kind"], F.lit("s/"), at["repo"], F.lit("/revision/"), at["revision"])
+        return F.concat(F.lit("https://huggingface.co/api/"), at["kind"], F.lit("s/"), at["repo"], F.lit("/revision/"), at["revision"] if revision is None else F.coalesce(F.col(revision), at["revision"]))
     if provider == "zenodo":
         return F.concat(F.lit("https://zenodo.org/api/records/"), F.regexp_replace(v, "^(record:)+", ""))
     if provider == "figshare":
@@ -103,24 +103,22 @@ def endpoint(provider: str, locator: str = "locator", base: str | None = None) -
         return F.concat(F.lit("https://api.osf.io/v2/files/"), v, F.lit("/"))
     if provider == "dataverse":
         root = F.lit(f"{base or 'https://dataverse.harvard.edu'}/api/datasets/")
-        return F.when(v.rlike("^[0-9]*$"), F.concat(root, v)).otherwise(F.concat(root, F.lit(":persistentId/?persistentId="), F.url_encode(v)))
+        return F.when(v.rlike(r"\A[0-9]*\z"), F.concat(root, v)).otherwise(F.concat(root, F.lit(":persistentId/?persistentId="), F.url_encode(v)))
     raise KeyError(f"{provider!r} has no listing to ask for")
 
 
-def listed(answers: DataFrame, provider: str, locator: str = "locator", answer: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+def listed(answers: DataFrame, provider: str, locator: str = "locator", answer: str = "body", keep: tuple[str, ...] = (), revision: str | None = None, base: str | None = None) -> DataFrame:
     """A row for each file of each answer: keep, path, size, sha256, media_type, url, md5, revision, canonical_ref.
 
     answers has a locator and the body of its answer (for gitlab the revision, or null). Of releases,
-    only files that the reference's pattern selects.
+    only files that the reference's pattern selects. revision names a column with a revision asked
+    for beside the reference (huggingface); base is the address of an own server (dataverse, gitlab).
     """
-    made = answers.select(*keep, F.col(locator).alias("_l"), PARSERS[provider](F.col(locator), F.col(answer)).alias("_a")).where("_a is not null")
+    more = ({"revision": F.col(revision)} if revision else {}) | ({"base": base} if base else {})
+    made = answers.select(*keep, F.col(locator).alias("_l"), PARSERS[provider](F.col(locator), F.col(answer), **more).alias("_a")).where("_a is not null")
     rows = made.select(*keep, "_l", F.explode("_a.files").alias("f"), "_a.revision", "_a.canonical_ref").select(*keep, "_l", "f.*", "revision", "canonical_ref")
     if provider == "github":
-        patterns = [r[0] for r in rows.select(release_locator("_l")["pattern"].alias("p")).distinct().collect()]  # as many as references have patterns
-        fits = F.lit(False)
-        for p in patterns:
-            fits |= (release_locator("_l")["pattern"] == p) & selected("path", [p], [])
-        rows = rows.where(fits)
+        rows = rows.withColumn("_p", regexes(release_locator("_l")["pattern"])).where(F.rlike("path", F.col("_p"))).drop("_p")
     return rows.drop("_l")
 
 

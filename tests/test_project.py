@@ -1,9 +1,10 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.plans.project import Action, ItemCache, Lock, Output, Project, Runner
+from lodestone.plans.project import Action, ItemCache, Lock, Output, Project, Runner, identity_of
 from lodestone.sources import layout, providers
 
 TOML = """
@@ -52,17 +53,111 @@ def test_project(spark, tmp_path):
 
 def test_item_cache(spark, tmp_path):
     """Three items: first all miss, then all hit, then one changed item misses."""
-    n = iter(range(100))
-    save = lambda df: (df.write.parquet(p := str(tmp_path / f"t{next(n)}")), spark.read.parquet(p))[1]
     work = lambda df: df.select("key", F.upper("value").alias("result"))
-    cache, seen = ItemCache(), []
+    seen = []
     for b in ("bravo", "bravo", "beta"):
-        out = cache.map(rows(spark, b), work, save)
+        cache = ItemCache(spark, str(tmp_path / "items"))
+        out = cache.map(rows(spark, b), work)
         seen.append((cache.hits, cache.misses))
     assert seen == [(0, 3), (3, 0), (2, 1)]
     assert sorted(r.result for r in out.collect()) == ["ALPHA", "BETA", "CHARLIE"]
     with pytest.raises(ValueError):
-        cache.map(rows(spark).union(rows(spark)), work, save)
+        cache.map(rows(spark).union(rows(spark)), work)
+    with pytest.raises(ValueError):
+        cache.map(rows(spark).withColumn("key", F.lit(None).cast("string")).limit(1), work)
+    assert cache.map(rows(spark).limit(0), work).collect() == []
+
+
+def test_items_of_a_failed_run(spark, tmp_path):
+    """Four items in lots of one; the work fails after two of them, and the next run does the other two."""
+    items = spark.createDataFrame([(k, k * 2) for k in "abcd"], "key string, value string")
+    lots = []
+
+    def work(df):
+        lots.append(1)
+        if len(lots) == 3:
+            raise RuntimeError("half-way")
+        return df.select("key", F.upper("value").alias("result"))
+
+    cache = ItemCache(spark, str(tmp_path / "items"), per_lot=1)
+    with pytest.raises(RuntimeError):
+        cache.map(items, work)
+    done = spark.read.parquet(str(tmp_path / "items")).count()
+    cache = ItemCache(spark, str(tmp_path / "items"))
+    assert sorted(r.result for r in cache.map(items, work).collect()) == ["AA", "BB", "CC", "DD"]
+    assert (cache.hits, cache.misses) == (done, 4 - done)
+
+
+BY_ITEM = """
+version = 3
+[sources.docs]
+ref = "table:docs"
+[sources.rate]
+ref = "table:rate"
+[tasks.price]
+run = "price"
+foreach = "docs"
+by_item = true
+cache = "%s"
+inputs = {rate = "rate"}
+"""
+
+
+def test_items_with_side_input_force_and_volatile(spark, tmp_path):
+    docs = spark.createDataFrame([("a", 10), ("b", 20)], "key string, value long")
+    rate = lambda n: spark.createDataFrame([(n,)], "rate long")
+    runs = []
+
+    def price(items, rate):
+        runs.append(1)
+        return {"out": items.crossJoin(rate).select("key", (F.col("value") * F.col("rate") + len(runs) - 1).alias("result"))}
+
+    def values(cache, n, **more):
+        run = Runner(spark, str(tmp_path / cache), {"price": price})
+        result = run.run_project(Project.parse(BY_ITEM % cache), {"docs": docs, "rate": rate(n)}, **more)["price"]
+        return sorted(r.result for r in run.read(result.stored, "out").collect()), result.hit
+
+    assert values("reproducible", 1) == ([10, 20], False)
+    assert values("reproducible", 100) == ([1001, 2001], False)
+    assert values("reproducible", 1) == ([10, 20], True)
+    assert values("reproducible", 1, force=["price"]) == ([12, 22], False)
+    assert values("volatile", 1) == ([13, 23], False) and values("volatile", 1) == ([14, 24], False)
+    run = Runner(spark, str(tmp_path / "audit"), {"price": price})
+    project = Project.parse(BY_ITEM % "reproducible")
+    seen = {run.run_project(project, {"docs": docs, "rate": rate(1)}, force=["price"])["price"].outputs["out"] for _ in range(2)}
+    assert len(seen) == 2
+
+
+def test_hit_needs_its_outputs(spark, tmp_path):
+    action = Action("t", ("f",), outputs={"out": Output()})
+    run = Runner(spark, str(tmp_path), {})
+    first = run.run(action, lambda: {"out": rows(spark)})
+    assert run.run(action, lambda: 1 / 0).hit
+    shutil.rmtree(tmp_path / first.stored.split(":")[1][:2])
+    for r in (run, Runner(spark, str(tmp_path), {})):
+        assert not r.why(action)["hit"]
+    again = Runner(spark, str(tmp_path), {}).run(action, lambda: {"out": rows(spark)})
+    assert not again.hit and again.outputs == first.outputs and run.run(action, lambda: 1 / 0).hit
+
+
+def test_pure_across_sessions(spark, tmp_path):
+    action = Action("t", ("f",), outputs={"out": Output()}, cache="pure")
+    Runner(spark, str(tmp_path), {}).run(action, lambda: {"out": rows(spark)})
+    with pytest.raises(RuntimeError, match="pure"):
+        Runner(spark, str(tmp_path), {}).run(action, lambda: {"out": rows(spark, "other")}, force=True)
+    other = Action("t", ("g",), outputs={"out": Output()})
+    assert Runner(spark, str(tmp_path), {}).why(other) == {"key": other.key(), "hit": False, "previous": action.key()}
+
+
+def test_identities(spark):
+    frames = [
+        spark.sql("select timestamp'2024-01-01 00:00:00.000001' t"), spark.sql("select timestamp'2024-01-01 00:00:00.000002' t"), spark.sql("select timestamp_ntz'2024-01-01 00:00:00.000001' t"),
+        spark.sql("select map(1, 2, 3, 4) t"), spark.sql("select map(1, 2, 3, 5) t"), spark.sql("select cast(null as map<int,int>) t"), spark.sql("select X'00' t"), spark.sql("select X'0000' t"),
+        spark.sql("select array(timestamp'2024-01-01 00:00:00.000001') t"), spark.sql("select array(timestamp'2024-01-01 00:00:00.000003') t"), spark.sql("select named_struct('a', null) t"), spark.sql("select struct(1 as a) t"),
+    ]
+    ids = [identity_of(f) for f in frames]
+    assert len(set(ids)) == len(ids) and ids == [identity_of(f) for f in frames]
+    assert identity_of(spark.sql("select map(3, 4, 1, 2) t")) == ids[3]
 
 
 def test_runner_gates(spark, tmp_path):
@@ -110,3 +205,5 @@ def test_layout(spark, tmp_path):
     blobs = spark.createDataFrame([("a", b"1"), ("b", b"22")], "title string, content binary")
     layout.write(blobs, str(tmp_path))
     assert sorted((r.title, bytes(r.content), r["size"]) for r in layout.read(spark, str(tmp_path)).collect()) == [("a", b"1", 1), ("b", b"22", 2)]
+    got = providers.read(spark, providers.Registry(), f"oci:{tmp_path}").collect()
+    assert sorted((r.path, bytes(r.content), r["size"]) for r in got) == [("a", b"1", 1), ("b", b"22", 2)]
