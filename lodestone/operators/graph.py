@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..checkpoints import written
+from ..checkpoints import folder, written
 from .history import live
 from .store import verified
 
@@ -19,15 +19,22 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, by: str) -> DataFrame:
+    """df in the shared folder, dealt out and sorted by a column, and registered under a name of its own: joins on that column don't shuffle it again."""
+    spark, path = df.sparkSession, folder(df.sparkSession)
+    name, n = f"lodestone_{path.rsplit('/', 1)[-1]}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def closure(roots: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """node, depth of all nodes that roots reach; roots has node, edges has src and dst.
 
-    Edges are written once, dealt out by src. Each round joins only the newest nodes with them, and
-    every round's nodes are written once; a small frontier is broadcast, so edges are not
-    shuffled again. Rounds are merged now and then. Cycles end by the anti join. Nodes without
-    a row of their own are reached but not expanded.
+    Edges are written once, in buckets by src, so no round shuffles them. Each round joins only the newest
+    nodes with them, and every round's nodes are written once. Rounds are merged now and then. Cycles
+    end by the anti join. Nodes without a row of their own are reached but not expanded.
     """
-    edges = written(edges.select("src", "dst").where("src is not null and dst is not null").repartition("src").distinct())
+    edges = bucketed(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "src")
     frontier = written(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     rounds = [frontier]
     for depth in range(1, most_rounds + 1):
@@ -128,16 +135,76 @@ def integrity(roots: DataFrame, edges: DataFrame, objects: DataFrame, identity:
     return verified(reached, objects, identity, data).where("status <> 'ok'").select(F.col(identity).alias("node"), "status")
 
 
+def first_visits(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, path of all nodes that roots reach, where path orders them as a depth-first walk first meets them.
+
+    roots has node and nth (the order of the walks), edges src, dst and nth (the order of src's
+    children; equal ones go by dst). In a graph without cycles a walk first meets a node by its least path, as a
+    smaller path to a node on the way would lead there too. So a node's path is the least, over its parents,
+    of the parent's path and its own number below it; each round settles the nodes whose parents are all
+    settled. A number takes two bytes of a path up to 255 children, three up to 65,535. Raises on a cycle.
+    """
+    asked = roots.select(F.lit(None).cast(dict(edges.dtypes)["src"]).alias("src"), F.col("node").alias("dst"), "nth")
+    every = written(asked.unionByName(edges.select("src", "dst", "nth").join(closure(roots, edges).select(F.col("node").alias("src")), "src", "left_semi")).where("dst is not null").groupBy("src", "dst").agg(F.min("nth").alias("nth")))
+    # children by their place, from 0, so that numbers are short; a hot parent's children are numbered by ranges
+    placed = numbered(every, ["src", "nth", "dst"], "place")
+    start = placed.groupBy(F.col("src").alias("_src")).agg(F.min("place").alias("_start"))
+    joined = placed.join(start, F.col("src").eqNullSafe(F.col("_src"))).select("src", "dst", (F.col("place") - F.col("_start")).alias("k"))
+    digits = F.hex("k")
+    digits = F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits)
+    whole = F.concat(F.lpad(F.hex((F.length(digits) / 2).cast("int")), 2, "0"), digits)
+    whole = written(joined.select("src", "dst", F.unhex(whole).alias("own")))
+    needed = written(whole.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("parents")))
+    edges = bucketed(whole.where("src is not null"), "src")
+    reached = whole.where("src is null").select(F.col("dst").alias("node"), F.col("own").alias("path"), F.lit(1).cast("long").alias("seen"))
+    waiting, settled = None, []
+    while True:
+        all_ = reached if waiting is None else waiting.unionByName(reached)
+        state = written(all_.groupBy("node").agg(F.min("path").alias("path"), F.sum("seen").alias("seen")).join(needed, "node"))
+        done = state.where("seen = parents").select("node", "path")
+        waiting = state.where("seen < parents").select("node", "path", "seen")
+        if done.isEmpty():
+            if not waiting.isEmpty():
+                raise ValueError("cycle")
+            return union(settled) if settled else done
+        settled = [written(union([*settled, done]))] if len(settled) > 7 else [*settled, done]
+        reached = edges.join(done.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.concat("path", "own").alias("path"), F.lit(1).cast("long").alias("seen"))
+
+
+def layer_edges(artifacts: DataFrame, collections: DataFrame, tree_entries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """src, dst, nth: what an image of an artifact (id, content, schema, kind) holds, in order: its content, its schema, then its members.
+
+    Members are of the manifest that is its content: artifacts of a collection (collection_content, ordinal,
+    artifact), contents of a tree (tree_content, ordinal, content), chunks of a blob (manifest_content, ordinal, content).
+    """
+    own = artifacts.select(F.col("id").alias("src"), F.col("content").alias("dst"), F.lit(0).cast("long").alias("nth"))
+    schema = artifacts.where("schema is not null").select(F.col("id").alias("src"), F.col("schema").alias("dst"), F.lit(1).cast("long").alias("nth"))
+    out = own.unionByName(schema)
+    for kind, members, key, value in (("collection", collections, "collection_content", "artifact"), ("tree", tree_entries, "tree_content", "content"), ("blob", chunks, "manifest_content", "content")):
+        of = artifacts.where(F.col("kind") == kind).select(F.col("id").alias("src"), F.col("content").alias("_key"))
+        out = out.unionByName(of.join(members.select(F.col(key).alias("_key"), F.col(value).alias("dst"), (F.col("ordinal").cast("long") + 2).alias("nth")), "_key").select("src", "dst", "nth"))
+    return out
+
+
 def image_layers(roots: DataFrame, edges: DataFrame, artifacts: DataFrame, objects: DataFrame) -> DataFrame:
-    """node, role, ordinal, size: the layers of an image that holds all that roots reach, each once.
+    """node, role, ordinal, size: the layers of an image that holds all that roots (node, nth) reach, each once.
 
-    Manifests of artifacts come before contents at the same depth, in order of their identities.
-    artifacts (id, size) are manifests, objects (id, size) contents.
+    They stand as a depth-first walk over edges (src, dst, nth; see ``layer_edges``) first meets them.
+    artifacts (id, size) are manifests, objects (id, size) contents; what neither holds has no layer.
     """
-    reached = closure(roots, edges)
     both = artifacts.select("id", "size", F.lit("artifact-manifest").alias("role")).unionByName(objects.select("id", "size", F.lit("content").alias("role")))
-    layers = reached.join(both.withColumnRenamed("id", "node"), "node")
-    return numbered(layers, ["depth", "role", "node"], "ordinal").select("node", "role", "ordinal", "size")
+    layers = first_visits(roots, edges).join(both.withColumnRenamed("id", "node"), "node")
+    return numbered(layers, ["path"], "ordinal").select("node", "role", "ordinal", "size")
+
+
+def running(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the sum of value up to each in order, itself included; by ranges, so that no task holds them all. Ties in any order."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    parts = written(parts)
+    sizes = parts.groupBy("_p").agg(F.sum(value).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    inside = F.sum(value).over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("_s", inside).join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p").withColumn(name, F.col("_before") + F.col("_s")).drop("_p", "_i", "_s", "_before")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import folder
+from ..checkpoints import folder, written
 from ..functions import globs, scalars
 from ..operators import chunking, gates, graph, history, manifests, store
 from ..sources import acquire
@@ -613,26 +613,63 @@ def stream_changed_items(s, d):
     return incremental.drained(incremental.changed_stream(events.select(F.col("user_id").alias("key"), F.col("event_type").alias("artifact"))), folder(s))
 
 
-def _joined(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "documents").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    """A source's documents as the parts of one blob, with a line feed between them."""
+    docs = load(s, d, "documents").select("source", "doc_id", "text")
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id")).withColumn("_first", F.lit(True))
+    text = F.when(F.col("_first"), F.col("text")).otherwise(F.concat(F.lit("\n"), "text"))
+    return docs.join(first, ["source", "doc_id"], "left").select("source", "doc_id", text.alias("text"))
+
+
+def _cdc(tail: str, b: int = 512, k: int = 2047, m: int = 8192) -> str:
+    """Cuts by the byte loop's rule, a chunk of each source a round; p holds the xor prefixes of the mixed, rotated bytes."""
+    mixed = lambda x, shift, by: f"((xor({x}, {x} >> {shift})::UHUGEINT * {by}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""WITH RECURSIVE t AS (SELECT source, hex(encode(string_agg(text, chr(10) ORDER BY doc_id))) AS h FROM documents GROUP BY 1),
+ g0 AS (SELECT i AS byte, ((i::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS x FROM range(256) r(i)),
+ g1 AS (SELECT byte, {mixed('x', 30, 13787848793156543929)} AS x FROM g0), g2 AS (SELECT byte, {mixed('x', 27, 10723151780598845931)} AS x FROM g1),
+ g AS (SELECT byte, xor(x, x >> 31) AS gear FROM g2),
+ seg AS (SELECT source, j, substr(h, 2 * 4096 * j + 1, 2 * 4096) AS part FROM (SELECT source, h, unnest(range((length(h) // 2 + 4095) // 4096)) AS j FROM t)),
+ y AS (SELECT source, 4096 * j + i AS i, ('0x' || substr(part, 2 * i + 1, 2))::INT AS byte FROM (SELECT source, j, part, unnest(range(length(part) // 2)) AS i FROM seg)),
+ z AS (SELECT source, i, (i % 64)::UBIGINT AS a, gear FROM y JOIN g USING (byte)),
+ p AS (SELECT source, i + 1 AS e, bit_xor(CASE WHEN a = 0 THEN gear ELSE (gear >> a) | ((gear::UHUGEINT << (64 - a)::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT END) OVER (PARTITION BY source ORDER BY i) AS p FROM z),
+ k AS MATERIALIZED (SELECT source, (e - 1) // 4096 AS b, list(p ORDER BY e) AS ps, max(max(e)) OVER (PARTITION BY source) AS n FROM p GROUP BY 1, 2),
+ cut AS (SELECT source, 0::BIGINT AS ordinal, 0::BIGINT AS s, 0::BIGINT AS e, 0::UBIGINT AS ps FROM t WHERE h <> ''
+  UNION ALL SELECT source, max(ordinal) + 1, max(s), min(e), arg_min(p, e) FROM (SELECT source, ordinal, s, ps, n, p, 4096 * b + i + 1 AS e, (i % 64)::UBIGINT AS r FROM
+    (SELECT c.source, c.ordinal, c.e AS s, c.ps, k.n, k.b, unnest(k.ps) AS p, unnest(range(len(k.ps))) AS i FROM cut c JOIN k ON k.source = c.source AND k.b >= c.e // 4096 AND k.b <= (c.e + {m} - 1) // 4096))
+   WHERE e > s AND e <= s + {m} AND (e = s + {m} OR e = n OR (e >= s + {b} AND ((((xor(p, ps) & ({k}::UBIGINT >> r)) << r) | CASE WHEN r = 0 THEN 0::UBIGINT ELSE xor(p, ps) >> (64 - r)::UBIGINT END) & {k}) = 0)) GROUP BY source),
+ c AS (SELECT source, ordinal - 1 AS ordinal, s AS "offset", e - s AS size, 'sha256:' || sha256(unhex(substr(h, 2 * s + 1, 2 * (e - s)))) AS content FROM cut JOIN t USING (source) WHERE ordinal > 0) {tail}"""
+
+
+@query(_cdc("SELECT * FROM c"))
+def cdc_chunks(s, d):
+    return chunking.streamed(_parts(s, d), "source", "doc_id", "text", 512, 2048, 8192).drop("bytes")
 
 
-@query()
-def cdc_chunks(s, d):
-    return chunking.chunks(_joined(s, d), "source", "text", 512, 2048, 8192)
+@query(_cdc("SELECT * FROM c"))
+def cdc_ranges(s, d):
+    """The same chunks, each blob cut in many tasks by ranges of 64 KiB."""
+    return chunking.ranged(_parts(s, d), "source", "doc_id", "text", 512, 2048, 8192, size=1 << 16, fan=4).drop("bytes")
 
 
 @query("SELECT source, strlen(t)::BIGINT AS size, sha256(t) AS sha256, true AS valid FROM (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY 1)")
 def cdc_reassemble(s, d):
-    rows = _joined(s, d)
-    listed = chunking.chunks(rows, "source", "text", 512, 2048, 8192)
-    headers = rows.select("source", F.octet_length("text").cast("bigint").alias("logical_size"), F.sha2("text", 256).alias("logical_sha256"))
-    return chunking.reassembled(listed, chunking.chunk_content(rows, listed, "source", "text"), headers, "source")
+    parts = _parts(s, d)
+    made = written(chunking.streamed(parts, "source", "doc_id", "text", 512, 2048, 8192, keep=True))
+    headers = chunking.headers_of(parts, "source", "doc_id", "text")
+    return chunking.put_together(made, made.select("content", "bytes").dropDuplicates(["content"]), headers, "source")
 
 
-@query()
+@query(_cdc(", u AS (SELECT content, count(*) AS n, max(size) AS size FROM c GROUP BY 1) SELECT sum(n)::BIGINT AS chunks, count(*) AS distinct_chunks, sum(n * size)::BIGINT AS logical_bytes, sum(size)::BIGINT AS stored_bytes FROM u"))
 def cdc_reuse_ratio(s, d):
-    return chunking.reuse(chunking.chunks(_joined(s, d), "source", "text", 512, 2048, 8192))
+    return chunking.reuse(chunking.streamed(_parts(s, d), "source", "doc_id", "text", 512, 2048, 8192))
+
+
+@query(_cdc(""", m AS (SELECT source, '{"version":1,"logical_size":' || any_value(length(h) // 2) || ',"logical_sha256":{"algorithm":"sha256","value":"' || any_value(sha256(unhex(h))) || '"},"min_chunk":512,"avg_chunk":2048,"max_chunk":8192,"chunks":['
+ || string_agg('{"content":{"algorithm":"sha256","value":"' || substr(content, 8) || '"},"size":' || size || '}', ',' ORDER BY ordinal) || ']}' AS manifest FROM c JOIN t USING (source) GROUP BY 1) SELECT source, 'sha256:' || sha256(manifest) AS content FROM m"""))
+def cdc_manifests(s, d):
+    parts = _parts(s, d)
+    listed = chunking.streamed(parts, "source", "doc_id", "text", 512, 2048, 8192)
+    return chunking.chunk_manifests(listed, chunking.headers_of(parts, "source", "doc_id", "text"), "source", 512, 2048, 8192).select("source", "content")
 
 
 from . import catalogue_more  # noqa: E402, F401  adds its queries to the tables above

@@ -227,12 +227,27 @@ def integrity_walk(s, d):
     return graph.integrity(docs.select(name("a").alias("node")), docs.select(name("a").alias("src"), name("c").alias("dst")), _contents(s, d))
 
 
-@query("""WITH k AS (SELECT 'a:' || doc_id AS node, 0 AS depth, 'artifact-manifest' AS role, 100 + doc_id AS size FROM documents UNION ALL SELECT 'c:' || doc_id, 1, 'content', strlen(text) FROM documents)
- SELECT node, role, row_number() OVER (ORDER BY depth, role, node) - 1 AS ordinal, size::BIGINT AS size FROM k""")
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), kinds AS (SELECT doc_id AS i, strlen(text) AS size, CASE WHEN 2 * doc_id < n THEN 'collection' WHEN doc_id % 2 = 1 THEN 'tree' ELSE 'blob' END AS kind FROM documents, n),
+ e AS (SELECT 'a:' || i AS src, 'c:' || i AS dst, 0 AS nth FROM kinds UNION ALL SELECT 'a:' || i, 'a:' || (i + 1), 1 FROM kinds WHERE kind <> 'collection' AND i % 4 = 0
+  UNION ALL SELECT 'a:' || i, 'a:' || (2 * i + unnest([5, 1, 2])), 2 + unnest([0, 1, 2]) FROM kinds WHERE kind = 'collection' UNION ALL SELECT 'a:' || i, 'c:' || (i // 2), 2 FROM kinds WHERE kind = 'tree'
+  UNION ALL SELECT 'a:' || i, 'k:' || (i % 9), 2 FROM kinds WHERE kind = 'blob' AND i % 3 = 0),
+ walk AS (SELECT 'a:7' AS node, '0' AS path UNION ALL SELECT 'a:0', '1' UNION ALL SELECT e.dst, path || nth FROM walk JOIN e ON e.src = node),
+ f AS (SELECT node, min(path) AS path FROM walk GROUP BY 1),
+ o AS (SELECT 'a:' || i AS node, 'artifact-manifest' AS role, 100 + i AS size FROM kinds UNION ALL SELECT 'c:' || i, 'content', size FROM kinds UNION ALL SELECT 'k:' || k, 'content', 9 FROM range(9) t(k))
+ SELECT node, role, row_number() OVER (ORDER BY path) - 1 AS ordinal, size::BIGINT AS size FROM f JOIN o USING (node)""")
 def image_layers(s, d):
-    docs, c = load(s, d, "documents"), F.col("doc_id").cast("string")
-    a, b = F.concat(F.lit("a:"), c), F.concat(F.lit("c:"), c)
-    return graph.image_layers(docs.select(a.alias("node")), docs.select(a.alias("src"), b.alias("dst")), docs.select(a.alias("id"), (F.col("doc_id") + 100).alias("size")), docs.select(b.alias("id"), F.octet_length("text").cast("bigint").alias("size")))
+    """Layers of two roots: collections that share members, trees that share contents, blobs that share chunks."""
+    docs = load(s, d, "documents").select(F.col("doc_id").alias("i"), F.octet_length("text").cast("bigint").alias("size"))
+    n = docs.agg(F.count("*").alias("n"))
+    key = lambda p, i="i": F.concat(F.lit(p + ":"), F.expr(i).cast("string"))
+    rows = docs.crossJoin(F.broadcast(n)).withColumn("kind", F.when(F.col("i") * 2 < F.col("n"), "collection").when(F.col("i") % 2 == 1, "tree").otherwise("blob"))
+    artifacts = rows.select(key("a").alias("id"), key("c").alias("content"), F.when((F.col("kind") != "collection") & (F.col("i") % 4 == 0), key("a", "i + 1")).alias("schema"), "kind", (F.col("i") + 100).alias("size"))
+    members = rows.where("kind = 'collection'").select(key("c").alias("collection_content"), F.posexplode(F.array(*[key("a", f"2 * i + {k}") for k in (5, 1, 2)])).alias("ordinal", "artifact"))
+    entries = rows.where("kind = 'tree'").select(key("c").alias("tree_content"), F.lit(0).alias("ordinal"), key("c", "i div 2").alias("content"))
+    chunks = rows.where("kind = 'blob' and i % 3 = 0").select(key("c").alias("manifest_content"), F.lit(0).alias("ordinal"), key("k", "i % 9").alias("content"))
+    objects = docs.select(key("c").alias("id"), "size").union(chunks.select("content", F.lit(9).cast("bigint")).distinct())
+    roots = n.select(F.posexplode(F.array(F.lit("a:7"), F.lit("a:0"))).alias("nth", "node"))
+    return graph.image_layers(roots, graph.layer_edges(artifacts, members, entries, chunks), artifacts, objects)
 
 
 @query("""WITH o AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS artifact FROM lineitem GROUP BY 1, 2), p AS (SELECT artifact, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey) AS producers FROM o JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
