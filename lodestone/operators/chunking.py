@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import written
 from ..functions.canonical import digest_json, hashed, object_json
 from .graph import running
+from .runs import hashed_runs
 
 MIN, AVG, MAX = 512 << 10, 2 << 20, 8 << 20  # fixed defaults
 CHUNKS = "array<struct<ordinal:int,offset:bigint,size:bigint,content:string>>"
@@ -320,29 +321,8 @@ def ranged(parts: DataFrame, key: str, order: str, data: str, least: int = MIN,
 
 
 def headers_of(parts: DataFrame, key: str, order: str, data: str) -> DataFrame:
-    """key, logical_size, logical_sha256 of the blobs that parts make, in order; a part at a time."""
-    kind = dict(parts.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, digest, size, out, type_ = None, None, 0, [], None
-        for batch in batches:
-            type_ = batch.schema.field(0).type
-            for k, blob in zip(batch.column(0), batch.column(1), strict=True):
-                k = k.as_py()
-                if digest is None or k != now:
-                    if digest is not None:
-                        out.append((now, size, digest.hexdigest()))
-                    now, digest, size = k, hashlib.sha256(), 0
-                if blob.is_valid:
-                    digest.update(blob.as_buffer())
-                    size += len(blob.as_buffer())
-        if digest is not None:
-            out.append((now, size, digest.hexdigest()))
-            keys, sizes, hexes = zip(*out, strict=True)
-            yield pa.RecordBatch.from_pydict({key: pa.array(keys, type_), "logical_size": pa.array(sizes, pa.int64()), "logical_sha256": pa.array(hexes, pa.string())})
-
-    rows = parts.select(key, F.col(data).cast("binary").alias("data"), F.col(order).alias("_order")).repartition(key).sortWithinPartitions(key, "_order").drop("_order")
-    return rows.mapInArrow(run, f"{key} {kind}, logical_size long, logical_sha256 string")
+    """key, logical_size, logical_sha256 of the blobs that parts make, in order; a batch of parts at a time."""
+    return hashed_runs(parts, [key], [order], F.col(data)).select(key, F.col("size").alias("logical_size"), F.col("sha256").alias("logical_sha256"))
 
 
 def put_together(listed: DataFrame, content: DataFrame, headers: DataFrame, key: str) -> DataFrame:

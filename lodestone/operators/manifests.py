@@ -1,4 +1,8 @@
-"""Tree and collection manifests: sorted entries, canonical JSON, identity, listings, differences."""
+"""Tree and collection manifests: sorted entries, canonical JSON, identity, listings, differences.
+
+``trees`` and ``collections`` give the manifest as a cell, which has to hold it; ``tree_ids`` and ``collection_ids`` give
+the identity alone and ``tree_pieces`` the text in pieces, for manifests of any length.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import digest_json, quoted
 from ..functions.scalars import content_id
+from . import runs
 
 
 def _manifest(entries: DataFrame, group: list[str], order: str, entry: Column) -> DataFrame:
@@ -15,18 +20,51 @@ def _manifest(entries: DataFrame, group: list[str], order: str, entry: Column) -
     return listed.withColumn("manifest", json).withColumn("entries", F.size("_e")).withColumn("content", content_id("manifest")).drop("_e")
 
 
+def tree_entry() -> Column:
+    """An entry of a tree as JSON, from path, kind, content, size, executable (or null)."""
+    flag = F.when(F.col("executable").isNotNull(), F.concat(F.lit(',"executable":'), F.col("executable").cast("string"))).otherwise("")
+    return F.concat(F.lit('{"path":'), quoted("path"), F.lit(',"kind":"'), F.col("kind"), F.lit('","content":'), digest_json("content"), F.lit(',"size":'), F.col("size").cast("string"), flag, F.lit("}"))
+
+
+def collection_entry() -> Column:
+    """An entry of a collection as JSON, from key, artifact, label (or null)."""
+    label = F.when(F.col("label").isNotNull(), F.concat(F.lit(',"label":'), quoted("label"))).otherwise("")
+    return F.concat(F.lit('{"key":'), quoted("key"), F.lit(',"artifact":'), digest_json("artifact"), label, F.lit("}"))
+
+
 def trees(entries: DataFrame, group: list[str]) -> DataFrame:
     """group, manifest, entries, content of each tree; entries have path, kind, content, size, executable (or null)."""
-    flag = F.when(F.col("executable").isNotNull(), F.concat(F.lit(',"executable":'), F.col("executable").cast("string"))).otherwise("")
-    entry = F.concat(F.lit('{"path":'), quoted("path"), F.lit(',"kind":"'), F.col("kind"), F.lit('","content":'), digest_json("content"), F.lit(',"size":'), F.col("size").cast("string"), flag, F.lit("}"))
-    return _manifest(entries, group, "path", entry)
+    return _manifest(entries, group, "path", tree_entry())
 
 
 def collections(entries: DataFrame, group: list[str]) -> DataFrame:
     """group, manifest, entries, content of each collection; entries have key, artifact, label (or null)."""
-    label = F.when(F.col("label").isNotNull(), F.concat(F.lit(',"label":'), quoted("label"))).otherwise("")
-    entry = F.concat(F.lit('{"key":'), quoted("key"), F.lit(',"artifact":'), digest_json("artifact"), label, F.lit("}"))
-    return _manifest(entries, group, "key", entry)
+    return _manifest(entries, group, "key", collection_entry())
+
+
+FRAME = {"before": b'{"version":1,"entries":[', "after": b"]}", "skip": 1}
+
+
+def _ids(entries: DataFrame, group: list[str], order: str, entry: Column) -> DataFrame:
+    listed = entries.select(*group, F.col(order).alias("_k"), F.concat(F.lit(","), entry).alias("_j"))
+    made = runs.hashed_runs(listed, group, ["_k", "_j"], F.col("_j"), **FRAME)
+    return made.select(*group, F.col("parts").cast("int").alias("entries"), F.concat(F.lit("sha256:"), "sha256").alias("content"), "size")
+
+
+def tree_ids(entries: DataFrame, group: list[str]) -> DataFrame:
+    """group, entries, content, size (of the manifest) of each tree of ``trees``, however many entries it has."""
+    return _ids(entries, group, "path", tree_entry())
+
+
+def collection_ids(entries: DataFrame, group: list[str]) -> DataFrame:
+    """group, entries, content, size (of the manifest) of each collection of ``collections``, however many entries it has."""
+    return _ids(entries, group, "key", collection_entry())
+
+
+def tree_pieces(entries: DataFrame, group: list[str], most: int = 1 << 20) -> DataFrame:
+    """group, ordinal, data: each tree's manifest in pieces of about most bytes."""
+    listed = entries.select(*group, F.col("path").alias("_k"), F.concat(F.lit(","), tree_entry()).alias("_j"))
+    return runs.pieces(listed, group, ["_k", "_j"], F.col("_j"), **FRAME, most=most)
 
 
 def artifact_json(content: Column | str, kind: str, media_type: Column | None = None) -> Column:

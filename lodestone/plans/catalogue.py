@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import folder, written
 from ..functions import globs, scalars
-from ..operators import chunking, gates, graph, history, manifests, store
+from ..operators import chunking, gates, graph, history, manifests, runs, store
 from ..sources import acquire
 from ..sources.tables import load
 from ..streaming import incremental
@@ -167,7 +167,7 @@ _PATHS = "p AS (SELECT *, lang || '/' || lpad(doc_id::VARCHAR, 9, '0') || '.txt'
 
 @query(f"""WITH {_PATHS} SELECT source, count(*)::BIGINT AS entries, 'sha256:' || sha256('{{"version":1,"entries":[' || string_agg({_ENTRY}, ',' ORDER BY path) || ']}}') AS content FROM p GROUP BY source""")
 def tree_manifest(s, d):
-    return manifests.trees(_tree_entries(s, d), ["source"]).select("source", F.col("entries").cast("bigint").alias("entries"), "content")
+    return manifests.tree_ids(_tree_entries(s, d), ["source"]).select("source", F.col("entries").cast("bigint").alias("entries"), "content")
 
 
 _MEMBER = """'{"key":"' || lpad(turn::VARCHAR, 6, '0') || '","artifact":{"algorithm":"sha256","value":"' || sha256(""" + _BLOB % "" + """) || '"},"label":"' || role || '"}'"""
@@ -175,7 +175,7 @@ _MEMBER = """'{"key":"' || lpad(turn::VARCHAR, 6, '0') || '","artifact":{"algori
 
 @query(f"""SELECT conv_id, count(*)::BIGINT AS entries, 'sha256:' || sha256('{{"version":1,"entries":[' || string_agg({_MEMBER}, ',' ORDER BY turn) || ']}}') AS content FROM conversations GROUP BY conv_id""")
 def collection_manifest(s, d):
-    return manifests.collections(_members(s, d), ["conv_id"]).select("conv_id", F.col("entries").cast("bigint").alias("entries"), "content")
+    return manifests.collection_ids(_members(s, d), ["conv_id"]).select("conv_id", F.col("entries").cast("bigint").alias("entries"), "content")
 
 
 @query(f"""WITH {_PATHS} SELECT source, row_number() OVER (PARTITION BY source ORDER BY path) - 1 AS ordinal, path, 'sha256:' || sha256(text) AS content, strlen(text)::BIGINT AS size FROM p""")
@@ -595,7 +595,7 @@ _MAPPED = """'{"key":"' || lpad(doc_id::VARCHAR, 9, '0') || '","artifact":{"algo
 @query(f"""SELECT source, count(*)::BIGINT AS entries, 'sha256:' || sha256('{{"version":1,"entries":[' || string_agg({_MAPPED}, ',' ORDER BY doc_id) || ']}}') AS content FROM documents GROUP BY source""")
 def foreach_collect(s, d):
     mapped = _docs(s, d).select("source", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("key"), scalars.content_id(F.concat(F.lit("v2:"), "text")).alias("content"), F.lit(None).cast("string").alias("label"))
-    return manifests.collections(manifests.artifact_ids(mapped, "content", "blob"), ["source"]).select("source", F.col("entries").cast("bigint").alias("entries"), "content")
+    return manifests.collection_ids(manifests.artifact_ids(mapped, "content", "blob"), ["source"]).select("source", F.col("entries").cast("bigint").alias("entries"), "content")
 
 
 @query("""SELECT doc_id AS key, CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN 'miss' ELSE 'hit' END AS status, length(text)::BIGINT + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS result FROM documents""")
@@ -613,6 +613,22 @@ def stream_changed_items(s, d):
     return incremental.drained(incremental.changed_stream(events.select(F.col("user_id").alias("key"), F.col("event_type").alias("artifact"))), folder(s))
 
 
+@query(r"""WITH e AS (SELECT source, lang || '/' || lpad(doc_id::VARCHAR, 9, '0') || '.txt' AS path, '{"path":"' || lang || '/' || lpad(doc_id::VARCHAR, 9, '0') || '.txt","kind":"blob","content":{"algorithm":"sha256","value":"' || sha256(text) || '"},"size":' || strlen(text) || CASE WHEN doc_id % 3 = 0 THEN ',"executable":true' ELSE '' END || '}' AS j FROM documents),
+ m AS (SELECT source, '{"version":1,"entries":[' || string_agg(j, ',' ORDER BY path) || ']}' AS t FROM e GROUP BY 1)
+ SELECT source, k AS ordinal, sha256(substr(t, 1000 * k + 1, 1000)) AS sha256 FROM (SELECT source, t, unnest(range((length(t) + 999) // 1000)) AS k FROM m)""")
+def manifest_pieces(s, d):
+    """Tree manifests, with executable bits, as pieces of text: no cell holds a whole one."""
+    entries = _tree_entries(s, d).withColumn("executable", F.when(F.col("doc_id") % 3 == 0, F.lit(True)))
+    made = manifests.tree_pieces(entries, ["source"], most=700)
+    cut = graph.running(made.withColumn("n", F.octet_length("data").cast("long")), ["source", "ordinal"], "n", "upto")
+    first = cut.groupBy("source").agg(F.min(F.col("upto") - F.col("n")).alias("zero"))
+    at = cut.join(first, "source").select("source", "data", (F.col("upto") - F.col("n") - F.col("zero")).alias("lo"), (F.col("upto") - F.col("zero")).alias("hi"))
+    shared = at.select("source", "data", "lo", "hi", F.explode(F.sequence(F.expr("lo div 1000"), F.expr("(hi - 1) div 1000"))).alias("k"))
+    lo, hi = F.greatest("lo", F.col("k") * 1000), F.least("hi", F.col("k") * 1000 + 1000)
+    part = F.substring("data", (lo - F.col("lo")).cast("int") + 1, (hi - lo).cast("int"))
+    return runs.hashed_runs(shared.select("source", F.col("k").alias("ordinal"), lo.alias("lo"), part.alias("data")), ["source", "ordinal"], ["lo"], F.col("data")).select("source", "ordinal", "sha256")
+
+
 def _parts(s: SparkSession, d: str) -> DataFrame:
     """A source's documents as the parts of one blob, with a line feed between them."""
     docs = load(s, d, "documents").select("source", "doc_id", "text")

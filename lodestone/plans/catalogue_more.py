@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from ..checkpoints import folder
 from ..functions import canonical, globs, scalars
 from ..operators import chunking, gates, graph, history, manifests, store
-from ..sources import acquire, listings
+from ..operators.historylog import HistoryLog
+from ..sources import acquire, content, listings
 from ..sources.tables import load
 from .catalogue import _docs, _outputs, _realizations, query
 from .project import Action, Output, Project, Runner, row_name
@@ -133,7 +134,7 @@ def manifest_escapes(s, d):
     """Trees whose paths hold quotes and every control character but NUL."""
     path = F.concat(F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.char((1 + F.col("p_partkey") % 31).cast("int")), F.lit('"'))
     e = load(s, d, "part").select("p_brand", path.alias("path"), F.lit("blob").alias("kind"), scalars.content_id("p_name").alias("content"), F.octet_length("p_name").alias("size"), F.lit(None).cast("boolean").alias("executable"))
-    return manifests.trees(e, ["p_brand"]).select("p_brand", F.col("entries").cast("bigint").alias("entries"), "content")
+    return manifests.tree_ids(e, ["p_brand"]).select("p_brand", F.col("entries").cast("bigint").alias("entries"), "content")
 
 
 @query("SELECT doc_id, strlen(t)::BIGINT AS size, sha256(t) AS sha256, true AS valid FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS t FROM documents)")
@@ -360,6 +361,38 @@ def foreach_side_input(s, d):
     return out.withColumn("hits", F.lit(runner.items["price"].hits).cast("bigint")).withColumn("misses", F.lit(runner.items["price"].misses).cast("bigint"))
 
 
+@query("""SELECT 'sha256:' || sha256(text) AS id, strlen(any_value(text))::BIGINT AS size, true AS valid, (SELECT 2 * count(*) FROM documents)::BIGINT AS written, (SELECT count(DISTINCT text) FROM documents) AS new FROM documents GROUP BY sha256(text)""")
+def cas_write(s, d):
+    """Documents written twice to a content folder: an object for each text, and the second job makes none."""
+    root, docs = folder(s), _docs(s, d).select("id", "text")
+    for _ in range(2):
+        content.put(docs, root, "text", "id")
+    done = content.commits(s, root).agg(F.sum("objects").alias("written"), F.sum("new").alias("new"))
+    return content.objects(s, root).select("id", "size", (scalars.content_id("content") == F.col("id")).alias("valid")).crossJoin(F.broadcast(done))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS action_key, month(o_orderdate) % 4 AS lot FROM orders)
+ SELECT id, action_key, count(l_linenumber) AS outputs, CASE WHEN lot = 3 THEN 'running' ELSE 'success' END AS status FROM o LEFT JOIN lineitem ON l_orderkey = id AND lot <> 3 GROUP BY 1, 2, lot""")
+def history_commit(s, d):
+    """Attempts, realizations and outputs in commits by lot; one lot was written but not committed, so its attempts still run. Compacted in between."""
+    log = HistoryLog(s, folder(s))
+    orders = load(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("action_key"), F.col("o_orderdate").cast("timestamp").alias("at"), (F.month("o_orderdate") % 4).alias("lot"))
+    lines = load(s, d, "lineitem").select(F.col("l_orderkey").alias("realization_id"), F.col("l_linenumber").alias("name"))
+    log.commit(attempts=orders.select("id", "action_key", F.lit(None).cast("timestamp").alias("finished_at")))
+    for lot in range(4):
+        own = orders.where(F.col("lot") == lot)
+        tables = {"attempts": own.select("id", "action_key", F.col("at").alias("finished_at")), "realizations": own.select("id", "action_key"), "outputs": lines.join(own.select(F.col("id").alias("realization_id")), "realization_id")}
+        if lot == 3:
+            log.stage("lost", tables)
+        else:
+            log.commit(**tables)
+        if lot == 1:
+            log.compact("attempts", ["id"], ["finished_at"], files=2)
+    made = log.table("outputs").groupBy(F.col("realization_id").alias("id")).agg(F.count("*").alias("outputs"))
+    status = F.when(F.col("finished_at").isNull(), "running").otherwise("success")
+    return log.newest("attempts", ["id"], ["finished_at"]).join(made, "id", "left").select("id", "action_key", F.coalesce("outputs", F.lit(0)).alias("outputs"), status.alias("status"))
+
+
 @query("SELECT event_id, true AS itself, false AS micro, false AS absent FROM events")
 def identity_micros(s, d):
     """Names of rows: the same for equal values, others for a time a microsecond later and for a null."""

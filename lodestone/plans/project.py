@@ -28,8 +28,11 @@ from pyspark.sql import types as T
 from ..checkpoints import written
 from ..functions.canonical import artifact_id, canonical_json, digest_record, ordered, requirement_hash, sha256_id
 from ..operators.graph import levels
+from ..operators.historylog import HistoryLog
 
-REALIZATION = "id string, action_key string, name string, stored string, cache string, started_at timestamp, finished_at timestamp, outputs map<string,string>"
+REALIZATION = "id string, attempt_id string, action_key string, name string, stored string, cache string, started_at timestamp, finished_at timestamp, outputs map<string,string>"
+ATTEMPT = "id string, action_key string, name string, started_at timestamp, finished_at timestamp, exit_code int, error string"
+OUTPUT = "realization_id string, name string, artifact string"
 CACHES = ("pure", "reproducible", "volatile", "effect")  # fixed values
 REUSED = CACHES[:2]
 NETWORKS = ("deny", "allow", "restricted")
@@ -244,28 +247,39 @@ class Runner:
     """Runs projects; keeps outputs by action key, history as rows, and items of foreach tasks one by one.
 
     root is a folder that all executors share. Outputs are Parquet tables named by key, written
-    once: contents first, the history row last, so a failed run leaves nothing that looks done. Items are
+    once: contents first, the history last, so a failed run leaves nothing that looks done. Items are
     worked on in lots of about per_lot, each kept when it is done, so a run after a failed one does the rest.
     """
 
     def __init__(self, spark: SparkSession, root: str, functions: dict[str, Callable], jobs: int = 8, per_lot: int = 1_000_000):
         self.spark, self.root, self.functions, self.jobs, self.per_lot = spark, root.rstrip("/"), functions, max(jobs, 1), per_lot
-        self.history: list[dict] = []
+        self.log = HistoryLog(spark, f"{self.root}/history")
+        self.history: list[dict] = []  # this session's attempts
         self.items: dict[str, ItemCache] = {}
         self.known: dict[str, tuple[dict[str, str], str]] = {}
 
-    def _save(self, action: Action, attempt: dict, stored: str, outputs: dict[str, str]) -> None:
-        """Appends a realization to the durable history below root, after its contents."""
-        rows = [(attempt["id"], action.key(), action.name, stored, action.cache, attempt["started_at"], attempt["finished_at"], outputs)]
-        self.spark.createDataFrame(rows, REALIZATION).coalesce(1).write.mode("append").parquet(f"{self.root}/history")
+    def _started(self, attempt: dict) -> None:
+        """An attempt is on record as running before its work begins, so that a lost driver leaves a trace."""
+        self.log.commit(attempts=self._rows(ATTEMPT, attempt))
+
+    def _ended(self, attempt: dict, action: Action, stored: str | None = None, outputs: dict[str, str] | None = None) -> None:
+        """The attempt's end, and, where it succeeded, its realization and outputs: all at once, after their contents."""
+        tables = {"attempts": self._rows(ATTEMPT, attempt)}
+        if outputs is not None:
+            made = {"attempt_id": attempt["id"], "stored": stored, "cache": action.cache, "outputs": outputs} | {k: attempt[k] for k in ("action_key", "name", "started_at", "finished_at")}
+            made["id"] = str(uuid.uuid4())
+            tables["realizations"] = self._rows(REALIZATION, made)
+            tables["outputs"] = self._rows(OUTPUT, *[{"realization_id": made["id"], "name": n, "artifact": a} for n, a in sorted(outputs.items())])
+        self.log.commit(**tables)
+
+    def _rows(self, schema: str, *records: dict) -> DataFrame:
+        names = [f.split()[0] for f in schema.split(", ")]
+        return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in records], schema).coalesce(1)
 
     def _past(self, **wanted: str) -> DataFrame | None:
         """Realizations of all sessions whose columns have these values; None where there is no history yet."""
-        try:
-            rows = self.realizations()
-        except AnalysisException:
-            return None
-        for column, value in wanted.items():
+        rows = self.realizations()
+        for column, value in wanted.items() if rows is not None else ():
             rows = rows.where(F.col(column) == value)
         return rows
 
@@ -287,13 +301,19 @@ class Runner:
             return False
         return True
 
-    def realizations(self) -> DataFrame:
-        """The durable history: id, action_key, name, stored, cache, started_at, finished_at, outputs."""
-        return self.spark.read.schema(REALIZATION).parquet(f"{self.root}/history")
+    def realizations(self) -> DataFrame | None:
+        """All sessions' results: id, attempt_id, action_key, name, stored, cache, started_at, finished_at, outputs."""
+        return self.log.table("realizations")
+
+    def attempts(self) -> DataFrame | None:
+        """All sessions' attempts as they stand: one that runs, or whose driver was lost, has no finished_at."""
+        return self.log.newest("attempts", ["id"], ["finished_at"])
 
     def retry(self, attempt_id: str, actions: dict[str, tuple[Action, Callable[[], dict[str, DataFrame]]]]) -> Result:
         """Runs the action of an attempt again, without reuse; actions holds what each key stands for."""
-        key = next((a["action_key"] for a in self.history if a["id"] == attempt_id), None)
+        attempts = self.attempts()
+        found = attempts and attempts.where(F.col("id") == attempt_id).select("action_key").first()
+        key = found and found[0]
         if key not in actions:
             raise KeyError(f"unknown attempt {attempt_id!r}")
         return self.run(*actions[key], force=True)
@@ -311,6 +331,7 @@ class Runner:
             return Result(key, found[0], True, found[1])
         attempt = {"id": str(uuid.uuid4()), "action_key": key, "name": action.name, "started_at": datetime.now(timezone.utc), "finished_at": None, "exit_code": None, "error": None}
         self.history.append(attempt)
+        self._started(attempt)
         began = time.monotonic()
         try:
             made = work(fresh=not reused) if isinstance(work, ItemWork) else work()
@@ -330,10 +351,11 @@ class Runner:
             attempt |= {"finished_at": datetime.now(timezone.utc), "exit_code": 0, "outputs": ids}
         except Exception as e:
             attempt |= {"finished_at": datetime.now(timezone.utc), "exit_code": 1, "error": str(e)[:500]}
+            self._ended(attempt, action)
             raise
         # reuse takes the newest outputs, so what is known moves on with every run
         self.known[key] = (ids, run_key)
-        self._save(action, attempt, run_key, ids)
+        self._ended(attempt, action, run_key, ids)
         if action.cache == "pure" and self._past(action_key=key).select(F.array_sort(F.map_entries("outputs"))).distinct().limit(2).count() > 1:
             raise RuntimeError(f"{action.name} is declared pure but gave different outputs")
         return Result(key, ids, False, run_key)

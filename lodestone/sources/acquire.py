@@ -18,9 +18,9 @@ from ..operators import manifests
 
 
 def entries(files: DataFrame, group: list[str], path: str = "path", content: str = "content") -> DataFrame:
-    """Tree entries of files; paths that leave their root are left out."""
-    data = F.col(content).cast("binary")
-    return files.select(*group, normal_path(path).alias("path"), F.lit("blob").alias("kind"), content_id(data).alias("content"), F.octet_length(data).cast("bigint").alias("size"), F.lit(None).cast("boolean").alias("executable")).where("path is not null")
+    """Tree entries of files; paths that leave their root are left out. Files with a column executable keep that bit."""
+    data, bit = F.col(content).cast("binary"), F.col("executable").cast("boolean") if "executable" in files.columns else F.lit(None).cast("boolean")
+    return files.select(*group, normal_path(path).alias("path"), F.lit("blob").alias("kind"), content_id(data).alias("content"), F.octet_length(data).cast("bigint").alias("size"), bit.alias("executable")).where("path is not null")
 
 
 def acquired(files: DataFrame, group: list[str], include: Iterable[str] = (), exclude: Iterable[str] = (), path: str = "path", content: str = "content") -> DataFrame:
@@ -31,7 +31,7 @@ def acquired(files: DataFrame, group: list[str], include: Iterable[str] = (), ex
     """
     resolved = files.groupBy(*group).agg(F.count("*").alias("resolved"))
     chosen = entries(files.where(selected(path, include, exclude)), group, path, content)
-    trees = manifests.trees(chosen, group).select(*group, F.col("content").alias("tree"), F.col("entries").alias("files"))
+    trees = manifests.tree_ids(chosen, group).select(*group, F.col("content").alias("tree"), F.col("entries").alias("files"))
     blobs = chosen.groupBy(*group).agg(F.min("content").alias("blob"))
     single = (F.col("files") == 1) & (F.col("resolved") == 1)
     return trees.join(blobs, group).join(resolved, group).select(*group, F.when(single, "blob").otherwise("tree").alias("kind"), F.when(single, F.col("blob")).otherwise(F.col("tree")).alias("content"), "files")
@@ -42,7 +42,7 @@ def members(files: DataFrame, group: list[str], path: str = "path", content: str
     e = entries(files, group, path, content).withColumn("key", F.substring_index("path", "/", 1))
     nested = F.col("path").contains("/")
     below = e.where(nested).withColumn("path", F.expr("substring(path, length(key) + 2)"))
-    trees = manifests.trees(below, [*group, "key"]).select(*group, "key", F.lit("tree").alias("kind"), "content")
+    trees = manifests.tree_ids(below, [*group, "key"]).select(*group, "key", F.lit("tree").alias("kind"), "content")
     return e.where(~nested).select(*group, "key", "kind", "content").unionByName(trees)
 
 
