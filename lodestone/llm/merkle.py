@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset: a tree for each group of rows, and one over the groups' roots.
 
 A leaf's place is the rank of its id in its group. Tasks make compressed bitmaps of the ids they
-meet, in chunks of 2^16 ids; merged, with a directory of popcounts each, they answer a rank in
+meet, in chunks of 2^12 ids; merged, with a directory of popcounts each, they answer a rank in
 constant time, so leaves are never sorted. Places are dealt out as arrays of 2^8 slots, each
 filled by slot number and reduced by eight levels in one task; their roots are the leaves of the
 next arrays, until one is left. Proofs go the other way, from the root's array down.
@@ -21,11 +21,11 @@ from .shared import arrow_map, table
 
 #: Levels that one array of slots reduces.
 BITS = 8
-CHUNK = 16
+CHUNK = 12
 #: Chunk of rows without an id: below all others.
 NO_ID = -(1 << 50)
 #: Ids in a chunk from which a bitmap is smaller than a list.
-DENSE = 4096
+DENSE = 1 << (CHUNK - 4)
 #: Chunks of a group that one task adds up; more are added up by 2^10 first.
 MOST_CHUNKS = 1 << 16
 PACKED = "g string, block long, total long, slots binary, ids binary, valid binary, leaves binary, changed binary, changed_leaves binary"
