@@ -27,10 +27,10 @@ IDS_PER_BLOCK, BLOCKS_PER_TASK = 1 << 20, 32
 
 
 def located(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path, and the path in it."""
+    """The file system of a path, and the path in it; Spark's s3a is pyarrow's s3."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
 def token_file_list(spark: SparkSession, path: str) -> DataFrame:

@@ -268,7 +268,7 @@ def star_pairs(grouped: DataFrame, least: Fraction) -> DataFrame:
             start = np.cumsum(size) - size
             large = size > SMALL
             places = [(np.repeat(start[large], size[large] - 1), ranges(start[large] + 1, size[large] - 1))]
-            for k in range(2, SMALL + 1):
+            for k in np.unique(size[~large & (size > 1)]).tolist():
                 i, j = np.triu_indices(k, 1)
                 lot = start[size == k]
                 places.append(((lot[:, None] + i).ravel(), (lot[:, None] + j).ravel()))
@@ -289,10 +289,10 @@ def links_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"src": pa.array(both[:, 0]), "dst": pa.array(both[:, 1])})
 
 
-def most_bits(least: float, bits: int) -> float:
-    """Bits in which fingerprints of sets of similarity least differ, hardly ever more: four deviations above the mean."""
+def most_bits(least: float, bits: int, deviations: float | None) -> float:
+    """Bits in which fingerprints of sets of similarity least differ, a number of deviations above the mean; without one, all bits."""
     share = float(np.arccos(2 * least / (1 + least)) / np.pi)
-    return bits * share + 4 * np.sqrt(bits * share * (1 - share))
+    return bits if deviations is None else bits * share + deviations * np.sqrt(bits * share * (1 - share))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -311,12 +311,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def plausible(rows: pa.Table, least: Fraction, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def plausible(rows: pa.Table, least: Fraction, parts: int, deviations: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs of different components in a group whose sizes and whole fingerprints allow the similarity.
 
     A pair comes up in one group only: of the first part where it meets, with the smallest variant there.
     """
-    most = most_bits(float(least), 32 * parts)
+    most = most_bits(float(least), 32 * parts, deviations)
     key, node, n, own = (rows.column(c).to_numpy() for c in ("key", "node", "n", "component"))
     prints = rows.column("prints").combine_chunks().flatten().to_numpy().view(np.uint32).reshape(-1, parts)
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -340,7 +340,7 @@ def plausible(rows: pa.Table, least: Fraction, parts: int) -> Iterator[tuple[np.
                         yield x[here], y[here]
 
 
-def links_across(joined: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction, parts: int) -> DataFrame:
+def links_across(joined: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
     """src, dst: a spanning forest of each group's links between different components.
 
     joined has key, node, n, component, prints. Groups are compared tile by tile in the task that
@@ -351,7 +351,7 @@ def links_across(joined: DataFrame, firsts: DataFrame, docs: DataFrame, shingle:
     def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches):
             some = np.zeros(rows.num_rows, bool)
-            for x, y in plausible(rows, least, parts):
+            for x, y in plausible(rows, least, parts, deviations):
                 some[x] = some[y] = True
             yield from rows.filter(pa.array(some)).to_batches()
 
@@ -360,7 +360,7 @@ def links_across(joined: DataFrame, firsts: DataFrame, docs: DataFrame, shingle:
             node, column = rows.column("node").to_numpy(), rows.column("shingles").combine_chunks()
             at, value = column.offsets.to_numpy(), column.values.to_numpy()
             src, dst = [], []
-            for x, y in plausible(rows, least, parts):
+            for x, y in plausible(rows, least, parts, deviations):
                 for i, j in zip(x.tolist(), y.tolist(), strict=True):
                     a, b = value[at[i] : at[i + 1]], value[at[j] : at[j + 1]]
                     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -375,13 +375,14 @@ def links_across(joined: DataFrame, firsts: DataFrame, docs: DataFrame, shingle:
     return arrow_map(grouped(left.join(sets_of(left.select("node"), firsts, docs, shingle), "node").select(*columns, "shingles")), compare, "src long, dst long")
 
 
-def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, parts: int = PARTS) -> DataFrame:
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, parts: int = PARTS, deviations: float | None = 8.0) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable by links).
 
     Documents link if the Jaccard similarity of their sets of shingles is least or more and their
-    fingerprints differ in two bits or fewer of one of the parts (and, in large groups, in no more
-    bits in all than such sets hardly ever exceed). Large groups first compare all with one
-    member; only pairs across the components that this makes are compared after it. Defined results: null, empty and wordless texts have equal, empty sets and make one
+    fingerprints differ in two bits or fewer of one of the parts. Groups above SMALL first compare all with one
+    member; only pairs across the components that this makes are compared after it, and of those only pairs
+    whose whole fingerprints lie within ``deviations`` standard deviations of what that similarity makes
+    (eight: a chance of 1e-15 to miss one; None compares all). Defined results: null, empty and wordless texts have equal, empty sets and make one
     class; fewer words than a shingle make one shingle; rows without an id are left out; of
     documents of equal id each has its set; an empty table gives an empty table.
     """
@@ -395,7 +396,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     joined = large.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = joined.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
     left = joined.join(several, "key", "left_semi").join(firsts.select("node", "prints"), "node")
-    more = table(links_across(left, firsts, docs, shingle, share, parts))
+    more = table(links_across(left, firsts, docs, shingle, share, parts, deviations))
     of_node = components(found.unionByName(more))
     rooted = firsts.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -403,7 +404,11 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that are the smallest of their class of similar texts, with all their columns; rows without an id stay."""
+    """The rows of docs that are the smallest of their class of similar texts, with all their columns; rows without an id stay.
+
+    Defined results: of null, empty and wordless texts one stays; of repeated rows of a kept id all stay; very long texts are
+    read whole; an empty table gives an empty table; no other column is looked at.
+    """
     gone = similar_classes(docs, key, text, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
     return docs.join(gone, key, "left_anti").select(docs.columns)
 

@@ -73,7 +73,11 @@ def suffix_array_dedup(docs: DataFrame, size: int = 50, **options) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 50) -> DataFrame:
-    """docs with the repeated spans cut out of the texts, to whole characters; n_chars, if there, is counted anew. All other columns stay, and rows without an id stay as they are."""
+    """docs with the repeated spans cut out of the texts, to whole characters; n_chars, if there, is counted anew. All other columns stay, and rows without an id stay as they are.
+
+    Defined results: null, empty and short texts stay, null ones as empty texts; of copies the one with the smallest id stays whole,
+    and of repeated rows of one id all do; very long texts are read whole; an empty table gives an empty table.
+    """
     out = suffix_array_dedup(docs, size, key=key, text=text, whole_characters=True, carry=docs.columns)
     kept = F.col("kept").cast("string")
     column = {text: kept} | ({"n_chars": F.char_length(kept).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})

@@ -173,8 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: st
     """A model from a bounded sample of labelled documents.
 
     Of each class, those with the smallest hashes of their ids: at most most_toxic and most_ordinary
-    documents, and as many whole texts as fit in most_bytes. The ordinary dictionary holds
+    documents, and as many whole texts as fit in most_bytes, those above an eighth of it last, so that a few very
+    long texts don't take the place of all others. The ordinary dictionary holds
     base_words words; calibration bounds the documents that the score is calibrated on.
+
+    Defined results: of several labels of an id the greater counts, and of several texts of an id one; null
+    and empty texts are learned from as texts without words; labels that are neither 0 nor 1 and rows without an
+    id are left out; None if one of the classes has no document. If a class has documents but
+    none fits in most_bytes, a ValueError says so.
     """
     rows = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     if learn is not None:
@@ -185,9 +191,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, key: st
     chosen = pick(1, most_toxic).unionByName(pick(0, most_ordinary))
     texts = documents(docs, key, text).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
     sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of the chosen few
-    fitting = sizes.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "toxic")
-    found = texts.join(F.broadcast(fitting), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.col("size") > most_bytes // 8, F.xxhash64("doc_id"), "doc_id"))  # of the chosen few
+    fitting = sizes.where(F.col("size") <= most_bytes).withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "toxic")
+    one = texts.join(F.broadcast(fitting), "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    found = one.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic").toArrow()
+    lost = {r[0] for r in sizes.select("toxic").distinct().collect()} - set(found.column("toxic").to_pylist())
+    if lost:
+        raise ValueError(f"no document labelled {sorted(lost)} has a text of at most {most_bytes} bytes: raise most_bytes")
     found = found.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     texts, toxic = [x.encode() for x in found.column("text").to_pylist()], found.column("toxic").to_numpy() == 1
     del found
@@ -224,7 +234,12 @@ def fold(column: str, parts: int) -> Column:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns; no shuffle."""
+    """The rows of docs that score below threshold, with all their columns; no shuffle.
+
+    Defined results: null and empty texts score low and stay; rows without an id are judged and kept like
+    others; repeated rows are each judged; very long texts are read whole; without a model, as when labels
+    lack a class, all rows stay; an empty table gives an empty table; no other column is looked at.
+    """
     model = fit(docs, labels, text=text)
 
     def good(block: Block) -> np.ndarray:

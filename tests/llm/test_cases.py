@@ -89,7 +89,20 @@ def test_toxicity_against_brute_force(spark, long_rows):
     assert want[10_004] >= 0.3
     empty = spark.createDataFrame([], df.schema)
     assert toxicity.toxicity(empty, model).count() == 0 and toxicity.fit(empty, labels) is None
-    assert toxicity.fit(docs, labels, most_bytes=0) is None
+    with pytest.raises(ValueError, match="most_bytes"):
+        toxicity.fit(docs, labels, most_bytes=0)
+
+
+def test_one_very_long_labelled_text(spark):
+    """A text above the bound of the sample, first by its hash, takes nobody's place; nor do copies of an id."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    plain = toxicity.fit(docs, labels)
+    first = labels.where("toxic = 1").orderBy(F.xxhash64(F.col("doc_id").cast("long"))).first().doc_id
+    grown = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("word "), 2_100_000)).otherwise(F.col("text")))
+    model = toxicity.fit(grown.union(docs.where("doc_id % 50 = 1")), labels)
+    held = docs.where(F.col("doc_id") != first)
+    a, b = ({r.doc_id: r.score >= 0.3 for r in toxicity.toxicity(held, m).collect()} for m in (plain, model))
+    assert model is not None and sum(a[d] != b[d] for d in a) <= 0.02 * len(a) and sum(b.values()) >= 0.8 * sum(a.values())
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])

@@ -46,7 +46,7 @@ def rows():
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize("small", [8, 1])
+@pytest.mark.parametrize("small", [8, 1, 10**9])
 def test_similar_classes(spark, rows, small, monkeypatch):
     """No false link, and hardly one is lost: a link at exactly 0.8 with probability 0.05, at 0.85 with 0.005."""
     monkeypatch.setattr(simhash, "SMALL", small)
