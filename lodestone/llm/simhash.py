@@ -314,7 +314,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def plausible(rows: pa.Table, least: Fraction, parts: int, deviations: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs of different components in a group whose sizes and whole fingerprints allow the similarity.
 
-    A pair comes up in one group only: of the first part where it meets, with the smallest variant there.
+    A pair comes up in one group only: of the first part where it meets, that which stands for the smallest variant there.
     """
     most = most_bits(float(least), 32 * parts, deviations)
     key, node, n, own = (rows.column(c).to_numpy() for c in ("key", "node", "n", "component"))
@@ -322,6 +322,7 @@ def plausible(rows: pa.Table, least: Fraction, parts: int, deviations: float | N
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     end = np.append(start[1:], len(key))
     for s, e in zip(start.tolist(), end.tolist(), strict=True):
+        keys = np.array(rows.column("keys")[s].as_py(), np.int64)
         for p in range(s, e, TILE):
             for q in range(p, e, TILE):
                 a, b = slice(p, min(p + TILE, e)), slice(q, min(q + TILE, e))
@@ -335,7 +336,7 @@ def plausible(rows: pa.Table, least: Fraction, parts: int, deviations: float | N
                     other = u ^ v
                     low = other & (~other + np.uint32(1))  # the lowest differing bit
                     variant = np.where(bits[near, first] == 0, u, np.where(bits[near, first] == 1, np.minimum(u, v), np.minimum(u ^ low, v ^ low)))
-                    here = (first.astype(np.int64) << 32 | variant.astype(np.int64)) == key[s]
+                    here = np.isin(first.astype(np.int64) << 32 | variant.astype(np.int64), keys)
                     if here.any():
                         yield x[here], y[here]
 
@@ -343,7 +344,7 @@ def plausible(rows: pa.Table, least: Fraction, parts: int, deviations: float | N
 def links_across(joined: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
     """src, dst: a spanning forest of each group's links between different components.
 
-    joined has key, node, n, component, prints. Groups are compared tile by tile in the task that
+    joined has key, node, n, component, prints, keys (the variants that a group stands for). Groups are compared tile by tile in the task that
     holds them, first by fingerprints; rows with a plausible partner fetch their whole sets, meet
     again and are compared exactly. Pairs never leave the task.
     """
@@ -369,9 +370,9 @@ def links_across(joined: DataFrame, firsts: DataFrame, docs: DataFrame, shingle:
             s, d = forest(np.array(src, np.int64), np.array(dst, np.int64))
             yield pa.RecordBatch.from_pydict({"src": pa.array(s), "dst": pa.array(d)})
 
-    columns = ["key", "node", "n", "component", "prints"]
+    columns = ["key", "node", "n", "component", "prints", "keys"]
     grouped = lambda df: df.repartition("key").sortWithinPartitions("key", "node")
-    left = table(arrow_map(grouped(joined.select(*columns)), partnered, "key long, node long, n long, component long, prints array<int>"))
+    left = table(arrow_map(grouped(joined.select(*columns)), partnered, "key long, node long, n long, component long, prints array<int>, keys array<long>"))
     return arrow_map(grouped(left.join(sets_of(left.select("node"), firsts, docs, shingle), "node").select(*columns, "shingles")), compare, "src long, dst long")
 
 
@@ -392,7 +393,9 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     firsts = table(made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prints").alias("prints")))
     grouped = table(met(firsts.where("n > 0").repartition(max(partitions(docs.sparkSession), 1)), parts))
     found = table(verified(table(star_pairs(grouped, share)), firsts, docs, shingle, share))
-    large = grouped.where(F.size("node") > SMALL).select("key", F.explode(F.arrays_zip("node", "n")).alias("x")).select("key", "x.node", "x.n")
+    # variants of one part in which the same sets meet are one group
+    alike = grouped.where(F.size("node") > SMALL).groupBy(F.shiftright("key", 32).alias("part"), "node").agg(F.min("key").alias("key"), F.collect_list("key").alias("keys"), F.first("n").alias("n"))
+    large = alike.select("key", "keys", F.explode(F.arrays_zip("node", "n")).alias("x")).select("key", "keys", "x.node", "x.n")
     joined = large.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = joined.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
     left = joined.join(several, "key", "left_semi").join(firsts.select("node", "prints"), "node")
