@@ -39,14 +39,14 @@ from pyspark.sql import functions as F
 from .blocks import Block, blocks
 from .shared import arrow_map, documents, filtered, kept, release
 
-_CODES = np.random.Generator(np.random.PCG64(9)).integers(0, 256, (256, 4), dtype=np.uint8)
+_CODES = [bytes(code) for code in np.random.Generator(np.random.PCG64(9)).integers(0, 256, (256, 4), dtype=np.uint8)]
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 PIECE = 48
 CLEAR = 0.3  # a window's relative gain that counts as clear
 
 
 def spelled(text: bytes) -> bytes:
-    return _CODES[np.frombuffer(text, np.uint8)].tobytes()
+    return b"".join([_CODES[b] for b in text])
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,8 @@ class Windows:
     """Gains of distinct windows under one model, remembered up to a bound."""
 
     def __init__(self, model: Model, most: int = 400_000):
-        params = zstandard.ZstdCompressionParameters.from_level(19, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+        # tables are sized by what a window can have; larger ones only cost time
+        params = zstandard.ZstdCompressionParameters.from_level(19, source_size=8 * PIECE, dict_size=4 * len(model.toxic), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         make = lambda text: zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(spelled(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress
         self.ordinary, self.toxic = make(model.ordinary), make(model.toxic)
         self.known: dict[int, tuple[float, float]] = {}
