@@ -41,6 +41,8 @@ SEED = 42
 LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << np.arange(0, 64, 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 #: Parts of the fingerprints of similar sets, and groups up to this size compare all pairs at once.
 PARTS, SMALL, TILE = 24, 8, 1024
+#: Members of larger groups, all groups together, that one task looks at.
+ENTRIES = 50_000
 
 
 def fingerprints(block: Block, shingle: int = 3) -> np.ndarray:
@@ -341,20 +343,72 @@ def plausible(rows: pa.Table, least: Fraction, parts: int, deviations: float | N
                         yield x[here], y[here]
 
 
-def links_across(joined: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
-    """src, dst: a spanning forest of each group's links between different components.
+def in_blocks(alike: DataFrame, entries: int) -> DataFrame:
+    """alike with a column block: groups are dealt out so that a block has about so many members, all groups together."""
+    total = alike.agg(F.sum(F.size("node"))).first()[0] or 0
+    lots = max(total // entries + 1, partitions(alike.sparkSession))
+    return alike.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(lots)).cast("int"))
 
-    joined has key, node, n, component, prints, keys (the variants that a group stands for). Groups are compared tile by tile in the task that
-    holds them, first by fingerprints; rows with a plausible partner fetch their whole sets, meet
-    again and are compared exactly. Pairs never leave the task.
-    """
 
-    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches):
+def asked(groups: DataFrame) -> DataFrame:
+    """block, node: each member of a block's groups, once for each task that holds some of them, however many groups it is in."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.repeat(batch.column("block").to_numpy(), batch.column("node").value_lengths().to_numpy())
+            both = np.unique(np.stack([block.astype(np.int64), batch.column("node").flatten().to_numpy()], axis=1), axis=0)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(both[:, 0].astype(np.int32)), "node": pa.array(both[:, 1])})
+
+    return arrow_map(groups.select("block", "node").repartition("block"), scan, "block int, node long").distinct()
+
+
+def partnered(groups: DataFrame, answers: DataFrame, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
+    """key, node, n, component, prints, keys: the members of groups that have a plausible partner of another component there.
+
+    groups has block, key, keys, node, n (arrays, in order of node); answers has block, node, component, prints of each
+    block's members. A block and its answers meet in one task.
+    """
+    columns = ["key", "node", "n", "component", "prints", "keys"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    schema = pa.schema(list(zip(columns, types, strict=True)))
+
+    def meet(groups: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("node").combine_chunks()
+        names, of = answers.column("node").to_numpy(), answers.column("component").to_numpy()
+        out = []
+        for lot in groups.to_batches(max_chunksize=64):
+            size = lot.column("node").value_lengths().to_numpy()
+            at = np.searchsorted(names, lot.column("node").flatten().to_numpy())
+            start = np.cumsum(size) - size
+            several = np.minimum.reduceat(of[at], start) != np.maximum.reduceat(of[at], start)
+            left, group = np.repeat(several, size), np.repeat(np.arange(len(size)), size)
+            if not left.any():
+                continue
+            at, group, order = at[left], group[left], np.argsort(lot.column("key").to_numpy()[group[left]], kind="stable")
+            flat = {c: lot.column(c).flatten().filter(pa.array(left)) for c in ("node", "n")}
+            flat |= {c: answers.column(c).take(pa.array(at)) for c in ("component", "prints")} | {c: lot.column(c).take(pa.array(group)) for c in ("key", "keys")}
+            rows = pa.table({c: flat[c] for c in columns}).cast(schema).take(pa.array(order))
             some = np.zeros(rows.num_rows, bool)
             for x, y in plausible(rows, least, parts, deviations):
                 some[x] = some[y] = True
-            yield from rows.filter(pa.array(some)).to_batches()
+            out.append(rows.filter(pa.array(some)))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    sides = (df.groupBy("block") for df in (groups.select("block", "key", "keys", "node", "n"), answers.select("block", "node", "component", "prints")))
+    return next(sides).cogroup(next(sides)).applyInArrow(meet, "key long, node long, n long, component long, prints array<int>, keys array<long>")
+
+
+def links_across(alike: DataFrame, found: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction, parts: int, deviations: float | None, entries: int = ENTRIES) -> DataFrame:
+    """src, dst: a spanning forest of each group's links between different components.
+
+    alike has key, keys (the variants that a group stands for), node, n (arrays); found has the components so far. Groups are
+    dealt out in blocks of about ``entries`` members. A block asks once for the component and the whole fingerprint of each node, so that a node in
+    very many groups is no row for each of them. Groups of several components are compared tile by tile in the task that
+    holds them, first by fingerprints; members with a plausible partner fetch their whole sets, meet
+    again and are compared exactly. Pairs never leave the task.
+    """
+    groups = table(in_blocks(alike, entries))
+    answers = asked(groups).join(found, "node", "left").join(firsts.select("node", "prints"), "node").withColumn("component", F.coalesce("component", "node"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches):
@@ -370,10 +424,9 @@ def links_across(joined: DataFrame, firsts: DataFrame, docs: DataFrame, shingle:
             s, d = forest(np.array(src, np.int64), np.array(dst, np.int64))
             yield pa.RecordBatch.from_pydict({"src": pa.array(s), "dst": pa.array(d)})
 
-    columns = ["key", "node", "n", "component", "prints", "keys"]
-    grouped = lambda df: df.repartition("key").sortWithinPartitions("key", "node")
-    left = table(arrow_map(grouped(joined.select(*columns)), partnered, "key long, node long, n long, component long, prints array<int>, keys array<long>"))
-    return arrow_map(grouped(left.join(sets_of(left.select("node"), firsts, docs, shingle), "node").select(*columns, "shingles")), compare, "src long, dst long")
+    left = table(partnered(groups, answers, least, parts, deviations))
+    whole = left.join(sets_of(left.select("node"), firsts, docs, shingle), "node").select(*left.columns, "shingles")
+    return arrow_map(whole.repartition("key").sortWithinPartitions("key", "node"), compare, "src long, dst long")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, parts: int = PARTS, deviations: float | None = 8.0) -> DataFrame:
@@ -395,11 +448,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     found = table(verified(table(star_pairs(grouped, share)), firsts, docs, shingle, share))
     # variants of one part in which the same sets meet are one group
     alike = grouped.where(F.size("node") > SMALL).groupBy(F.shiftright("key", 32).alias("part"), "node").agg(F.min("key").alias("key"), F.collect_list("key").alias("keys"), F.first("n").alias("n"))
-    large = alike.select("key", "keys", F.explode(F.arrays_zip("node", "n")).alias("x")).select("key", "keys", "x.node", "x.n")
-    joined = large.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = joined.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
-    left = joined.join(several, "key", "left_semi").join(firsts.select("node", "prints"), "node")
-    more = table(links_across(left, firsts, docs, shingle, share, parts, deviations))
+    more = table(links_across(alike, components(found), firsts, docs, shingle, share, parts, deviations))
     of_node = components(found.unionByName(more))
     rooted = firsts.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
