@@ -260,25 +260,49 @@ def met(nodes: DataFrame, parts: int) -> DataFrame:
     return by_key(arrow_map(nodes.select("node", "n", "prints"), emit, "key long, node long, n int"), ["node", "n"])
 
 
-def star_pairs(grouped: DataFrame, least: Fraction) -> DataFrame:
-    """src, dst that may be similar by their sizes: of groups up to SMALL all pairs, of others those with the first node."""
+def small_pairs(grouped: DataFrame, least: Fraction) -> DataFrame:
+    """src, dst: all pairs of groups of up to SMALL members that may be similar by their sizes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column("node").value_lengths().to_numpy()
             node, n = (batch.column(c).flatten().to_numpy() for c in ("node", "n"))
             start = np.cumsum(size) - size
-            large = size > SMALL
-            places = [(np.repeat(start[large], size[large] - 1), ranges(start[large] + 1, size[large] - 1))]
-            for k in np.unique(size[~large & (size > 1)]).tolist():
+            for k in np.unique(size[size > 1]).tolist():
                 i, j = np.triu_indices(k, 1)
                 lot = start[size == k]
-                places.append(((lot[:, None] + i).ravel(), (lot[:, None] + j).ravel()))
-            for i, j in places:
-                fine = sized(n[i], n[j], least)
-                yield links_of(node[i[fine]], node[j[fine]])
+                a, b = (lot[:, None] + i).ravel(), (lot[:, None] + j).ravel()
+                fine = sized(n[a], n[b], least)
+                yield links_of(node[a[fine]], node[b[fine]])
 
-    return arrow_map(grouped, scan, "src long, dst long").distinct()
+    return arrow_map(grouped.where(F.size("node") <= SMALL), scan, "src long, dst long")
+
+
+def star_pairs(groups: DataFrame, members: DataFrame, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
+    """src, dst: of each larger group its first member with those that are similar to it by sizes and whole fingerprints.
+
+    groups has block, node, n (arrays), members has block, node, prints. A block and its members meet in one task.
+    """
+    most = most_bits(float(least), 32 * parts, deviations)
+
+    def meet(groups: pa.Table, members: pa.Table) -> pa.Table:
+        members = members.sort_by("node").combine_chunks()
+        names, prints = members.column("node").to_numpy(), members.column("prints").combine_chunks().flatten().to_numpy().view(np.uint32).reshape(-1, parts)
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lot in groups.to_batches(max_chunksize=64):
+            size = lot.column("node").value_lengths().to_numpy()
+            node, n = (lot.column(c).flatten().to_numpy() for c in ("node", "n"))
+            first = np.repeat(np.cumsum(size) - size, size)
+            at = np.flatnonzero((first != np.arange(len(node))) & sized(n[first], n, least))
+            for x in np.array_split(at, len(at) // 20_000 + 1):
+                u, v = (prints[np.searchsorted(names, node[y])] for y in (first[x], x))
+                near = x[np.bitwise_count(u ^ v).sum(axis=1) <= most]
+                src.append(node[first[near]]), dst.append(node[near])
+        both = links_of(np.concatenate(src), np.concatenate(dst))
+        return pa.Table.from_batches([both])
+
+    sides = (df.groupBy("block") for df in (groups.select("block", "node", "n"), members.select("block", "node", "prints")))
+    return next(sides).cogroup(next(sides)).applyInArrow(meet, "src long, dst long")
 
 
 def sized(a: np.ndarray, b: np.ndarray, least: Fraction) -> np.ndarray:
@@ -343,7 +367,7 @@ def plausible(rows: pa.Table, least: Fraction, parts: int, deviations: float | N
                         yield x[here], y[here]
 
 
-def in_blocks(alike: DataFrame, entries: int) -> DataFrame:
+def in_blocks(alike: DataFrame, entries: int = ENTRIES) -> DataFrame:
     """alike with a column block: groups are dealt out so that a block has about so many members, all groups together."""
     total = alike.agg(F.sum(F.size("node"))).first()[0] or 0
     lots = max(total // entries + 1, partitions(alike.sparkSession))
@@ -398,17 +422,15 @@ def partnered(groups: DataFrame, answers: DataFrame, least: Fraction, parts: int
     return next(sides).cogroup(next(sides)).applyInArrow(meet, "key long, node long, n long, component long, prints array<int>, keys array<long>")
 
 
-def links_across(alike: DataFrame, found: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction, parts: int, deviations: float | None, entries: int = ENTRIES) -> DataFrame:
+def links_across(groups: DataFrame, members: DataFrame, found: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
     """src, dst: a spanning forest of each group's links between different components.
 
-    alike has key, keys (the variants that a group stands for), node, n (arrays); found has the components so far. Groups are
-    dealt out in blocks of about ``entries`` members. A block asks once for the component and the whole fingerprint of each node, so that a node in
-    very many groups is no row for each of them. Groups of several components are compared tile by tile in the task that
+    groups has block, key, keys (the variants that a group stands for), node, n (arrays), members has block, node, prints;
+    found has the components so far. Groups of several components are compared tile by tile in the task that
     holds them, first by fingerprints; members with a plausible partner fetch their whole sets, meet
     again and are compared exactly. Pairs never leave the task.
     """
-    groups = table(in_blocks(alike, entries))
-    answers = asked(groups).join(found, "node", "left").join(firsts.select("node", "prints"), "node").withColumn("component", F.coalesce("component", "node"))
+    answers = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches):
@@ -434,7 +456,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Documents link if the Jaccard similarity of their sets of shingles is least or more and their
     fingerprints differ in two bits or fewer of one of the parts. Groups above SMALL first compare all with one
-    member; only pairs across the components that this makes are compared after it, and of those only pairs
+    member; only pairs across the components that this makes are compared after it, and of both only pairs
     whose whole fingerprints lie within ``deviations`` standard deviations of what that similarity makes
     (eight: a chance of 1e-15 to miss one; None compares all). Defined results: null, empty and wordless texts have equal, empty sets and make one
     class; fewer words than a shingle make one shingle; rows without an id are left out; of
@@ -445,10 +467,14 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     made = table(signed(docs, shingle, parts))
     firsts = table(made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prints").alias("prints")))
     grouped = table(met(firsts.where("n > 0").repartition(max(partitions(docs.sparkSession), 1)), parts))
-    found = table(verified(table(star_pairs(grouped, share)), firsts, docs, shingle, share))
     # variants of one part in which the same sets meet are one group
     alike = grouped.where(F.size("node") > SMALL).groupBy(F.shiftright("key", 32).alias("part"), "node").agg(F.min("key").alias("key"), F.collect_list("key").alias("keys"), F.first("n").alias("n"))
-    more = table(links_across(alike, components(found), firsts, docs, shingle, share, parts, deviations))
+    # a block of them asks once for each member, so that a set in very many groups is no row for each of them
+    groups = table(in_blocks(alike))
+    members = table(asked(groups).join(firsts.select("node", "prints"), "node"))
+    pairs = small_pairs(grouped, share).unionByName(star_pairs(groups, members, share, parts, deviations)).distinct()
+    found = table(verified(table(pairs), firsts, docs, shingle, share))
+    more = table(links_across(groups, members, components(found), firsts, docs, shingle, share, parts, deviations))
     of_node = components(found.unionByName(more))
     rooted = firsts.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
