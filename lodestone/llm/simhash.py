@@ -41,8 +41,8 @@ SEED = 42
 LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << np.arange(0, 64, 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 #: Parts of the fingerprints of similar sets, and groups up to this size compare all pairs at once.
 PARTS, SMALL, TILE = 24, 8, 1024
-#: Members of larger groups, all groups together, that one task looks at.
-ENTRIES = 50_000
+#: Shingles of the members of larger groups, all groups together, that one task looks at.
+MEMBERS = 10_000_000
 
 
 def fingerprints(block: Block, shingle: int = 3) -> np.ndarray:
@@ -278,30 +278,42 @@ def small_pairs(grouped: DataFrame, least: Fraction) -> DataFrame:
     return arrow_map(grouped.where(F.size("node") <= SMALL), scan, "src long, dst long")
 
 
-def star_pairs(groups: DataFrame, members: DataFrame, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
-    """src, dst: of each larger group its first member with those that are similar to it by sizes and whole fingerprints.
+def alike_sets(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
+    """Whether two sorted sets have the similarity."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common * (least.numerator + least.denominator) >= (len(a) + len(b)) * least.numerator
 
-    groups has block, node, n (arrays), members has block, node, prints. A block and its members meet in one task.
+
+def star_links(groups: DataFrame, members: DataFrame, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
+    """src, dst: a spanning forest, for each block, of the links of each larger group's first member.
+
+    groups has block, node, n (arrays), members has block, node, prints, shingles. A block and its members meet in one
+    task, where sizes and whole fingerprints are looked at before the sets are compared.
     """
     most = most_bits(float(least), 32 * parts, deviations)
 
     def meet(groups: pa.Table, members: pa.Table) -> pa.Table:
         members = members.sort_by("node").combine_chunks()
         names, prints = members.column("node").to_numpy(), members.column("prints").combine_chunks().flatten().to_numpy().view(np.uint32).reshape(-1, parts)
-        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        column = members.column("shingles").combine_chunks()
+        start, value = column.offsets.to_numpy(), column.values.to_numpy()
+        pairs = [np.zeros((0, 2), np.int64)]
         for lot in groups.to_batches(max_chunksize=64):
             size = lot.column("node").value_lengths().to_numpy()
             node, n = (lot.column(c).flatten().to_numpy() for c in ("node", "n"))
             first = np.repeat(np.cumsum(size) - size, size)
             at = np.flatnonzero((first != np.arange(len(node))) & sized(n[first], n, least))
-            for x in np.array_split(at, len(at) // 20_000 + 1):
-                u, v = (prints[np.searchsorted(names, node[y])] for y in (first[x], x))
-                near = x[np.bitwise_count(u ^ v).sum(axis=1) <= most]
-                src.append(node[first[near]]), dst.append(node[near])
-        both = links_of(np.concatenate(src), np.concatenate(dst))
-        return pa.Table.from_batches([both])
-
-    sides = (df.groupBy("block") for df in (groups.select("block", "node", "n"), members.select("block", "node", "prints")))
+            pairs.append(np.unique(np.searchsorted(names, np.stack([node[first[at]], node[at]], axis=1)), axis=0))
+        src, dst = [], []
+        for lot in np.array_split(np.unique(np.concatenate(pairs), axis=0), sum(map(len, pairs)) // 20_000 + 1):
+            near = np.bitwise_count(prints[lot[:, 0]] ^ prints[lot[:, 1]]).sum(axis=1) <= most
+            for i, j in lot[near].tolist():
+                if alike_sets(value[start[i] : start[i + 1]], value[start[j] : start[j + 1]], least):
+                    src.append(i), dst.append(j)
+        s, d = forest(np.array(src, np.int64), np.array(dst, np.int64))
+        return pa.table({"src": pa.array(names[s]), "dst": pa.array(names[d])})
+
+    sides = (df.groupBy("block") for df in (groups.select("block", "node", "n"), members.select("block", "node", "prints", "shingles")))
     return next(sides).cogroup(next(sides)).applyInArrow(meet, "src long, dst long")
 
 
@@ -367,10 +379,10 @@ def plausible(rows: pa.Table, least: Fraction, parts: int, deviations: float | N
                         yield x[here], y[here]
 
 
-def in_blocks(alike: DataFrame, entries: int = ENTRIES) -> DataFrame:
-    """alike with a column block: groups are dealt out so that a block has about so many members, all groups together."""
-    total = alike.agg(F.sum(F.size("node"))).first()[0] or 0
-    lots = max(total // entries + 1, partitions(alike.sparkSession))
+def in_blocks(alike: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """alike with a column block: groups are dealt out so that a block's members have about so many shingles, all groups together."""
+    total = alike.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    lots = max(total // most + 1, partitions(alike.sparkSession))
     return alike.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(lots)).cast("int"))
 
 
@@ -422,11 +434,11 @@ def partnered(groups: DataFrame, answers: DataFrame, least: Fraction, parts: int
     return next(sides).cogroup(next(sides)).applyInArrow(meet, "key long, node long, n long, component long, prints array<int>, keys array<long>")
 
 
-def links_across(groups: DataFrame, members: DataFrame, found: DataFrame, firsts: DataFrame, docs: DataFrame, shingle: int, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
+def links_across(groups: DataFrame, members: DataFrame, found: DataFrame, sets: DataFrame, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
     """src, dst: a spanning forest of each group's links between different components.
 
     groups has block, key, keys (the variants that a group stands for), node, n (arrays), members has block, node, prints;
-    found has the components so far. Groups of several components are compared tile by tile in the task that
+    found has the components so far, sets the members' shingles. Groups of several components are compared tile by tile in the task that
     holds them, first by fingerprints; members with a plausible partner fetch their whole sets, meet
     again and are compared exactly. Pairs never leave the task.
     """
@@ -440,14 +452,13 @@ def links_across(groups: DataFrame, members: DataFrame, found: DataFrame, firsts
             for x, y in plausible(rows, least, parts, deviations):
                 for i, j in zip(x.tolist(), y.tolist(), strict=True):
                     a, b = value[at[i] : at[i + 1]], value[at[j] : at[j + 1]]
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    if common * (least.numerator + least.denominator) >= (len(a) + len(b)) * least.numerator:
+                    if alike_sets(a, b, least):
                         src.append(node[i]), dst.append(node[j])
             s, d = forest(np.array(src, np.int64), np.array(dst, np.int64))
             yield pa.RecordBatch.from_pydict({"src": pa.array(s), "dst": pa.array(d)})
 
     left = table(partnered(groups, answers, least, parts, deviations))
-    whole = left.join(sets_of(left.select("node"), firsts, docs, shingle), "node").select(*left.columns, "shingles")
+    whole = left.join(sets, "node").select(*left.columns, "shingles")
     return arrow_map(whole.repartition("key").sortWithinPartitions("key", "node"), compare, "src long, dst long")
 
 
@@ -472,9 +483,10 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # a block of them asks once for each member, so that a set in very many groups is no row for each of them
     groups = table(in_blocks(alike))
     members = table(asked(groups).join(firsts.select("node", "prints"), "node"))
-    pairs = small_pairs(grouped, share).unionByName(star_pairs(groups, members, share, parts, deviations)).distinct()
-    found = table(verified(table(pairs), firsts, docs, shingle, share))
-    more = table(links_across(groups, members, components(found), firsts, docs, shingle, share, parts, deviations))
+    whole = sets_of(members.select("node"), firsts, docs, shingle)
+    stars = star_links(groups, members.join(whole, "node"), share, parts, deviations)
+    found = table(verified(table(small_pairs(grouped, share).distinct()), firsts, docs, shingle, share).unionByName(stars))
+    more = table(links_across(groups, members, components(found), whole, share, parts, deviations))
     of_node = components(found.unionByName(more))
     rooted = firsts.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
