@@ -40,7 +40,7 @@ SEED = 42
 #: For each byte a word with one of its bits in each byte.
 LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << np.arange(0, 64, 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 #: Parts of the fingerprints of similar sets, and groups up to this size compare all pairs at once.
-PARTS, SMALL, TILE = 24, 8, 1024
+PARTS, SMALL, TILE = 24, 4, 1024
 #: Shingles of the members of larger groups, all groups together, that one task looks at.
 MEMBERS = 10_000_000
 
