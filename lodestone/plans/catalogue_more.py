@@ -9,9 +9,9 @@ from ..checkpoints import folder
 from ..functions import canonical, globs, scalars
 from ..operators import chunking, gates, graph, history, manifests, store
 from ..operators.historylog import HistoryLog
-from ..sources import acquire, content, listings
+from ..sources import acquire, content, listings, mirror
 from ..sources.tables import load
-from .catalogue import _docs, _outputs, _realizations, query
+from .catalogue import _ENTRY, _PATHS, _docs, _outputs, _realizations, _tree_entries, query
 from .project import Action, Output, Project, Runner, row_name
 
 # ---------------------------------------------------------------- functions
@@ -479,3 +479,52 @@ def access_challenges(s, d):
     c = listings.challenge(F.lit("hub"), F.when(n == 0, F.when(F.col("page_id") % 2 == 0, 401).otherwise(403)).when(n == 1, 200).otherwise(500))
     return load(s, d, "pages").select("page_id", c["provider"].alias("provider"), c["requirement"].alias("requirement"))
 
+
+# ---------------------------------------------------------------- mirrors and files
+
+
+_SHELVES = f"""{_PATHS}, t AS (SELECT '{{"version":1,"entries":[' || string_agg({_ENTRY}, ',' ORDER BY path) || ']}}' AS m FROM p GROUP BY doc_id // 64),
+ a AS (SELECT '{{"version":1,"content":{{"algorithm":"sha256","value":"' || sha256(m) || '"}},"kind":"tree"}}' AS m FROM t)"""
+
+
+@query(f"""WITH {_SHELVES} SELECT 'sha256:' || sha256(text) AS node, 'content' AS role, 0 AS level, strlen(text)::BIGINT AS size, CASE WHEN bool_or(doc_id % 3 = 0) THEN 'present' ELSE 'copied' END AS status FROM documents GROUP BY text
+ UNION ALL SELECT DISTINCT 'sha256:' || sha256(m), 'content', 1, strlen(m)::BIGINT, 'copied' FROM t UNION ALL SELECT DISTINCT 'sha256:' || sha256(m), 'artifacts', 2, strlen(m)::BIGINT, 'copied' FROM a""")
+def mirror_push(s, d):
+    """Trees of 64 documents each, copied to another folder that holds a third of the texts: texts first, then trees, then artifacts."""
+    here, there = folder(s), folder(s)
+    entries = _tree_entries(s, d).withColumn("shelf", F.floor(F.col("doc_id") / 64))
+    docs = _docs(s, d)
+    trees = manifests.trees(entries, ["shelf"]).select("shelf", F.col("content").alias("tree_content"), "manifest")
+    artifacts = trees.select(F.col("tree_content").alias("content"), manifests.artifact_json("tree_content", "tree").alias("manifest")).withColumn("id", scalars.content_id("manifest")).withColumn("schema", F.lit(None).cast("string"))
+    content.put(docs, here, "text", "id")
+    content.put(trees, here, "manifest", "tree_content")
+    content.put(artifacts, here, "manifest", "id", role="artifacts")
+    content.put(docs.where("doc_id % 3 = 0"), there, "text", "id")
+    none = trees.where("false")
+    edges = graph.content_edges(artifacts, none.select(F.col("tree_content").alias("collection_content"), F.col("manifest").alias("artifact")), entries.join(trees, "shelf").select("tree_content", "content"), none.select(F.col("tree_content").alias("manifest_content"), F.col("manifest").alias("content")))
+    return mirror.copied(mirror.waves(artifacts.select(F.col("id").alias("node")), edges, artifacts), here, there)
+
+
+@query("SELECT 'shelf-' || (doc_id // 64) || '/d_' || doc_id AS path, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents")
+def artifact_files(s, d):
+    """Collections of 64 documents each as files; a fifth of the documents are kept in chunks."""
+    here = folder(s)
+    docs = _docs(s, d)
+    whole, cut = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0").select("doc_id", F.col("text").cast("binary").alias("data"))
+    listed = chunking.chunks(cut, "doc_id", "data", 64, 256, 1024)
+    headers = chunking.headers_of(cut.withColumn("part", F.lit(0)), "doc_id", "part", "data")
+    made = chunking.chunk_manifests(listed, headers, "doc_id", 64, 256, 1024)
+    content.put(whole, here, "text", "id")
+    content.put(chunking.chunk_content(cut, listed, "doc_id", "data"), here, "bytes", "content")
+    own = whole.select("doc_id", F.col("id").alias("content")).unionByName(made.select("doc_id", "content"))
+    blobs = manifests.artifact_ids(own, "content", "blob")
+    members = blobs.select(F.floor(F.col("doc_id") / 64).alias("shelf"), F.concat(F.lit("d "), F.col("doc_id").cast("string")).alias("key"), "artifact", F.lit(None).cast("string").alias("label"))
+    collections = manifests.artifact_ids(manifests.collection_ids(members, ["shelf"]).select("shelf", "content"), "content", "collection")
+    artifacts = blobs.select(F.col("artifact").alias("id"), "content", F.lit("blob").alias("kind")).unionByName(collections.select(F.col("artifact").alias("id"), "content", F.lit("collection").alias("kind")))
+    held = members.join(collections.select("shelf", F.col("content").alias("collection_content")), "shelf").select("collection_content", "key", "artifact")
+    name = made.select("doc_id", F.col("content").alias("manifest_content"))
+    trees = docs.where("false").select(F.col("id").alias("tree_content"), F.col("text").alias("path"), F.col("id").alias("content"), F.lit(None).cast("boolean").alias("executable"))
+    roots = collections.select("artifact", F.concat(F.lit("shelf-"), F.col("shelf").cast("string")).alias("path"))
+    parts = listed.select("doc_id", "ordinal", "content").join(name, "doc_id").select("manifest_content", "ordinal", "content")
+    files = mirror.expanded(roots, artifacts, held, trees, parts, headers.join(name, "doc_id").select("manifest_content", "logical_sha256"))
+    return mirror.materialised(files, here, folder(s))

@@ -31,8 +31,9 @@ def opened(folder: str):
     return fs.FileSystem.from_uri(("s3" if scheme == "s3a" else scheme) + ":" + rest)
 
 
-def place(digest: str) -> str:
-    return f"content/{digest[:2]}/{digest}"
+def place(digest: str, role: str = "content") -> str:
+    """Where an object lies below its folder; role is content, or artifacts for manifests of artifacts."""
+    return f"{role}/{digest[:2]}/{digest}"
 
 
 @dataclass
@@ -56,12 +57,12 @@ class ContentFolder(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("objects are written once: use mode append")
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], self.options.get("role", "content"))
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, folder: str):
-        self.folder, self.job = folder.rstrip("/"), uuid.uuid4().hex
+    def __init__(self, folder: str, role: str):
+        self.folder, self.role, self.job = folder.rstrip("/"), role, uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Put:
         from pyarrow import fs
@@ -77,7 +78,7 @@ class _Writer(DataSourceWriter):
             if digest in made:
                 continue
             made.add(digest)
-            to = f"{root}/{place(digest)}"
+            to = f"{root}/{place(digest, self.role)}"
             there = store.get_file_info(to)
             if there.type == fs.FileType.File:
                 with store.open_input_stream(to) as f:
@@ -113,16 +114,16 @@ class _Writer(DataSourceWriter):
         self._clear()
 
 
-def put(rows: DataFrame, folder: str, content: str = "content", identity: str | None = None) -> None:
-    """Writes the bytes of rows as objects; with identity, bytes of another identity fail the job. Null contents are left out."""
+def put(rows: DataFrame, folder: str, content: str = "content", identity: str | None = None, role: str = "content") -> None:
+    """Writes the bytes of rows as objects of a role; with identity, bytes of another identity fail the job. Null contents are left out."""
     rows.sparkSession.dataSource.register(ContentFolder)
     named = F.lit(None).cast("string") if identity is None else F.col(identity)
-    rows.where(F.col(content).isNotNull()).select(named.alias("id"), F.col(content).cast("binary").alias("content")).write.format("content_folder").mode("append").save(folder)
+    rows.where(F.col(content).isNotNull()).select(named.alias("id"), F.col(content).cast("binary").alias("content")).write.format("content_folder").mode("append").option("role", role).save(folder)
 
 
-def objects(spark: SparkSession, folder: str) -> DataFrame:
-    """id (by name), size, content of the objects of a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/content")
+def objects(spark: SparkSession, folder: str, role: str = "content") -> DataFrame:
+    """id (by name), size, content of the objects of a folder and role."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/{role}")
     return files.select(F.concat(F.lit("sha256:"), F.substring_index("path", "/", -1)).alias("id"), F.col("length").alias("size"), "content")
 
 
