@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..functions.scalars import attempt_status
 
 
@@ -92,6 +95,32 @@ def field_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> D
     return both.where(~F.col("old").eqNullSafe(F.col("new")))
 
 
+def record_changes(old: DataFrame, new: DataFrame, key: str, record: str = "record") -> DataFrame:
+    """key, path, old, new: where two records (JSON) of a key differ, down to the fields of nested objects.
+
+    path is a JSON pointer; old and new are JSON, null where a side lacks the field (a field that is null is 'null'). Objects are
+    compared field by field whatever their order, arrays as a whole, decimals by value (1 is 1.0). A key of one side, or
+    a null record, differs at path ''. Keys are unique on each side, and text that is no JSON raises. One join brings
+    the two records together; from then on each row goes down into what differs only, without a shuffle.
+    """
+    # text between rounds: casts of variant columns are pushed into Parquet scans, where those of other kinds fail
+    side = lambda df, name: df.select(key, F.to_json(F.parse_json(F.col(record).cast("string"))).alias(name))
+    fields = lambda c: F.try_variant_get(F.parse_json(c), "$", "map<string, variant>")
+    value = lambda c: F.to_json(F.try_element_at(c, F.col("_f")))
+    differ, both = ~F.col("old").eqNullSafe(F.col("new")), F.col("_o").isNotNull() & F.col("_n").isNotNull()
+    pointer = F.concat("path", F.lit("/"), F.replace(F.replace("_f", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+    level = written(side(old, "old").join(side(new, "new"), key, "full").select(key, F.lit("").alias("path"), "old", "new").where(differ))
+    found = [level.where("false")]
+    while not level.isEmpty():
+        parsed = level.withColumn("_o", fields("old")).withColumn("_n", fields("new"))
+        found.append(parsed.where(~both).select(key, "path", "old", "new"))
+        each = parsed.where(both).select(key, "path", "_o", "_n", F.explode(F.array_union(F.map_keys("_o"), F.map_keys("_n"))).alias("_f"))
+        level = written(each.select(key, pointer.alias("path"), value("_o").alias("old"), value("_n").alias("new")).where(differ))
+        if len(found) > 8:
+            found = [written(reduce(DataFrame.unionByName, found))]
+    return reduce(DataFrame.unionByName, found)
+
+
 def inspected(artifacts: DataFrame, observations: DataFrame, realizations: DataFrame, outputs: DataFrame, attestations: DataFrame) -> DataFrame:
     """All that is known of each artifact (id, manifest): sources, producers and attestations, as sorted arrays."""
     seen = observations.groupBy(F.col("artifact").alias("id")).agg(F.array_sort(F.collect_list("canonical_ref")).alias("sources"))

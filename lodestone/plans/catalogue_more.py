@@ -9,7 +9,7 @@ from ..checkpoints import folder
 from ..functions import canonical, globs, scalars
 from ..operators import chunking, gates, graph, history, manifests, store
 from ..operators.historylog import HistoryLog
-from ..sources import acquire, content, listings, mirror
+from ..sources import acquire, content, listings, mirror, selective
 from ..sources.tables import load
 from .catalogue import _ENTRY, _PATHS, _docs, _outputs, _realizations, _tree_entries, query
 from .project import Action, Output, Project, Runner, row_name
@@ -528,3 +528,41 @@ def artifact_files(s, d):
     parts = listed.select("doc_id", "ordinal", "content").join(name, "doc_id").select("manifest_content", "ordinal", "content")
     files = mirror.expanded(roots, artifacts, held, trees, parts, headers.join(name, "doc_id").select("manifest_content", "logical_sha256"))
     return mirror.materialised(files, here, folder(s))
+
+
+@query("""WITH t AS (SELECT DISTINCT sha256(text) AS h, strlen(text)::BIGINT AS size FROM documents)
+ SELECT left(h, 2) || '/' || h AS path, size, true AS valid FROM t WHERE h < '8' AND right(h, 1) <> 'f' AND size > 300 AND size <= 2000""")
+def selective_files(s, d):
+    """Objects of a content folder by globs and sizes; what is not chosen is never opened."""
+    here = folder(s)
+    content.put(_docs(s, d), here, "text")
+    found = selective.files(s, f"{here}/content", ["[0-7]*/*"], ["*f"]).where("size > 300 AND size <= 2000")
+    return found.select("path", "size", (F.sha2("content", 256) == F.substring_index("path", "/", -1)).alias("valid"))
+
+
+#: Paths of a record's values and the SQL of each, in the order of the query's columns.
+_FIELDS = {
+    "/command": "'[\"run\",\"' || o_orderpriority || '\"]'", "/inputs/order": "o_orderkey::VARCHAR", "/code": "'\"c' || (o_orderkey % 11) || '\"'", "/parameters/status": "'\"' || o_orderstatus || '\"'",
+    "/parameters/when/year": "year(o_orderdate)::VARCHAR", "/parameters/when/month": "month(o_orderdate)::VARCHAR", "/environment/ship": "(o_orderkey % 13)::VARCHAR", "/outputs/out": "(o_orderkey % 2)::VARCHAR",
+    "/resources/cpus": "(o_orderkey % 3)::VARCHAR", "/budget": "CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 5)::VARCHAR END", "/network": "(o_orderkey % 7 = 0)::VARCHAR", "/sandbox": "'\"none\"'",
+    "/cache": "CASE WHEN o_orderkey % 2 = 0 THEN '\"pure\"' ELSE '\"reproducible\"' END", "/platform/os": "'\"linux\"'",
+}
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM orders),
+ v AS (SELECT o_custkey, nth, unnest([{", ".join(f"'{p}'" for p in _FIELDS)}]) AS path, unnest([{", ".join(_FIELDS.values())}]) AS value FROM r WHERE nth <= 2)
+ SELECT a.o_custkey AS task, a.path, a.value AS old, b.value AS new FROM v a JOIN v b ON a.o_custkey = b.o_custkey AND a.path = b.path AND a.nth = 1 AND b.nth = 2 WHERE a.value IS DISTINCT FROM b.value""")
+def action_changes(s, d):
+    """What differs between the first two actions of each customer, in any of twelve fields and inside of them."""
+    n, c = F.col("o_orderkey"), F.col
+    record = F.struct(
+        F.array(F.lit("run"), "o_orderpriority").alias("command"), F.struct(n.alias("order")).alias("inputs"), F.concat(F.lit("c"), (n % 11).cast("string")).alias("code"),
+        F.struct(F.struct(F.month("o_orderdate").alias("month"), F.year("o_orderdate").alias("year")).alias("when"), c("o_orderstatus").alias("status")).alias("parameters"),
+        F.struct((n % 13).alias("ship")).alias("environment"), F.struct((n % 2).alias("out")).alias("outputs"), F.struct((n % 3).alias("cpus")).alias("resources"), F.when(n % 5 > 0, n % 5).alias("budget"),
+        (n % 7 == 0).alias("network"), F.lit("none").alias("sandbox"), F.when(n % 2 == 0, "pure").otherwise("reproducible").alias("cache"), F.struct(F.lit("linux").alias("os")).alias("platform"),
+    )
+    orders = load(s, d, "orders").select(c("o_custkey").alias("task"), F.struct("o_orderdate", "o_orderkey").alias("at"), F.to_json(record).alias("record"))
+    # the least two of each task, by partial aggregates in place of a sort of all
+    first = orders.groupBy("task").agg(F.min("at").alias("at"))
+    later = orders.join(first.withColumnRenamed("at", "_first"), "task").where("at > _first").groupBy("task").agg(F.min_by("record", "at").alias("record"))
+    return history.record_changes(orders.join(first, ["task", "at"]).join(later.select("task"), "task", "left_semi"), later, "task")
