@@ -566,3 +566,9 @@ def action_changes(s, d):
     first = orders.groupBy("task").agg(F.min("at").alias("at"))
     later = orders.join(first.withColumnRenamed("at", "_first"), "task").where("at > _first").groupBy("task").agg(F.min_by("record", "at").alias("record"))
     return history.record_changes(orders.join(first, ["task", "at"]).join(later.select("task"), "task", "left_semi"), later, "task")
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE contains(lower(source), 's') AND (lang, source, doc_id) > ('en', 's', 0) ORDER BY lang, source, doc_id LIMIT 20")
+def catalog_search_after(s, d):
+    """The page of a search that follows a row, which need not be there."""
+    return acquire.searched(load(s, d, "documents").select("doc_id", "source", "lang"), "S", ["source"], ["lang", "source", "doc_id"], 20, after=("en", "s", 0))

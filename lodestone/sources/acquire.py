@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
@@ -52,12 +52,22 @@ def imported_store(files: DataFrame, path: str = "path", content: str = "content
     return files.select(content_id(data).alias("id"), F.octet_length(data).cast("bigint").alias("size"), (F.substring_index(path, "/", -1) == F.sha2(data, 256)).alias("valid"))
 
 
-def searched(catalog: DataFrame, text: str, columns: list[str], order: list[str], limit: int, cursor: int = 0) -> DataFrame:
-    """Rows with text in any of columns, in order, from cursor on."""
+def searched(catalog: DataFrame, text: str, columns: list[str], order: list[str], limit: int, cursor: int = 0, after: Sequence | None = None) -> DataFrame:
+    """Rows with text in any of columns, in order (nulls first), from cursor on or after a row.
+
+    after has the values of order in the last row of the page before. It costs the same for each page, while a cursor
+    sorts all rows before it again; order should name one row only, or rows equal to the last one are passed over.
+    """
     hit = F.lit(False)
     for c in columns:
         hit |= F.contains(F.lower(F.col(c)), F.lit(text.lower()))
-    return catalog.where(hit).orderBy(*order).offset(cursor).limit(limit)
+    found = catalog.where(hit)
+    if after is not None:
+        last = [F.lit(v).cast(catalog.schema[c].dataType) for c, v in zip(order, after, strict=True)]
+        if after[0] is not None:
+            found = found.where(F.col(order[0]) >= last[0])  # reaches the scan
+        found = found.where(F.struct(*order) > F.struct(*[v.alias(c) for c, v in zip(order, last, strict=True)]))
+    return found.orderBy(*order).offset(cursor).limit(limit)
 
 
 def conformance(resolved: DataFrame, listed: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
 from lodestone.operators import history
-from lodestone.sources import selective
+from lodestone.sources import acquire, selective
 
 NAMES = ["a.txt", "b.csv", "in/a.txt", "in/deep/c.txt", "in/deep/er/d.txt", "out/a.txt", "out/a.txt\n", "é/ü.txt"]
 
@@ -43,6 +43,7 @@ def test_conditions_are_pushed_and_nothing_else_is_opened(spark, root):
     }
     for where, want in cases.items():
         assert paths(selective.files(spark, root).where(where)) == sorted(want), where
+    assert "PushedFilters: [IsNotNull(size), GreaterThan(size,1)]" in selective.files(spark, root).where("size > 1")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     reader = selective.SelectedFiles({"path": root, "include": json.dumps(["*.txt"])}).reader(spark.createDataFrame([], selective.LISTED + ", content binary").schema)
     left = list(reader.pushFilters([D.GreaterThan(("size",), 2), D.StringStartsWith(("path",), "in/"), D.GreaterThan(("path",), "a"), D.IsNotNull(("size",)), D.EqualTo(("content",), b"")]))
     assert left == [D.GreaterThan(("path",), "a"), D.EqualTo(("content",), b"")]
@@ -56,6 +57,18 @@ def test_conditions_are_pushed_and_nothing_else_is_opened(spark, root):
     assert sorted(r[1] for x in lots for r in reader.read(x)) == NAMES[3:5]
 
 
+def test_pages_follow_one_another(spark):
+    rows = [(n, k) for k, n in enumerate(["ab", None, "b", "ab", "aé", None, "a", "ab", "xa\n"])]
+    catalog = spark.createDataFrame(rows, "name string, k int").withColumn("all", F.lit("A"))
+    walked, last = [], None
+    while page := acquire.searched(catalog, "a", ["all"], ["name", "k"], 2, after=last).collect():
+        walked += [(r.name, r.k) for r in page]
+        last = walked[-1]
+    assert walked == sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    plan = acquire.searched(catalog, "a", ["name"], ["name", "k"], 2, after=("ab", 0))
+    assert [(r.name, r.k) for r in plan.collect()] == [("ab", 3), ("ab", 7)]
+
+
 def test_empty_and_missing_roots(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert selective.files(spark, str(tmp_path / "none")).collect() == []
