@@ -237,6 +237,57 @@ def leaving(cuts: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def exits(raw: np.ndarray, size: int, entries: int, least: int, avg: int, most: int) -> np.ndarray:
+    """For each of the first entries places in raw, the first cut of the chain from there at or behind size.
+
+    Gives what ``leaving(next_cuts(...))`` does, but looks only at places that these chains meet, which soon share
+    their cuts. An end's key is its rotation and the low bits there; ends of a key are linked in order, and a window of least
+    places (no chain stays in it) goes forward with the first end of each key behind it. Keys that
+    would take more room than the bytes are searched in order instead.
+    """
+    n, far = len(raw), len(raw) + 1
+    place, mask = np.arange(n, dtype=np.uint64), np.uint64(avg - 1)
+    p = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(rotated(GEAR[raw], np.uint64(64) - (place & np.uint64(63))))])
+    turns = np.arange(64, dtype=np.uint64)
+    keys = (place & np.uint64(63)) * np.uint64(avg) + (rotated(p[1:], place) & mask)  # of end i + 1
+    order = np.sort(keys << np.uint64(32) | (place + np.uint64(1)))
+    ends, same = (order & np.uint64(0xFFFFFFFF)).astype(np.int32), np.diff(order >> np.uint64(32)) == 0
+    later = np.full(n + 2, far, np.int32)  # the next end of the same key
+    later[ends[:-1]] = np.where(same, ends[1:], far)
+    heads = None
+    if 64 * avg <= 4 * n + (1 << 20):
+        heads, keys = np.full(64 * avg, far, np.int32), keys.astype(np.int64)
+        heads[keys[least - 1 :][::-1]] = np.arange(n, least - 1, -1, dtype=np.int32)  # of equal keys the last one written, so the first end, stays
+
+    def ahead(s: np.ndarray) -> np.ndarray:
+        key = turns * np.uint64(avg) + (rotated(p[s][:, None], turns) & mask)
+        if heads is None:
+            at = np.minimum(np.searchsorted(order, key << np.uint64(32) | (s.astype(np.uint64)[:, None] + np.uint64(least))), n - 1)
+            found = np.where(order[at] >> np.uint64(32) == key, ends[at], far)
+            found[found < s[:, None] + least] = far
+        else:
+            found, behind = heads[key.astype(np.int64)].ravel(), np.repeat(np.minimum(s + least, far), 64)
+            early = np.flatnonzero(found < behind)
+            while len(early):
+                found[early] = later[found[early]]
+                early = early[found[early] < behind[early]]
+        return np.minimum(found.reshape(-1, 64).min(axis=1), np.minimum(s + most, n))
+
+    cuts, met = np.zeros(size, np.int64), np.zeros(size, bool)
+    met[:entries] = True
+    for lo in range(0, size, least):
+        starts = lo + np.flatnonzero(met[lo : lo + least])
+        for i in range(0, len(starts), 1 << 12):
+            s = starts[i : i + (1 << 12)]
+            cuts[s] = ahead(s)
+        to = cuts[starts]
+        met[to[to < size]] = True
+        if heads is not None:
+            passed = slice(lo + least - 1, lo + 2 * least - 1)
+            heads[keys[passed]] = later[1:][:n][passed]
+    return leaving(cuts, least)[:entries]
+
+
 def ranged(parts: DataFrame, key: str, order: str, data: str, least: int = MIN, avg: int = AVG, most: int = MAX, size: int | None = None, fan: int = 64, keep: bool = False) -> DataFrame:
     """What ``streamed`` gives, for blobs too large for one task: ranges of ``size`` bytes are cut side by side.
 
@@ -268,7 +319,7 @@ def ranged(parts: DataFrame, key: str, order: str, data: str, least: int = MIN,
     def maps(table: pa.Table) -> pa.Table:
         number, whole = table["range"][0].as_py(), table["whole"][0].as_py()
         raw, here = bytes_of(table, number), min(size, whole - number * size)
-        out = leaving(next_cuts(raw, here, least, avg, most), least)[:most] - size
+        out = exits(raw, here, min(here, most), least, avg, most) - size
         if number * size + size >= whole:
             out[:] = 0  # the chain ends here
         return pa.table({key: table[key].slice(0, 1), "node": pa.array([number], pa.int64()), "level": pa.array([0], pa.int64()), "map": pa.array([out.astype("<i8").tobytes()], pa.binary())})

@@ -111,3 +111,23 @@ def test_edges_are_not_shuffled_again(spark):
     edges = graph.bucketed(spark.range(1000).selectExpr("id as src", "id + 1 as dst"), "src")
     plan = edges.hint("merge").join(spark.range(500).selectExpr("id as src"), "src", "left_semi")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize(("n", "params"), [(3000, (64, 256, 1024)), (700, (1, 2, 7)), (5000, (16, 1 << 16, 400)), (200_000, (64, 1 << 16, 100_000)), (64, (5, 4, 6))])
+def test_exits(n, params):
+    """The places that chains meet lead where all places lead, by linked keys and by search."""
+    rnd = np.random.default_rng(n)
+    for symbols in (2, 256):
+        raw = rnd.integers(0, symbols, n, dtype=np.uint8)
+        for size, entries in ((n, n), (n // 2, min(n // 2, params[2])), (1, 1)):
+            every = chunking.leaving(chunking.next_cuts(raw, size, *params), params[0])[:entries]
+            assert (chunking.exits(raw, size, entries, *params) == every).all()
+
+
+def test_ranges_cost(monkeypatch):
+    """A range looks up the places that its chains meet, not each of its bytes."""
+    raw, (least, avg, most) = np.random.default_rng(1).integers(0, 256, 1 << 18, dtype=np.uint8), PARAMS
+    asked, rotated = [], chunking.rotated
+    monkeypatch.setattr(chunking, "rotated", lambda x, left: asked.append(x.size) or rotated(x, left))
+    chunking.exits(raw, len(raw), most, least, avg, most)
+    assert sum(asked) < 2 * len(raw) + len(raw) // 8  # two passes over the bytes, then the places asked
