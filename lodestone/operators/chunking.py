@@ -357,16 +357,16 @@ def ranged(parts: DataFrame, key: str, order: str, data: str, least: int = MIN,
 
     def cut(table: pa.Table) -> pa.Table:
         number, whole, entry = table["range"][0].as_py(), table["whole"][0].as_py(), table["entry"][0].as_py()
-        raw, out, base = bytes_of(table, number), _Chunks(table.schema.field(key).type, keep), number * size
-        while entry < min(size, whole - base):
-            ends = Cutter(least, avg, most).ends(raw[entry : entry + most])
-            end = entry + (ends[0] if ends else len(raw) - entry)
-            out.add(table[key][0].as_py(), None, base + entry, [raw[entry:end].tobytes()])
-            entry = end
+        raw, out, base, here = bytes_of(table, number), _Chunks(table.schema.field(key).type, keep), number * size, min(size, whole - number * size)
+        ends = Cutter(least, avg, most, min(1 << 16, 2 * avg)).ends(raw[entry:]) if entry < here else []
+        for end in [*(entry + e for e in ends), len(raw)]:
+            if entry < min(here, end):
+                out.add(table[key][0].as_py(), None, base + entry, [raw[entry:end].tobytes()])
+                entry = end
         return pa.Table.from_batches([out.take(key)])
 
     made = pieces.join(entries.withColumnRenamed("node", "range"), [key, "range"]).groupBy(key, "range").applyInArrow(lambda t: cut(t), f"{key} {kind}, ordinal long, offset long, size long, content string, bytes binary")
-    made = running(made.drop("ordinal").withColumn("_one", F.lit(1).cast("long")), [key, "offset"], "_one", "_nth")
+    made = running(written(made.drop("ordinal")).withColumn("_one", F.lit(1).cast("long")), [key, "offset"], "_one", "_nth")
     first = made.groupBy(key).agg(F.min("_nth").alias("_first"))
     return made.join(first, key).select(key, (F.col("_nth") - F.col("_first")).alias("ordinal"), "offset", "size", "content", "bytes")
 
