@@ -2,7 +2,8 @@
 
 Objects lie at <folder>/content/<first two digits>/<digest>. A task stages an object beside its place, hashes it, and
 moves it there, so a reader never sees half of one; tasks that are repeated or run twice put the same bytes in
-the same place. An object that is there is kept if its bytes are right and replaced if not. When
+the same place. An object that is there is kept if its bytes are right and replaced if not. ``put`` brings equal bytes
+together first, so one task makes an object and it counts as new once; rows written without it may meet in two tasks. When
 all tasks are done, commits/<job>.json tells what the job did; an aborted job's staged files are removed.
 
 Any file system that pyarrow opens will do (mounted folders, hdfs, s3, gs); s3a is read as s3.
@@ -45,14 +46,14 @@ class Put(WriterCommitMessage):
 
 
 class ContentFolder(DataSource):
-    """Rows of (id, content): id may be null, or else has to be the identity of content."""
+    """Rows of (id, content, copies): id may be null, or else has to be the identity of content; copies is how many rows this one stands for."""
 
     @classmethod
     def name(cls) -> str:
         return "content_folder"
 
     def schema(self) -> str:
-        return "id string, content binary"
+        return "id string, content binary, copies long"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
@@ -68,13 +69,13 @@ class _Writer(DataSourceWriter):
         from pyarrow import fs
 
         store, root = opened(self.folder)
-        done, made = Put(0, 0, 0, 0), set()
+        done, made, folders = Put(0, 0, 0, 0), set(), set()
         for row in rows:
             data = bytes(row["content"])
             digest = hashlib.sha256(data).hexdigest()
             if row["id"] is not None and row["id"].lower() != f"sha256:{digest}":
                 raise ValueError(f"content of {row['id']} is sha256:{digest}")
-            done.objects, done.size = done.objects + 1, done.size + len(data)
+            done.objects, done.size = done.objects + row["copies"], done.size + row["copies"] * len(data)
             if digest in made:
                 continue
             made.add(digest)
@@ -88,8 +89,9 @@ class _Writer(DataSourceWriter):
             else:
                 done.new += 1
             staged = f"{root}/staging/{self.job}/{uuid.uuid4().hex}"
-            for folder in (staged, to):
-                store.create_dir(folder.rsplit("/", 1)[0], recursive=True)
+            for folder in {staged.rsplit("/", 1)[0], to.rsplit("/", 1)[0]} - folders:
+                store.create_dir(folder, recursive=True)
+                folders.add(folder)
             with store.open_output_stream(staged) as f:
                 f.write(data)
             store.move(staged, to)
@@ -117,8 +119,11 @@ class _Writer(DataSourceWriter):
 def put(rows: DataFrame, folder: str, content: str = "content", identity: str | None = None, role: str = "content") -> None:
     """Writes the bytes of rows as objects of a role; with identity, bytes of another identity fail the job. Null contents are left out."""
     rows.sparkSession.dataSource.register(ContentFolder)
-    named = F.lit(None).cast("string") if identity is None else F.col(identity)
-    rows.where(F.col(content).isNotNull()).select(named.alias("id"), F.col(content).cast("binary").alias("content")).write.format("content_folder").mode("append").option("role", role).save(folder)
+    own = F.concat(F.lit("sha256:"), F.sha2(F.col(content).cast("binary"), 256))
+    named = own if identity is None else F.coalesce(F.lower(identity), own)
+    # copies become one row before the shuffle; if two tasks found an object missing, both would count it as new
+    each = rows.where(F.col(content).isNotNull()).select(named.alias("id"), F.col(content).cast("binary").alias("content")).groupBy("id", "content").agg(F.count("*").alias("copies"))
+    each.write.format("content_folder").mode("append").option("role", role).save(folder)
 
 
 def objects(spark: SparkSession, folder: str, role: str = "content") -> DataFrame:

@@ -31,6 +31,16 @@ def test_identical_writes_converge(spark, tmp_path):
     assert sorted((r.objects, r["size"]) for r in done) == [(201, 1800)] * 2 and min(r.new for r in done) == 0
 
 
+def test_each_object_is_new_once(spark, tmp_path):
+    """Copies in all tasks at once, named in several ways: every text counts as new in one task only."""
+    rows = spark.range(4000, numPartitions=8).select(F.lpad((F.col("id") % 500).cast("string"), 2000, "x").cast("binary").alias("content"), "id")
+    named = F.when(F.col("id") % 3 == 0, F.concat(F.lit("sha256:"), F.upper(F.sha2("content", 256)))).when(F.col("id") % 3 == 1, F.concat(F.lit("SHA256:"), F.sha2("content", 256)))
+    for i in range(3):
+        content.put(rows.withColumn("id", named), f"{tmp_path}/{i}", identity="id")
+        done = content.commits(spark, f"{tmp_path}/{i}").first()
+        assert (done.objects, done.new, done["size"]) == (4000, 500, 4000 * 2000)
+
+
 def test_corrupt_object_is_replaced(spark, tmp_path):
     rows = spark.createDataFrame([(b"good",), (b"other",)], "content binary")
     content.put(rows, str(tmp_path))
