@@ -80,7 +80,8 @@ class HistoryLog:
             return None
         rows = self.spark.read.option("mergeSchema", "true").parquet(self._path(name)).where(F.col("commit_id").isin(old)).drop("commit_id")
         commit_id = uuid.uuid4().hex
-        self.stage(commit_id, {name: (last_wins(rows, keys, order) if keys else rows).coalesce(files)})
+        # a shuffle between: coalesced, as few tasks as files would also group and sort all rows
+        self.stage(commit_id, {name: (last_wins(rows, keys, order) if keys else rows).repartition(files)})
         self.publish(commit_id, [name], [(name, c) for c in old])
         return commit_id
 

@@ -122,3 +122,18 @@ def test_runner_keeps_attempts(spark, tmp_path):
     assert later.realizations().count() == 1 == later.log.table("outputs").count()
     attempt = later.attempts().where("name = 't'").first()
     assert not later.retry(attempt.id, {attempt.action_key: (action, work)}).hit
+
+
+def test_compaction_groups_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Few files are written, but not by few tasks that group all rows."""
+    log, plans = HistoryLog(spark, str(tmp_path)), []
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("at"))
+    log.commit(t=rows)
+    log.commit(t=rows.withColumn("at", F.col("at") + 1))
+    stage = log.stage
+    monkeypatch.setattr(log, "stage", lambda c, tables: plans.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in tables.values()) or stage(c, tables))
+    made = log.compact("t", ["id"], ["at"], files=2)
+    assert "Repartition 2, true" in plans[0]
+    stored = spark.read.parquet(f"{tmp_path}/tables/t").where(F.col("commit_id") == made)
+    assert stored.select(F.input_file_name()).distinct().count() == 2 and stored.count() == 1000
+    assert {r.id: r.at for r in log.table("t").collect()} == {i: i % 7 + 1 for i in range(1000)}
