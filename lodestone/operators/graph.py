@@ -19,6 +19,15 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Rows that a side of a join may have to be sent to all tasks by way of the driver. Sizes of files don't tell: they are compressed.
+SENT = 100_000
+
+
+def shared(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many rows, as a side of a join: one of more than SENT is joined where it lies and not broadcast."""
+    return df.hint("merge") if rows > SENT else df
+
+
 def bucketed(df: DataFrame, by: str) -> DataFrame:
     """df in the shared folder, dealt out and sorted by a column, and registered under a name of its own: joins on that column don't shuffle it again."""
     spark, path = df.sparkSession, folder(df.sparkSession)
@@ -36,11 +45,14 @@ def closure(roots: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Da
     """
     edges = bucketed(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "src")
     frontier = written(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    rounds = [frontier]
+    rounds, new = [frontier], frontier.count()
+    total = new
     for depth in range(1, most_rounds + 1):
-        step = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(union(rounds).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        step = edges.join(shared(frontier.select(F.col("node").alias("src")), new), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = written(step.join(shared(union(rounds).select("node"), total), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        new = frontier.count()
+        total += new
+        if not new:
             return union(rounds)
         rounds.append(frontier)
         if len(rounds) > 8:
@@ -113,17 +125,19 @@ def levels(dependencies: dict[str, Iterable[str]]) -> list[list[str]]:
 
 def level_table(tasks: DataFrame, dependencies: DataFrame) -> DataFrame:
     """task, level for a DAG as tables (task; task, depends_on): the longest path to a source. Raises on a cycle."""
-    nodes = tasks.select("task").distinct()
-    edges = written(dependencies.join(nodes.withColumnRenamed("task", "depends_on"), "depends_on", "left_semi").select("task", "depends_on").distinct())
-    waiting, level = edges.select("task").distinct(), 0
-    ready = written(nodes.join(waiting, "task", "left_anti").withColumn("level", F.lit(level)))
+    nodes = written(tasks.select("task").distinct())
+    of = shared(nodes.withColumnRenamed("task", "depends_on"), nodes.count())
+    edges = written(dependencies.join(of, "depends_on", "left_semi").select("task", "depends_on").distinct())
+    level, waiting = 0, edges.count()
+    ready = written(nodes.join(shared(edges.select("task").distinct(), waiting), "task", "left_anti").withColumn("level", F.lit(level)))
     rounds = [ready]
-    while not edges.isEmpty():
-        if ready.isEmpty():
+    while waiting:
+        new = ready.count()
+        if not new:
             raise ValueError("cycle")
-        left = written(edges.join(ready.select(F.col("task").alias("depends_on")), "depends_on", "left_anti"))
-        level += 1
-        ready = written(edges.select("task").distinct().join(left.select("task").distinct(), "task", "left_anti").withColumn("level", F.lit(level)))
+        left = written(edges.join(shared(ready.select(F.col("task").alias("depends_on")), new), "depends_on", "left_anti"))
+        level, waiting = level + 1, left.count()
+        ready = written(edges.select("task").distinct().join(shared(left.select("task").distinct(), waiting), "task", "left_anti").withColumn("level", F.lit(level)))
         edges = left
         rounds = [written(union(rounds)), ready] if len(rounds) > 8 else [*rounds, ready]
     return union(rounds)
@@ -145,16 +159,19 @@ def first_visits(roots: DataFrame, edges: DataFrame) -> DataFrame:
     settled. A number takes two bytes of a path up to 255 children, three up to 65,535. Raises on a cycle.
     """
     asked = roots.select(F.lit(None).cast(dict(edges.dtypes)["src"]).alias("src"), F.col("node").alias("dst"), "nth")
-    every = written(asked.unionByName(edges.select("src", "dst", "nth").join(closure(roots, edges).select(F.col("node").alias("src")), "src", "left_semi")).where("dst is not null").groupBy("src", "dst").agg(F.min("nth").alias("nth")))
+    reached = closure(roots, edges).select(F.col("node").alias("src"))
+    every = written(asked.unionByName(edges.select("src", "dst", "nth").join(shared(reached, reached.count()), "src", "left_semi")).where("dst is not null").groupBy("src", "dst").agg(F.min("nth").alias("nth")))
     # children by their place, from 0, so that numbers are short; a hot parent's children are numbered by ranges
     placed = numbered(every, ["src", "nth", "dst"], "place")
     start = placed.groupBy(F.col("src").alias("_src")).agg(F.min("place").alias("_start"))
-    joined = placed.join(start, F.col("src").eqNullSafe(F.col("_src"))).select("src", "dst", (F.col("place") - F.col("_start")).alias("k"))
+    some = every.count()
+    joined = placed.join(shared(start, some), F.col("src").eqNullSafe(F.col("_src"))).select("src", "dst", (F.col("place") - F.col("_start")).alias("k"))
     digits = F.hex("k")
     digits = F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits)
     whole = F.concat(F.lpad(F.hex((F.length(digits) / 2).cast("int")), 2, "0"), digits)
     whole = written(joined.select("src", "dst", F.unhex(whole).alias("own")))
     needed = written(whole.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("parents")))
+    needed = shared(needed, needed.count())
     edges = bucketed(whole.where("src is not null"), "src")
     reached = whole.where("src is null").select(F.col("dst").alias("node"), F.col("own").alias("path"), F.lit(1).cast("long").alias("seen"))
     waiting, settled = None, []
@@ -163,12 +180,13 @@ def first_visits(roots: DataFrame, edges: DataFrame) -> DataFrame:
         state = written(all_.groupBy("node").agg(F.min("path").alias("path"), F.sum("seen").alias("seen")).join(needed, "node"))
         done = state.where("seen = parents").select("node", "path")
         waiting = state.where("seen < parents").select("node", "path", "seen")
-        if done.isEmpty():
+        new = done.count()
+        if not new:
             if not waiting.isEmpty():
                 raise ValueError("cycle")
             return union(settled) if settled else done
         settled = [written(union([*settled, done]))] if len(settled) > 7 else [*settled, done]
-        reached = edges.join(done.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.concat("path", "own").alias("path"), F.lit(1).cast("long").alias("seen"))
+        reached = edges.join(shared(done.withColumnRenamed("node", "src"), new), "src").select(F.col("dst").alias("node"), F.concat("path", "own").alias("path"), F.lit(1).cast("long").alias("seen"))
 
 
 def layer_edges(artifacts: DataFrame, collections: DataFrame, tree_entries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -193,7 +211,8 @@ def image_layers(roots: DataFrame, edges: DataFrame, artifacts: DataFrame, objec
     artifacts (id, size) are manifests, objects (id, size) contents; what neither holds has no layer.
     """
     both = artifacts.select("id", "size", F.lit("artifact-manifest").alias("role")).unionByName(objects.select("id", "size", F.lit("content").alias("role")))
-    layers = first_visits(roots, edges).join(both.withColumnRenamed("id", "node"), "node")
+    visits = first_visits(roots, edges)
+    layers = shared(visits, visits.count()).join(both.withColumnRenamed("id", "node"), "node")
     return numbered(layers, ["path"], "ordinal").select("node", "role", "ordinal", "size")
 
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, graph
 
@@ -131,3 +132,19 @@ def test_ranges_cost(monkeypatch):
     monkeypatch.setattr(chunking, "rotated", lambda x, left: asked.append(x.size) or rotated(x, left))
     chunking.exits(raw, len(raw), most, least, avg, most)
     assert sum(asked) < 2 * len(raw) + len(raw) // 8  # two passes over the bytes, then the places asked
+
+
+def test_large_sides_are_not_sent(spark, monkeypatch):
+    """Frontiers and tables of a walk that have many rows are joined where they lie, with the same results."""
+    n = 300
+    edges = spark.range(n).select(F.col("id").alias("src"), F.explode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2)).alias("dst"), F.lit(0).alias("nth")).where(f"dst < {n}")
+    roots = spark.createDataFrame([(0, 0)], "node long, nth int")
+    tasks, needs = spark.range(n).select(F.col("id").alias("task")), edges.select(F.col("src").alias("task"), F.col("dst").alias("depends_on"))
+    run = lambda: ({r.node: r.depth for r in graph.closure(roots, edges).collect()}, {r.task: r.level for r in graph.level_table(tasks, needs).collect()}, {r.node: bytes(r.path) for r in graph.first_visits(roots, edges).collect()})
+    before, hinted = run(), []
+    monkeypatch.setattr(graph, "SENT", 20)
+    shared = graph.shared
+    monkeypatch.setattr(graph, "shared", lambda df, rows: hinted.append(rows > 20) or shared(df, rows))
+    assert run() == before and any(hinted) and not all(hinted)
+    plan = roots.join(graph.shared(tasks.withColumnRenamed("task", "node"), n), "node")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
