@@ -16,7 +16,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,6 @@ from .graph import running
 from .runs import hashed_runs
 
 MIN, AVG, MAX = 512 << 10, 2 << 20, 8 << 20  # fixed defaults
-CHUNKS = "array<struct<ordinal:int,offset:bigint,size:bigint,content:string>>"
 
 
 def _gear() -> np.ndarray:
@@ -47,7 +45,7 @@ def rotated(x: np.ndarray, left: np.ndarray) -> np.ndarray:
     return (x << left) | (x >> ((np.uint64(64) - left) & np.uint64(63)))
 
 
-def boundaries(data: bytes, least: int = MIN, avg: int = AVG, most: int = MAX, step: int = 1 << 16) -> list[int]:
+def boundaries(data: bytes | pa.Buffer, least: int = MIN, avg: int = AVG, most: int = MAX, step: int = 1 << 16) -> list[int]:
     """Where chunks end: after at least least bytes, where the rolling value's low bits are zero, or after most bytes."""
     raw, mask, ends, start = np.frombuffer(data, np.uint8), np.uint64(avg - 1), [], 0
     while start < len(raw):
@@ -68,18 +66,22 @@ def boundaries(data: bytes, least: int = MIN, avg: int = AVG, most: int = MAX, s
 def chunks(rows: DataFrame, key: str, data: str, least: int = MIN, avg: int = AVG, most: int = MAX) -> DataFrame:
     """key, ordinal, offset, size, content of each chunk; an empty blob has none."""
 
-    @F.pandas_udf(CHUNKS)
-    def cut(blobs: pd.Series) -> pd.Series:
-        def one(blob: bytes | None) -> list[dict]:
-            blob, out, at = bytes(blob or b""), [], 0
-            for i, end in enumerate(boundaries(blob, least, avg, most)):
-                out.append({"ordinal": i, "offset": at, "size": end - at, "content": "sha256:" + hashlib.sha256(blob[at:end]).hexdigest()})
-                at = end
-            return out
+    kind = dict(rows.dtypes)[key]
 
-        return blobs.map(one)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _Chunks(batch.schema.field(0).type, False)
+            for k, blob in zip(batch.column(0), batch.column(1), strict=True):
+                raw, k, at = blob.as_buffer() if blob.is_valid else b"", k.as_py(), 0
+                for i, end in enumerate(boundaries(raw, least, avg, most)):
+                    out.add(k, i, at, [memoryview(raw)[at:end]])
+                    at = end
+                    if out.full():
+                        yield out.take(key)
+            yield out.take(key)
 
-    return rows.select(key, F.explode(cut(F.col(data).cast("binary"))).alias("c")).select(key, "c.*")
+    made = rows.select(key, F.col(data).cast("binary").alias("data")).mapInArrow(cut, f"`{key}` {kind}, ordinal long, offset long, size long, content string, bytes binary")
+    return made.select(key, F.col("ordinal").cast("int").alias("ordinal"), "offset", "size", "content")
 
 
 def chunk_content(rows: DataFrame, listed: DataFrame, key: str, data: str) -> DataFrame:
@@ -89,18 +91,9 @@ def chunk_content(rows: DataFrame, listed: DataFrame, key: str, data: str) -> Da
 
 
 def reassembled(listed: DataFrame, content: DataFrame, headers: DataFrame, key: str) -> DataFrame:
-    """key, size, sha256, valid: chunks joined in order against the header's logical size and digest."""
-
-    def join(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups:
-            whole = [(b"".join(bytes(p["bytes"]) for p in sorted(parts, key=lambda p: p["ordinal"]) if p["bytes"] is not None)) for parts in g["parts"]]
-            yield pd.DataFrame({key: g[key], "size": [len(w) for w in whole], "sha256": [hashlib.sha256(w).hexdigest() for w in whole]})
-
-    # a blob without chunks is empty, and has a header all the same
-    parts = headers.select(key).join(listed.join(content, "content", "left"), key, "left").groupBy(key).agg(F.collect_list(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "bytes"))).alias("parts"))
-    made = parts.mapInPandas(join, f"{key} {dict(listed.dtypes)[key]}, size long, sha256 string")
-    ok = (F.col("size") == F.col("logical_size")) & (F.col("sha256") == F.col("logical_sha256"))
-    return made.join(headers, key).select(key, "size", "sha256", F.coalesce(ok, F.lit(False)).alias("valid"))
+    """key, size, sha256, valid: chunks in order against the header's logical size and digest, a batch of chunks at a time; no blob is held whole."""
+
+    return put_together(listed, content, headers, key).withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
 def reuse(listed: DataFrame) -> DataFrame:

@@ -148,3 +148,14 @@ def test_large_sides_are_not_sent(spark, monkeypatch):
     assert run() == before and any(hinted) and not all(hinted)
     plan = roots.join(graph.shared(tasks.withColumnRenamed("task", "node"), n), "node")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_putting_together_holds_no_blob(spark, monkeypatch):
+    """Blobs are joined a batch of chunks at a time, by the runs that hash them, and never as one list of parts."""
+    rows = spark.createDataFrame([(i, bytes([i % 251]) * (i * 37 % 5000)) for i in range(60)] + [(99, None)], "k long, b binary")
+    listed = chunking.chunks(rows, "k", "b", *PARAMS)
+    headers = rows.select("k", F.coalesce(F.octet_length("b"), F.lit(0)).cast("bigint").alias("logical_size"), F.sha2(F.coalesce("b", F.lit(b"")), 256).alias("logical_sha256"))
+    made = chunking.reassembled(listed, chunking.chunk_content(rows, listed, "k", "b"), headers, "k")
+    assert dict(listed.dtypes)["ordinal"] == "int" and made.where("valid").count() == 61
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "collect_list" not in plan and "Pandas" not in plan and "ArrowEval" not in plan
