@@ -284,7 +284,7 @@ def exits(raw: np.ndarray, size: int, entries: int, least: int, avg: int, most:
 def ranged(parts: DataFrame, key: str, order: str, data: str, least: int = MIN, avg: int = AVG, most: int = MAX, size: int | None = None, fan: int = 64, keep: bool = False) -> DataFrame:
     """What ``streamed`` gives, for blobs too large for one task: ranges of ``size`` bytes are cut side by side.
 
-    Costs about 64 lookups for each byte where ``streamed`` takes one step, but no task runs over more
+    Costs 64 lookups for each place that a range's chains meet where ``streamed`` takes one step a byte, but no task runs over more
     than a range and the longest chunk. Maps hold ``most`` places; ``fan`` of them are composed in a task,
     level by level, and entries are handed down the same way. Keys are not null.
     """
