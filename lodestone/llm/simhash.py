@@ -275,7 +275,15 @@ def small_pairs(grouped: DataFrame, least: Fraction) -> DataFrame:
                 fine = sized(n[a], n[b], least)
                 yield links_of(node[a[fine]], node[b[fine]])
 
-    return arrow_map(grouped.where(F.size("node") <= SMALL), scan, "src long, dst long")
+    # copies of two fingerprints meet in all variants of a ball: equal groups are one before their pairs are made
+    return arrow_map(grouped.where(F.size("node") <= SMALL).groupBy("node").agg(F.first("n").alias("n")), scan, "src long, dst long")
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (src, dst) that found (node, component) doesn't have in one component."""
+    side = lambda name, column: found.select(F.col("node").alias(name), F.col("component").alias(column))
+    both = pairs.join(side("src", "_a"), "src", "left").join(side("dst", "_b"), "dst", "left")
+    return both.where(F.coalesce("_a", "src") != F.coalesce("_b", "dst")).select("src", "dst")
 
 
 def alike_sets(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
@@ -333,26 +341,11 @@ def most_bits(least: float, bits: int, deviations: float | None) -> float:
     return bits if deviations is None else bits * share + deviations * np.sqrt(bits * share * (1 - share))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows in order of key as tables that hold whole groups."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        key = part.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield part.slice(0, cut)
-        held = part.slice(cut)
-    if held is not None:
-        yield held
-
-
 def plausible(rows: pa.Table, least: Fraction, parts: int, deviations: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs of different components in a group whose sizes and whole fingerprints allow the similarity.
 
-    A pair comes up in one group only: of the first part where it meets, that which stands for the smallest variant there.
+    A pair comes up in one group only: of the first part where it meets, counted from one that depends on the pair, so that parts
+    have equal shares, that which stands for the smallest variant there.
     """
     most = most_bits(float(least), 32 * parts, deviations)
     key, node, n, own = (rows.column(c).to_numpy() for c in ("key", "node", "n", "component"))
@@ -369,21 +362,52 @@ def plausible(rows: pa.Table, least: Fraction, parts: int, deviations: float | N
                     x, y = i[lot] + p, j[lot] + q
                     bits = np.bitwise_count(prints[x] ^ prints[y])
                     near = np.flatnonzero(bits.sum(axis=1) <= most)
-                    x, y, first = x[near], y[near], (bits[near] <= 2).argmax(axis=1)
+                    x, y, bits = x[near], y[near], bits[near]
+                    turn = ((node[x] ^ node[y]).view(np.uint64) % np.uint64(parts)).astype(np.int64)[:, None] + np.arange(parts)
+                    first = (np.take_along_axis(bits, turn % parts, 1) <= 2).argmax(axis=1)
+                    first = turn[np.arange(len(x)), first] % parts
+                    here = bits[np.arange(len(x)), first]
                     u, v = prints[x, first], prints[y, first]
                     other = u ^ v
                     low = other & (~other + np.uint32(1))  # the lowest differing bit
-                    variant = np.where(bits[near, first] == 0, u, np.where(bits[near, first] == 1, np.minimum(u, v), np.minimum(u ^ low, v ^ low)))
+                    variant = np.where(here == 0, u, np.where(here == 1, np.minimum(u, v), np.minimum(u ^ low, v ^ low)))
                     here = np.isin(first.astype(np.int64) << 32 | variant.astype(np.int64), keys)
                     if here.any():
                         yield x[here], y[here]
 
 
+def homes(alike: DataFrame) -> DataFrame:
+    """node, home: one label, mostly, for the members of groups that share members; only where groups are looked at depends on it.
+
+    The members that a batch's groups connect get their smallest node; of several batches' labels the smallest counts.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size = batch.column(0).flatten().to_numpy(), batch.column(0).value_lengths().to_numpy()
+            src, dst = forest(node[np.repeat(np.cumsum(size) - size, size)], node)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(src, pa.int64()), "home": pa.array(dst, pa.int64())})
+
+    # by part, so that few batches meet all members of a cluster
+    dealt = alike.select("node", "key", "part").repartition("part", F.pmod(F.xxhash64("key"), F.lit(2))).select("node")
+    return arrow_map(dealt, scan, "node long, home long").groupBy("node").agg(F.min("home").alias("home"))
+
+
 def in_blocks(alike: DataFrame, most: int = MEMBERS) -> DataFrame:
-    """alike with a column block: groups are dealt out so that a block's members have about so many shingles, all groups together."""
-    total = alike.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    """alike with a column block: groups are dealt out so that a block's members have about so many shingles, all groups together.
+
+    The groups of a cluster lie in one block, those of a large cluster in one for each part, and only what is more than a block
+    there is dealt out by group. So members are asked for in few blocks, however many groups they are in.
+    """
+    first = alike.withColumn("_first", F.element_at("node", 1)).join(homes(alike).withColumnRenamed("node", "_first"), "_first", "left")
+    first = table(first.withColumn("home", F.coalesce("home", "_first")).withColumn("_size", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).drop("_first"))
+    sizes = table(first.groupBy("home", "part").agg(F.sum("_size").alias("_here")))
+    whole = sizes.groupBy("home").agg(F.sum("_here").alias("_all"))
+    total = whole.agg(F.sum("_all")).first()[0] or 0
     lots = max(total // most + 1, partitions(alike.sparkSession))
-    return alike.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(lots)).cast("int"))
+    large = sizes.join(whole.where(F.col("_all") > most // 100), "home").select("home", "part", F.expr(f"_here div {most} + 1").alias("_pieces"))
+    place = F.when(F.col("_pieces").isNull(), F.xxhash64("home")).otherwise(F.xxhash64("home", "part", F.pmod(F.xxhash64("key"), "_pieces")))
+    return first.join(large, ["home", "part"], "left").withColumn("block", F.pmod(place, F.lit(lots)).cast("int")).select("part", "node", "key", "keys", "n", "block")
 
 
 def asked(groups: DataFrame) -> DataFrame:
@@ -398,68 +422,72 @@ def asked(groups: DataFrame) -> DataFrame:
     return arrow_map(groups.select("block", "node").repartition("block"), scan, "block int, node long").distinct()
 
 
-def partnered(groups: DataFrame, answers: DataFrame, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
-    """key, node, n, component, prints, keys: the members of groups that have a plausible partner of another component there.
+def across(groups: pa.Table, answers: pa.Table, least: Fraction, parts: int, deviations: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in answers of the pairs that ``plausible`` gives, some groups at a time.
 
-    groups has block, key, keys, node, n (arrays, in order of node); answers has block, node, component, prints of each
-    block's members. A block and its answers meet in one task.
+    groups has key, keys, node, n (arrays, in order of node), answers has node (in order), component, prints. Members
+    that answers lacks are left out.
     """
-    columns = ["key", "node", "n", "component", "prints", "keys"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    schema = pa.schema(list(zip(columns, types, strict=True)))
-
-    def meet(groups: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("node").combine_chunks()
-        names, of = answers.column("node").to_numpy(), answers.column("component").to_numpy()
-        out = []
-        for lot in groups.to_batches(max_chunksize=64):
-            size = lot.column("node").value_lengths().to_numpy()
-            at = np.searchsorted(names, lot.column("node").flatten().to_numpy())
-            start = np.cumsum(size) - size
-            several = np.minimum.reduceat(of[at], start) != np.maximum.reduceat(of[at], start)
-            left, group = np.repeat(several, size), np.repeat(np.arange(len(size)), size)
-            if not left.any():
-                continue
-            at, group, order = at[left], group[left], np.argsort(lot.column("key").to_numpy()[group[left]], kind="stable")
-            flat = {c: lot.column(c).flatten().filter(pa.array(left)) for c in ("node", "n")}
-            flat |= {c: answers.column(c).take(pa.array(at)) for c in ("component", "prints")} | {c: lot.column(c).take(pa.array(group)) for c in ("key", "keys")}
-            rows = pa.table({c: flat[c] for c in columns}).cast(schema).take(pa.array(order))
-            some = np.zeros(rows.num_rows, bool)
-            for x, y in plausible(rows, least, parts, deviations):
-                some[x] = some[y] = True
-            out.append(rows.filter(pa.array(some)))
-        return pa.concat_tables(out) if out else schema.empty_table()
-
-    sides = (df.groupBy("block") for df in (groups.select("block", "key", "keys", "node", "n"), answers.select("block", "node", "component", "prints")))
-    return next(sides).cogroup(next(sides)).applyInArrow(meet, "key long, node long, n long, component long, prints array<int>, keys array<long>")
+    names, of = answers.column("node").to_numpy(), answers.column("component").to_numpy()
+    for lot in groups.to_batches(max_chunksize=64) if len(names) else []:
+        node, size = lot.column("node").flatten().to_numpy(), lot.column("node").value_lengths().to_numpy()
+        at = np.minimum(np.searchsorted(names, node), len(names) - 1)
+        there, group = names[at] == node, np.repeat(np.arange(len(size)), size)
+        low, high = np.full(len(size), np.iinfo(np.int64).max), np.full(len(size), np.iinfo(np.int64).min)
+        np.minimum.at(low, group[there], of[at[there]]), np.maximum.at(high, group[there], of[at[there]])
+        left = np.flatnonzero(there & (low < high)[group])
+        if not len(left):
+            continue
+        left = left[np.argsort(lot.column("key").to_numpy()[group[left]], kind="stable")]
+        at, group = at[left], pa.array(group[left])
+        rows = pa.table({c: lot.column(c).take(group) for c in ("key", "keys")} | {c: lot.column(c).flatten().take(pa.array(left)) for c in ("node", "n")} | {c: answers.column(c).take(pa.array(at)) for c in ("component", "prints")})
+        for x, y in plausible(rows, least, parts, deviations):
+            yield at[x], at[y]
 
 
 def links_across(groups: DataFrame, members: DataFrame, found: DataFrame, sets: DataFrame, least: Fraction, parts: int, deviations: float | None) -> DataFrame:
-    """src, dst: a spanning forest of each group's links between different components.
+    """src, dst: enough links between different components to connect, block by block, what all such links of its groups connect.
 
     groups has block, key, keys (the variants that a group stands for), node, n (arrays), members has block, node, prints;
-    found has the components so far, sets the members' shingles. Groups of several components are compared tile by tile in the task that
-    holds them, first by fingerprints; members with a plausible partner fetch their whole sets, meet
-    again and are compared exactly. Pairs never leave the task.
+    found has the components so far, sets the members' shingles. A block and its members meet in one task, where groups of several
+    components are compared tile by tile, first by fingerprints; members with a plausible partner fetch their whole sets once a block
+    and are compared exactly there. Neither pairs nor members of single groups leave a task.
     """
-    answers = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches):
-            node, column = rows.column("node").to_numpy(), rows.column("shingles").combine_chunks()
-            at, value = column.offsets.to_numpy(), column.values.to_numpy()
-            src, dst = [], []
-            for x, y in plausible(rows, least, parts, deviations):
-                for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                    a, b = value[at[i] : at[i + 1]], value[at[j] : at[j + 1]]
-                    if alike_sets(a, b, least):
-                        src.append(node[i]), dst.append(node[j])
-            s, d = forest(np.array(src, np.int64), np.array(dst, np.int64))
-            yield pa.RecordBatch.from_pydict({"src": pa.array(s), "dst": pa.array(d)})
+    def look(groups: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("node").combine_chunks()
+        some = np.zeros(answers.num_rows, bool)
+        for x, y in across(groups, answers, least, parts, deviations):
+            some[x] = some[y] = True
+        return answers.filter(pa.array(some))
+
+    def compare(groups: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("node").combine_chunks()
+        names, column = answers.column("node").to_numpy(), answers.column("shingles").combine_chunks()
+        start, value = column.offsets.to_numpy(), column.values.to_numpy()
+        own, of = np.unique(answers.column("component").to_numpy(), return_inverse=True)
+        root, src, dst = list(range(len(own))), [], []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for x, y in across(groups, answers, least, parts, deviations):
+            for i, j, a, b in zip(x.tolist(), y.tolist(), of[x].tolist(), of[y].tolist(), strict=True):
+                a, b = top(a), top(b)
+                if a != b and alike_sets(value[start[i] : start[i + 1]], value[start[j] : start[j + 1]], least):  # components that are linked here are not compared again
+                    root[max(a, b)] = min(a, b)
+                    src.append(i), dst.append(j)
+        return pa.table({"src": pa.array(names[src], pa.int64()), "dst": pa.array(names[dst], pa.int64())})
+
+    def meet(answers: DataFrame, function, schema: str) -> DataFrame:
+        return groups.select("block", "key", "keys", "node", "n").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(function, schema)
 
-    left = table(partnered(groups, answers, least, parts, deviations))
-    whole = left.join(sets, "node").select(*left.columns, "shingles")
-    return arrow_map(whole.repartition("key").sortWithinPartitions("key", "node"), compare, "src long, dst long")
+    answers = members.join(found, "node", "left").select("block", "node", F.coalesce("component", "node").alias("component"), "prints")
+    # not a method of its own: functions with type hints of Arrow are told by their arity
+    left = table(meet(answers, lambda g, a: look(g, a), "block int, node long, component long, prints array<int>"))
+    return meet(left.join(sets, "node").select(*left.columns, "shingles"), lambda g, a: compare(g, a), "src long, dst long")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, parts: int = PARTS, deviations: float | None = 8.0) -> DataFrame:
@@ -467,7 +495,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Documents link if the Jaccard similarity of their sets of shingles is least or more and their
     fingerprints differ in two bits or fewer of one of the parts. Groups above SMALL first compare all with one
-    member; only pairs across the components that this makes are compared after it, and of both only pairs
+    member; only pairs across the components that this makes are compared after it, in groups of any size, and in larger ones only pairs
     whose whole fingerprints lie within ``deviations`` standard deviations of what that similarity makes
     (eight: a chance of 1e-15 to miss one; None compares all). Defined results: null, empty and wordless texts have equal, empty sets and make one
     class; fewer words than a shingle make one shingle; rows without an id are left out; of
@@ -479,15 +507,15 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     firsts = table(made.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prints").alias("prints")))
     grouped = table(met(firsts.where("n > 0").repartition(max(partitions(docs.sparkSession), 1)), parts))
     # variants of one part in which the same sets meet are one group
-    alike = grouped.where(F.size("node") > SMALL).groupBy(F.shiftright("key", 32).alias("part"), "node").agg(F.min("key").alias("key"), F.collect_list("key").alias("keys"), F.first("n").alias("n"))
+    alike = table(grouped.where(F.size("node") > SMALL).groupBy(F.shiftright("key", 32).alias("part"), "node").agg(F.min("key").alias("key"), F.collect_list("key").alias("keys"), F.first("n").alias("n")))
     # a block of them asks once for each member, so that a set in very many groups is no row for each of them
     groups = table(in_blocks(alike))
     members = table(asked(groups).join(firsts.select("node", "prints"), "node"))
     whole = sets_of(members.select("node"), firsts, docs, shingle)
-    stars = star_links(groups, members.join(whole, "node"), share, parts, deviations)
-    found = table(verified(table(small_pairs(grouped, share).distinct()), firsts, docs, shingle, share).unionByName(stars))
-    more = table(links_across(groups, members, components(found), whole, share, parts, deviations))
-    of_node = components(found.unionByName(more))
+    stars = table(star_links(groups, members.join(whole, "node"), share, parts, deviations))
+    found = table(components(stars))
+    more = table(links_across(groups, members, found, whole, share, parts, deviations).unionByName(verified(table(apart(small_pairs(grouped, share).distinct(), found)), firsts, docs, shingle, share)))
+    of_node = components(stars.unionByName(more))
     rooted = firsts.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return made.select("doc_id", "node").join(rooted.select("node", "component").join(low, "component"), "node").select("doc_id", "component_id")

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import simhash
@@ -83,3 +84,24 @@ def test_stage_drops_edited_copies(spark):
 
 def test_empty(spark):
     assert simhash.similar_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_members_of_a_cluster_are_asked_for_in_few_blocks(spark, monkeypatch):
+    """Members of a cluster of near copies, which meet in hundreds of groups, are rows for about a block a part, however many blocks there are."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(f"c{rnd.randrange(10**6)}" if rnd.random() < 0.01 else w for w in base)) for i in range(60)]
+    made = simhash.signed(spark.createDataFrame(docs, "doc_id long, text string"), 5, simhash.PARTS)
+    grouped = simhash.met(made.select("node", "n", "prints").dropDuplicates(["node"]), simhash.PARTS)
+    alike = grouped.where(F.size("node") > simhash.SMALL).groupBy(F.shiftright("key", 32).alias("part"), "node").agg(F.min("key").alias("key"), F.collect_list("key").alias("keys"), F.first("n").alias("n"))
+    alike = simhash.table(alike)
+    monkeypatch.setattr(simhash, "partitions", lambda spark: 500)
+    groups = simhash.table(simhash.in_blocks(alike))
+    nodes = alike.select(F.explode("node").alias("node")).distinct().count()
+    assert groups.count() == alike.count() > 300 and groups.select("part", "key").distinct().count() == alike.count()
+    assert simhash.asked(groups).count() <= (simhash.PARTS + 1) * nodes
+
+
+def test_equal_small_groups_make_their_pairs_once(spark):
+    grouped = spark.createDataFrame([(i, [4, 9], [5, 5]) for i in range(40)] + [(99, [4, 9, 11], [5, 5, 5])], "key long, node array<long>, n array<long>").repartition(8)
+    assert simhash.small_pairs(grouped, simhash.Fraction(4, 5)).count() == 4
