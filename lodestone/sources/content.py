@@ -17,9 +17,10 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 
 def opened(folder: str):
@@ -61,21 +62,22 @@ class ContentFolder(DataSource):
         return _Writer(self.options["path"], self.options.get("role", "content"))
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, folder: str, role: str):
         self.folder, self.role, self.job = folder.rstrip("/"), role, uuid.uuid4().hex
 
-    def write(self, rows: Iterator) -> Put:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Put:
         from pyarrow import fs
 
         store, root = opened(self.folder)
         done, made, folders = Put(0, 0, 0, 0), set(), set()
-        for row in rows:
-            data = bytes(row["content"])
+        own = f"{root}/staging/{self.job}/{uuid.uuid4().hex}"  # tasks that stage in one folder wait for each other at every file
+        rows = ((i, c.as_buffer(), n) for b in batches for i, c, n in zip(b.column("id").to_pylist(), b.column("content"), b.column("copies").to_pylist(), strict=True))
+        for identity, data, copies in rows:
             digest = hashlib.sha256(data).hexdigest()
-            if row["id"] is not None and row["id"].lower() != f"sha256:{digest}":
-                raise ValueError(f"content of {row['id']} is sha256:{digest}")
-            done.objects, done.size = done.objects + row["copies"], done.size + row["copies"] * len(data)
+            if identity is not None and identity.lower() != f"sha256:{digest}":
+                raise ValueError(f"content of {identity} is sha256:{digest}")
+            done.objects, done.size = done.objects + copies, done.size + copies * len(data)
             if digest in made:
                 continue
             made.add(digest)
@@ -88,8 +90,8 @@ class _Writer(DataSourceWriter):
                 done.replaced += 1
             else:
                 done.new += 1
-            staged = f"{root}/staging/{self.job}/{uuid.uuid4().hex}"
-            for folder in {staged.rsplit("/", 1)[0], to.rsplit("/", 1)[0]} - folders:
+            staged = f"{own}/{uuid.uuid4().hex}"
+            for folder in {own, to.rsplit("/", 1)[0]} - folders:
                 store.create_dir(folder, recursive=True)
                 folders.add(folder)
             with store.open_output_stream(staged) as f:

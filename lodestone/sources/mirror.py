@@ -32,8 +32,12 @@ def _hash(stream) -> tuple[str, int]:
     return digest.hexdigest(), size
 
 
-def _parent(store, path: str) -> None:
-    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+def _parent(store, path: str, made: set[str]) -> None:
+    """Makes the folder of a path, unless it is one of those that this task has made."""
+    folder = path.rsplit("/", 1)[0]
+    if folder not in made:
+        store.create_dir(folder, recursive=True)
+        made.add(folder)
 
 
 def waves(roots: DataFrame, edges: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -64,6 +68,7 @@ def copied(objects: DataFrame, source: str, target: str, trust: bool = False, ta
         from pyarrow import fs
 
         (here, below), (there, root) = opened(source), opened(target)
+        own, made = f"{root}/staging/{job}/{uuid.uuid4().hex}", set()  # a task's own, as in ``content``
         for batch in batches:
             out = []
             for row in batch.to_pylist():
@@ -78,8 +83,8 @@ def copied(objects: DataFrame, source: str, target: str, trust: bool = False, ta
                 if status != "present":
                     if here.get_file_info(f"{below}/{name}").type != fs.FileType.File:
                         raise FileNotFoundError(f"{row['node']} is not in {source}")
-                    staged, digest, size = f"{root}/staging/{job}/{uuid.uuid4().hex}", hashlib.sha256(), 0
-                    _parent(there, staged)
+                    staged, digest, size = f"{own}/{uuid.uuid4().hex}", hashlib.sha256(), 0
+                    _parent(there, staged, made)
                     with here.open_input_stream(f"{below}/{name}") as f, there.open_output_stream(staged) as to:
                         while block := f.read(BLOCK):
                             digest.update(block)
@@ -88,7 +93,7 @@ def copied(objects: DataFrame, source: str, target: str, trust: bool = False, ta
                     if "sha256:" + digest.hexdigest() != row["node"]:
                         there.delete_file(staged)
                         raise ValueError(f"content of {row['node']} is sha256:{digest.hexdigest()}")
-                    _parent(there, f"{root}/{name}")
+                    _parent(there, f"{root}/{name}", made)
                     there.move(staged, f"{root}/{name}")
                 out.append((row["node"], row["role"], row["level"], size, status))
             columns = list(zip(*out, strict=True)) or [[]] * 5
@@ -169,7 +174,8 @@ def materialised(files: DataFrame, source: str, root: str, whole: bool = True) -
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (here, below), (there, to) = opened(source), opened(made)
         now = stream = staged = digest = None
-        size, out = 0, []
+        size, out, folders = 0, [], set()
+        own = f"{to}.staging-{job}/{uuid.uuid4().hex}"
 
         def close() -> None:
             nonlocal stream
@@ -178,7 +184,7 @@ def materialised(files: DataFrame, source: str, root: str, whole: bool = True) -
             if digest.hexdigest() != now[1]:
                 there.delete_file(staged)
                 raise ValueError(f"content of {now[0]!r} is sha256:{digest.hexdigest()}, not sha256:{now[1]}")
-            _parent(there, f"{to}/{now[0]}")
+            _parent(there, f"{to}/{now[0]}", folders)
             there.move(staged, f"{to}/{now[0]}")
             if now[2] and there.type_name == "local":
                 import os
@@ -198,8 +204,8 @@ def materialised(files: DataFrame, source: str, root: str, whole: bool = True) -
                         if stream is not None:
                             close()
                         now, digest, size = (path, sha256, executable), hashlib.sha256(), 0
-                        staged = f"{to}.staging-{job}/{uuid.uuid4().hex}"
-                        _parent(there, staged)
+                        staged = f"{own}/{uuid.uuid4().hex}"
+                        _parent(there, staged, folders)
                         stream = there.open_output_stream(staged)
                     if content is not None:
                         with here.open_input_stream(f"{below}/{place(bytes(content).decode().removeprefix('sha256:'))}") as f:

@@ -137,3 +137,15 @@ def test_compaction_groups_in_many_tasks(spark, tmp_path, monkeypatch):
     stored = spark.read.parquet(f"{tmp_path}/tables/t").where(F.col("commit_id") == made)
     assert stored.select(F.input_file_name()).distinct().count() == 2 and stored.count() == 1000
     assert {r.id: r.at for r in log.table("t").collect()} == {i: i % 7 + 1 for i in range(1000)}
+
+
+def test_tasks_stage_in_folders_of_their_own(tmp_path):
+    import pyarrow as pa
+
+    writer = content._Writer(str(tmp_path), "content")
+    batch = lambda *values: pa.RecordBatch.from_pydict({"id": pa.array([None] * len(values), pa.string()), "content": pa.array(values, pa.binary()), "copies": pa.array([2] * len(values), pa.int64())})
+    done = [writer.write(iter([batch(b"a", b"bc"), batch(b"a")])), writer.write(iter([batch(b"d")]))]
+    assert [(m.objects, m.new, m.size) for m in done] == [(6, 2, 8), (2, 1, 2)] and files(tmp_path).keys() == {sha(v) for v in (b"a", b"bc", b"d")}
+    assert len(list((tmp_path / "staging" / writer.job).iterdir())) == 2
+    writer.commit(done)
+    assert not list((tmp_path / "staging").iterdir())

@@ -5,7 +5,8 @@ from pathlib import Path
 
 import pytest
 
-from lodestone.operators import graph
+from lodestone.operators import chunking, graph
+from lodestone.plans.catalogue import QUERIES
 from lodestone.sources import content, mirror
 
 
@@ -129,3 +130,24 @@ def test_content_edges_feed_waves(spark):
     edges = graph.content_edges(one, pair("collection_content", "artifact"), pair("tree_content", "content"), pair("manifest_content", "content"))
     got = mirror.waves(spark.createDataFrame([("a",)], "node string"), edges, one)
     assert {(r.node, r.role, r.level) for r in got.collect()} == {("a", "artifacts", 1), ("c", "content", 0)}
+
+
+@pytest.mark.parametrize("query,module,function", [("artifact_files", chunking, "chunks")])
+def test_queries_make_their_objects_once(spark, monkeypatch, query, module, function):
+    """What names chunks and trees is computed once, however many steps read the names."""
+    made, rows, right = getattr(module, function), spark.sparkContext.accumulator(0), []
+
+    def counted(*args):
+        out = made(*args)
+        right.append(out.count())
+
+        def count(batches):
+            for b in batches:
+                rows.add(b.num_rows)
+                yield b
+
+        return out.mapInArrow(count, out.schema)
+
+    monkeypatch.setattr(module, function, counted)
+    assert QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0
+    assert right == [rows.value] and rows.value > 0
