@@ -1,7 +1,9 @@
 """Awkward inputs: texts longer than a block, repeated rows, clashing columns, empty tables, null ids."""
 
 import math
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import packing, pieces, quality, repeats, scoring, separators, simhash, toxicity
+from lodestone.llm.blocks import Block
 from tests.llm.test_text_operators import WORD, brute_repeats, tokenizer
 
 DATA = "/root/testdata/sf0.01"
@@ -105,6 +108,41 @@ def test_one_very_long_labelled_text(spark):
     assert model is not None and sum(a[d] != b[d] for d in a) <= 0.02 * len(a) and sum(b.values()) >= 0.8 * sum(a.values())
 
 
+def test_the_fit_counts_in_tasks(spark):
+    """The model is the one of plain counts over the whole sample, of which no text reaches the driver."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    # one text, in other letters, under both labels and under none; a null and an empty text
+    first = [labels.where(f"toxic = {y}").first().doc_id for y in (0, 1)]
+    shared = F.when(F.col("doc_id") == first[0], F.upper(F.lit("Shared\u00c4 words\x1c and\x0bmore words"))).when(F.col("doc_id") == first[1], F.lit("SHARED\u00c4 WORDS\x1c AND\x0bmore words"))
+    odd = F.when(F.col("doc_id") % 40 == 3, F.lit(None)).when(F.col("doc_id") % 40 == 4, F.lit("")).otherwise(F.col("text"))
+    docs = docs.withColumn("text", F.coalesce(shared, odd)).cache()
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    tracemalloc.start()
+    model = toxicity.fit(docs, labels, base_words=50, calibration=120)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < total, "the driver's Python held as much as the texts"
+
+    rows = docs.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").collect()
+    every = [(r.text.encode(), r.toxic) for r in rows]
+    one = [(text.split(), y) for text, y in {text.lower(): y for text, y in every}.items()]  # the last label of a text
+    n = [sum(y == k for _, y in one) for k in (0, 1)]
+    held = [Counter(w for words, y in one if y == k for w in set(words)) for k in (0, 1)]
+    beside = {(b, w) for words, y in one if y for b, w in zip([b"", *words], words, strict=False)}
+    neighbours, least = Counter(w for _, w in beside), max(5, 0.008 * n[1])
+    marks = [w for w, k in held[1].items() if k >= least and neighbours[w] >= least and held[0][w] * n[1] <= 0.02 * k * n[0]]
+    ordinary = b" " + b" ".join(sorted(held[0], key=lambda w: (-held[0][w], w))[:50]) + b" "
+    assert marks and (model.ordinary, model.toxic) == (ordinary, ordinary + b" ".join(sorted(marks, key=lambda w: (held[1][w], w))) + b" ")
+
+    used = [text for text, y in every if y][:40] + [text for text, y in every if not y][:80]
+    toxic = np.arange(len(used)) < min(40, sum(y for _, y in every))
+    block = Block(np.arange(len(used)), np.frombuffer(b"".join(used), np.uint8), np.cumsum([0, *map(len, used)]))
+    share = labels.agg(F.avg(1.0 - F.col("toxic"))).first()[0]
+    want = toxicity.calibrated(model, toxicity.Windows(model).features(block), toxic, share)
+    for a, b in ((model.weights, want.weights), (model.centre, want.centre), (model.scale, want.scale)):
+        assert np.allclose(a, b, rtol=1e-9)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_of_an_empty_table(spark, name):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 0")
