@@ -3,8 +3,9 @@
 Objects lie at <folder>/content/<first two digits>/<digest>. A task stages an object beside its place, hashes it, and
 moves it there, so a reader never sees half of one; tasks that are repeated or run twice put the same bytes in
 the same place. An object that is there is kept if its bytes are right and replaced if not. ``put`` brings equal bytes
-together first, so one task makes an object and it counts as new once; rows written without it may meet in two tasks. When
-all tasks are done, commits/<job>.json tells what the job did; an aborted job's staged files are removed.
+together first, so one task makes an object and it counts as new once; rows written without it may meet in two tasks. A
+task notes in the staging folder what it found missing or wrong before it moves anything, so a repeated one, that finds what the
+first has put, tells the same. When all tasks are done, commits/<job>.json tells what the job did; staged files and notes are removed, also an aborted job's.
 
 Any file system that pyarrow opens will do (mounted folders, hdfs, s3, gs); s3a is read as s3.
 """
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
@@ -67,29 +69,13 @@ class _Writer(DataSourceArrowWriter):
         self.folder, self.role, self.job = folder.rstrip("/"), role, uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Put:
-        from pyarrow import fs
-
         store, root = opened(self.folder)
         done, made, folders = Put(0, 0, 0, 0), set(), set()
         own = f"{root}/staging/{self.job}/{uuid.uuid4().hex}"  # tasks that stage in one folder wait for each other at every file
-        rows = ((i, c.as_buffer(), n) for b in batches for i, c, n in zip(b.column("id").to_pylist(), b.column("content"), b.column("copies").to_pylist(), strict=True))
-        for identity, data, copies in rows:
-            digest = hashlib.sha256(data).hexdigest()
-            if identity is not None and identity.lower() != f"sha256:{digest}":
-                raise ValueError(f"content of {identity} is sha256:{digest}")
-            done.objects, done.size = done.objects + copies, done.size + copies * len(data)
-            if digest in made:
-                continue
-            made.add(digest)
-            to = f"{root}/{place(digest, self.role)}"
-            there = store.get_file_info(to)
-            if there.type == fs.FileType.File:
-                with store.open_input_stream(to) as f:
-                    if there.size == len(data) and hashlib.sha256(f.read()).hexdigest() == digest:
-                        continue
-                done.replaced += 1
-            else:
-                done.new += 1
+        task = TaskContext.get()
+        notes = f"{root}/staging/{self.job}.notes/{task.partitionId() if task else 0}"  # an attempt reads those of earlier ones
+
+        def save(data: bytes | pa.Buffer, to: str) -> None:
             staged = f"{own}/{uuid.uuid4().hex}"
             for folder in {own, to.rsplit("/", 1)[0]} - folders:
                 store.create_dir(folder, recursive=True)
@@ -97,14 +83,59 @@ class _Writer(DataSourceArrowWriter):
             with store.open_output_stream(staged) as f:
                 f.write(data)
             store.move(staged, to)
+
+        for b in batches:
+            found = {}
+            for identity, c, copies in zip(b.column("id").to_pylist(), b.column("content"), b.column("copies").to_pylist(), strict=True):
+                data = c.as_buffer()
+                digest = hashlib.sha256(data).hexdigest()
+                if identity is not None and identity.lower() != f"sha256:{digest}":
+                    raise ValueError(f"content of {identity} is sha256:{digest}")
+                done.objects, done.size = done.objects + copies, done.size + copies * len(data)
+                if digest not in made:
+                    made.add(digest)
+                    found[digest] = self._found(store, f"{root}/{place(digest, self.role)}", digest, len(data)), data
+            missing = {d: kind for d, (kind, _) in found.items() if kind != "present"}
+            if missing:
+                save(json.dumps(missing).encode(), f"{notes}/{uuid.uuid4().hex}")
+            # read after the look at the objects: what another attempt has put by then, it has noted
+            noted = self._noted(store, notes) if len(missing) < len(found) else {}
+            for digest, (kind, data) in found.items():
+                first = noted.get(digest, kind)
+                done.new, done.replaced = done.new + (first == "new"), done.replaced + (first == "replaced")
+                if kind != "present":
+                    save(data, f"{root}/{place(digest, self.role)}")
         return done
 
+    @staticmethod
+    def _found(store, path: str, digest: str, size: int) -> str:
+        from pyarrow import fs
+
+        there = store.get_file_info(path)
+        if there.type != fs.FileType.File:
+            return "new"
+        with store.open_input_stream(path) as f:
+            return "present" if there.size == size and hashlib.sha256(f.read()).hexdigest() == digest else "replaced"
+
+    @staticmethod
+    def _noted(store, folder: str) -> dict[str, str]:
+        """What each object noted in a folder was when an attempt found it first; one that was missing is new, whatever became of it."""
+        from pyarrow import fs
+
+        noted = {}
+        for info in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            with store.open_input_stream(info.path) as f:
+                for digest, kind in json.loads(f.read()).items():
+                    noted[digest] = "new" if "new" in (kind, noted.get(digest)) else kind
+        return noted
+
     def _clear(self) -> None:
         from pyarrow import fs
 
         store, root = opened(self.folder)
-        if store.get_file_info(f"{root}/staging/{self.job}").type == fs.FileType.Directory:
-            store.delete_dir(f"{root}/staging/{self.job}")
+        for folder in (f"{root}/staging/{self.job}", f"{root}/staging/{self.job}.notes"):
+            if store.get_file_info(folder).type == fs.FileType.Directory:
+                store.delete_dir(folder)
 
     def commit(self, messages: list[Put | None]) -> None:
         self._clear()

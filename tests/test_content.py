@@ -1,13 +1,16 @@
 """The content folder, hashes over runs of rows, and the history log."""
 
 import hashlib
+import pickle
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import manifests, runs
 from lodestone.operators.historylog import HistoryLog
+from lodestone.plans.catalogue import ORACLE_SQL, QUERIES
 from lodestone.plans.project import Action, Output, Runner
 from lodestone.sources import acquire, content
 
@@ -149,3 +152,43 @@ def test_tasks_stage_in_folders_of_their_own(tmp_path):
     assert len(list((tmp_path / "staging" / writer.job).iterdir())) == 2
     writer.commit(done)
     assert not list((tmp_path / "staging").iterdir())
+
+
+def test_a_repeated_task_counts_what_the_first_one_put(tmp_path):
+    """A task ends after it has put objects, as with a lost executor, and runs again: what was new or wrong to the first is so to the job."""
+    import pyarrow as pa
+
+    batch = lambda *values: pa.RecordBatch.from_pydict({"id": pa.array([None] * len(values), pa.string()), "content": pa.array(values, pa.binary()), "copies": pa.array([1] * len(values), pa.int64())})
+
+    def lost():
+        yield batch(b"a", b"b")
+        raise OSError("lost")
+
+    wrong = tmp_path / content.place(sha(b"b"))
+    wrong.parent.mkdir(parents=True)
+    wrong.write_bytes(b"evil")
+    writer = pickle.dumps(content._Writer(str(tmp_path), "content"))
+    with pytest.raises(OSError, match="lost"):
+        pickle.loads(writer).write(lost())
+    assert files(tmp_path) == {sha(v): v for v in (b"a", b"b")}
+    done = pickle.loads(writer).write(iter([batch(b"c", b"a"), batch(b"b", b"d")]))
+    assert (done.objects, done.new, done.replaced) == (4, 3, 1)
+    pickle.loads(writer).commit([done])
+    assert not list((tmp_path / "staging").iterdir())
+    again = content._Writer(str(tmp_path), "content").write(iter([batch(b"a", b"b", b"c", b"d")]))
+    assert (again.objects, again.new, again.replaced) == (4, 0, 0)
+
+
+def cas_write_and_sql(spark, folder, texts):
+    """Rows of cas_write on these texts, and of its SQL."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")}).write.parquet(f"{folder}/documents.parquet")
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    want = duck.sql(ORACLE_SQL["cas_write"])
+    return order(QUERIES["cas_write"](spark, str(folder)).select(*want.columns).collect()), order(want.fetchall())
+
+
+def test_cas_write_with_null_texts(spark, tmp_path):
+    got, want = cas_write_and_sql(spark, tmp_path, ["a", None, "b", "a", None])
+    assert got == want and len(got) == 3
