@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 
+#: Bytes of content after which a batch of objects that were read leaves its task.
+BATCH = 4 << 20
+
+
 def opened(folder: str):
     """The file system of a folder's address, and the path there."""
     from pyarrow import fs
@@ -160,9 +164,42 @@ def put(rows: DataFrame, folder: str, content: str = "content", identity: str |
 
 
 def objects(spark: SparkSession, folder: str, role: str = "content") -> DataFrame:
-    """id (by name), size, content of the objects of a folder and role."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/{role}")
-    return files.select(F.concat(F.lit("sha256:"), F.substring_index("path", "/", -1)).alias("id"), F.col("length").alias("size"), "content")
+    """id (by name), size, content of the objects of a folder and role, empty ones too.
+
+    Tasks list and read the folders of two digits when the rows are read, so no names reach the driver and a task holds those
+    of one such folder and a batch. A missing folder raises; one without objects of the role has no rows.
+    """
+    from pyarrow import fs
+
+    folder = folder.rstrip("/")
+    if (at := opened(folder))[0].get_file_info(at[1]).type != fs.FileType.Directory:
+        raise FileNotFoundError(folder)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = opened(folder)
+        for digits in (n for b in batches for n in b.column("id").to_pylist()):
+            rows, held = [], 0
+            for info in store.get_file_info(fs.FileSelector(f"{root}/{role}/{digits:02x}", allow_not_found=True)):
+                if info.type == fs.FileType.File:
+                    with store.open_input_stream(info.path) as f:
+                        data = f.read()
+                    rows.append((f"sha256:{info.base_name}", len(data), data))
+                    held += len(data)
+                    if held >= BATCH or len(rows) >= 10_000:
+                        yield _batch(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+
+    tasks = min(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.range(0, 256, 1, tasks).mapInArrow(read, "id string, size long, content binary")
+
+
+def _batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    ids, sizes, contents = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary())], ["id", "size", "content"])
 
 
 def commits(spark: SparkSession, folder: str) -> DataFrame:

@@ -192,3 +192,22 @@ def cas_write_and_sql(spark, folder, texts):
 def test_cas_write_with_null_texts(spark, tmp_path):
     got, want = cas_write_and_sql(spark, tmp_path, ["a", None, "b", "a", None])
     assert got == want and len(got) == 3
+
+
+def test_cas_write_with_empty_texts(spark, tmp_path):
+    got, want = cas_write_and_sql(spark, tmp_path, ["", "a", None, ""])
+    assert got == want and len(got) == 3
+
+
+def test_objects_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Names of objects don't reach the driver: its plan holds no files. Batches are bounded by bytes, and no row is lost."""
+    content.put(spark.range(3000).select(F.concat(F.lit("t"), F.col("id").cast("string")).cast("binary").alias("content")), str(tmp_path))
+    assert content.objects(spark, str(tmp_path)).inputFiles() == []
+    monkeypatch.setattr(content, "BATCH", 20)
+    df = content.objects(spark, f"file:{tmp_path}/")
+    assert 1 < df.rdd.getNumPartitions() <= 256
+    want = {"sha256:" + sha(v): v for v in (b"t%d" % i for i in range(3000))}
+    assert {r["id"]: (r["size"], bytes(r["content"])) for r in df.collect()} == {k: (len(v), v) for k, v in want.items()}
+    assert content.objects(spark, str(tmp_path), "artifacts").collect() == []
+    with pytest.raises(FileNotFoundError):
+        content.objects(spark, f"{tmp_path}/absent")
